@@ -1,9 +1,9 @@
 """Whole texts to token ids with the ``tokenizers`` library, inside Spark tasks.
 
 Byte-pair merges never cross the boundary between a visible character and the
-white space after it, so a text may be cut there and its pieces encoded one by
-one.  A worker remembers the ids of the pieces it has met; only new pieces go
-through the library.  Texts in which such a cut could change the result (other
+white space after it, nor that between a letter and an ASCII sign or digit, so a
+text may be cut there and its pieces encoded one by one.  A worker remembers the
+ids of the pieces it has met; only new pieces go through the library.  Texts in which such a cut could change the result (other
 white space than blanks and line feeds for byte-level vocabularies, or the
 strings of special tokens) are encoded in one call.
 """
@@ -18,11 +18,13 @@ import numpy as np
 BYTE_LEVEL = "byte_bpe_50k.json"
 WORD_LEVEL = "word_bpe_49k.json"
 
-#: A worker forgets its pieces beyond this number; results don't depend on it.
+#: Beyond this number a worker forgets the pieces it hasn't met lately; results don't depend on it.
 REMEMBERED = 500_000
 
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_WORD = re.compile(r"[^ \n]+")
+#: Latin letters (but U+0130, which becomes two characters in lower case), not followed by anything that could be a letter or a mark: the end of such a run is a boundary.
+_LETTERS = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]++(?![\x80-\U0010FFFF])"
+_PIECE = re.compile(rf"[ \n]*+{_LETTERS}|[ \n]*[^ \n]+|[ \n]+")
+_WORD = re.compile(rf"{_LETTERS}|[^ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
 
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
@@ -44,6 +46,7 @@ class Encoder:
         self.keeps_space = keeps_space
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -64,9 +67,13 @@ class Encoder:
             return b"".join(map(known.__getitem__, pieces))
         except KeyError:
             if len(known) > REMEMBERED:
-                known.clear()
-            new = list({p for p in pieces if p not in known})
-            known.update(zip(new, self._library(new), strict=True))
+                self.older, self.known = known, {}
+                known = self.known
+            absent, older = {p for p in pieces if p not in known}, self.older
+            known.update((p, older[p]) for p in absent if p in older)
+            new = [p for p in absent if p not in older]
+            if new:
+                known.update(zip(new, self._library(new), strict=True))
         return b"".join(map(known.__getitem__, pieces))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_sliced_search, chat, decontamination, language_id, near_duplicates, packing, secrets, token_files
+from . import bit_sliced_search, chat, decontamination, language_id, line_templates, near_duplicates, packing, secrets, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +49,14 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring_lines(documents)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": line_templates.ORACLE_SQL}
