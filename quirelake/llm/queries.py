@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_sliced_search, chat, decontamination, language_id, line_templates, near_duplicates, packing, secrets, token_files
+from . import bit_sliced_search, chat, decontamination, language_id, line_templates, near_duplicates, packing, pii_surrogates, secrets, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_sliced_search.top_k(_table(spark, sf_dir, "embeddings"))
 
