@@ -12,20 +12,20 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 BYTE_LEVEL = "byte_bpe_50k.json"
 WORD_LEVEL = "word_bpe_49k.json"
 
 #: Beyond this number a worker forgets the pieces it hasn't met lately; results don't depend on it.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 
 #: Latin letters (but U+0130, which becomes two characters in lower case), not followed by anything that could be a letter or a mark: the end of such a run is a boundary.
 _LETTERS = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]++(?![\x80-\U0010FFFF])"
 _PIECE = re.compile(rf"[ \n]*+{_LETTERS}|[ \n]*[^ \n]+|[ \n]+")
 _WORD = re.compile(rf"{_LETTERS}|[^ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
+#: All white space but blanks and line feeds.
+_OTHER_SPACE = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -50,7 +50,7 @@ class Encoder:
 
     def _library(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in out]
+        return [array("I", e.ids).tobytes() for e in out]
 
     def _whole(self, text: str) -> bool:
         if any(s in text for s in self.special):
@@ -62,19 +62,18 @@ class Encoder:
         if self._whole(text):
             return self._library([text])[0]
         pieces = (_PIECE if self.keeps_space else _WORD).findall(text)
-        known = self.known
         try:
-            return b"".join(map(known.__getitem__, pieces))
+            return b"".join(map(self.known.__getitem__, pieces))
         except KeyError:
-            if len(known) > REMEMBERED:
-                self.older, self.known = known, {}
-                known = self.known
-            absent, older = {p for p in pieces if p not in known}, self.older
+            if len(self.known) > REMEMBERED:
+                self.older, self.known = self.known, {}
+            known, older = self.known, self.older
+            absent = {p for p in pieces if p not in known}
             known.update((p, older[p]) for p in absent if p in older)
             new = [p for p in absent if p not in older]
             if new:
                 known.update(zip(new, self._library(new), strict=True))
-        return b"".join(map(known.__getitem__, pieces))
+        return b"".join(map(self.known.__getitem__, pieces))
 
 
 def encoder(path: str, keeps_space: bool) -> Encoder:
