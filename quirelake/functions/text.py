@@ -12,21 +12,22 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 HEBREW_POINTS = r"[֑-ׇ]"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfd(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFD", x))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfkd(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
 
@@ -102,12 +103,12 @@ def script_counts(s: Column) -> list[Column]:
 
 def sentences(s: Column, least: int = 10) -> Column:
     """Sentences of ``least`` characters or more; they end at a full stop, ``!``, ``?`` or a line."""
-    return F.filter(F.transform(F.split(s, r"(?<=[.!?])\s+|\n"), F.trim), lambda x: F.length(x) >= least)
+    return F.filter(F.transform(F.split(s, r"(?<=[.!?])\s+|\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
 
 
 def pieces(s: Column, mark: str = "|") -> Column:
     """Trimmed, non-empty parts of a delimited value."""
-    return F.filter(F.transform(F.split(s, f"[{mark}]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, f"[{mark}]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def keyword_context(parts: Column, keyword: str) -> Column:

@@ -70,7 +70,7 @@ def interventions(note: Column) -> Column:
 
 def contents(value: Column) -> Column:
     """``array<struct<title, folio_range, sequence>>``: parts of three characters or more between semicolons and dashes."""
-    parts = F.filter(F.transform(F.split(value, r"\s*(?:;|\s--?\s|\.\s)\s*"), F.trim), lambda p: F.length(p) >= 3)
+    parts = F.filter(F.transform(F.split(value, r"\s*(?:;|\s--?\s|\.\s)\s*"), lambda x: F.trim(x)), lambda p: F.length(p) >= 3)
     folio = r"(?i)\(?\bff?\.?\s*(\d+[rv]?(?:\s*[-–]\s*\d+[rv]?)?)\)?"
     return F.transform(parts, lambda p, i: F.struct(F.trim(F.regexp_replace(p, folio, "")).alias("title"), F.nullif(F.regexp_extract(p, folio, 1), F.lit("")).alias("folio_range"), (i + 1).cast("int").alias("sequence")))
 

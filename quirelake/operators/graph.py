@@ -141,12 +141,13 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """``uri, hop``: nodes within ``hops`` undirected steps of the seeds and their distance.
 
     A frontier join for each hop; nodes seen before are taken out by an anti join.
+    Frontiers are kept, since each is read by all later hops.
     """
     both = edges.select(F.col("source").alias("uri"), F.col("target").alias("next")).union(edges.select("target", "source"))
     seen = seeds.select("uri").distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for k in range(1, hops + 1):
-        frontier = frontier.join(both, "uri").select(F.col("next").alias("uri")).distinct().join(seen, "uri", "left_anti").withColumn("hop", F.lit(k))
+        frontier = frontier.join(both, "uri").select(F.col("next").alias("uri")).distinct().join(seen, "uri", "left_anti").withColumn("hop", F.lit(k)).persist()
         seen = seen.unionAll(frontier)
     return seen
 
