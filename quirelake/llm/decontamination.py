@@ -66,7 +66,7 @@ def _indexer(vocabulary: list[bytes] | None, gap: int, segment_words: int):
             order = at[np.argsort(stream[at], kind="stable")].astype("<u4")
             kinds, first = np.unique(stream[order], return_index=True)
             names = vocabulary if vocabulary is not None else list(number)
-            ends = [*first[1:].tolist(), len(order)]
+            ends = [*first[1:].tolist(), len(order)][: len(kinds)]
             rows = [(names[k], b - a, order[a:b].tobytes(), None) for k, a, b in zip(kinds.tolist(), first.tolist(), ends, strict=True)]
             rows.append((None, len(docs), np.asarray(counts, "<u4").tobytes(), docs))
             columns = list(zip(*rows, strict=True))
