@@ -82,7 +82,7 @@ def bmes_to_bio(tags: Column) -> Column:
 
 def bio_valid(tags: Column) -> Column:
     """No inside tag without one of its type before it."""
-    before = F.concat(F.array(F.lit("O")), F.slice(tags, F.lit(1), F.greatest(F.size(tags) - 1, F.lit(0))))
+    before = F.slice(F.concat(F.array(F.lit("O")), tags), F.lit(1), F.size(tags))
     return F.forall(F.zip_with(tags, before, lambda t, b: ~t.startswith("I-") | (F.substring(b, F.lit(3), F.length(b)) == F.substring(t, F.lit(3), F.length(t))) & ~(b == "O")), lambda ok: ok)
 
 
@@ -96,11 +96,9 @@ def bio_spans(tokens: Column, tags: Column) -> Column:
     numbered = F.transform(tags, lambda t, i: F.struct(t.alias("t"), i.cast("int").alias("i")))
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
         joins = x["t"].startswith("I-") & (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] == x["i"]) & (F.get(acc, F.size(acc) - 1)["type"] == kind(x["t"]))
         longer = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.get(acc, F.size(acc) - 1)["type"].alias("type"), F.get(acc, F.size(acc) - 1)["start"].alias("start"), (x["i"] + 1).alias("end"))))
         begun = F.concat(acc, F.array(F.struct(kind(x["t"]).alias("type"), x["i"].alias("start"), (x["i"] + 1).alias("end"))))
-        del last
         return F.when(x["t"] == "O", acc).when(joins, longer).otherwise(begun)
 
     spans = F.aggregate(numbered, empty, step)

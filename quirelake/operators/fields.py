@@ -16,6 +16,11 @@ UNITS = (("folios", r"(?i)\bff?\.?\s*(\d+)[rv]?\s*[-–]\s*(\d+)[rv]?"), ("pages
 ROLES = {"scribe": "scribe", "copyist": "scribe", "author": "author", "translator": "translator", "owner": "owner", "סופר": "scribe", "מעתיק": "scribe", "מחבר": "author", "מתרגם": "translator"}
 
 
+def _named(value: Column, name: str, first: str, second: str):
+    """A function of two numbers to a struct of a value and both."""
+    return lambda x, y: F.struct(value.alias(name), x.cast("int").alias(first), y.cast("int").alias(second))
+
+
 def fixed_field(value: Column, start: int, end: int) -> Column:
     """Characters ``start:end``; null if the value is too short."""
     return F.when(F.length(value) >= end, F.substring(value, start + 1, end - start))
@@ -60,7 +65,7 @@ def units(note: Column) -> Column:
     found = []
     for kind, p in UNITS:
         a, b = (F.regexp_extract_all(note, F.lit(p), F.lit(k)) for k in (1, 2))
-        found.append(F.zip_with(a, b, lambda x, y, kind=kind: F.struct(F.lit(kind).alias("type"), x.cast("int").alias("start"), y.cast("int").alias("end"))))
+        found.append(F.zip_with(a, b, _named(F.lit(kind), "type", "start", "end")))
     return F.flatten(F.array(*found))
 
 
@@ -70,7 +75,7 @@ def interventions(note: Column) -> Column:
 
 def contents(value: Column) -> Column:
     """``array<struct<title, folio_range, sequence>>``: parts of three characters or more between semicolons and dashes."""
-    parts = F.filter(F.transform(F.split(value, r"\s*(?:;|\s--?\s|\.\s)\s*"), lambda x: F.trim(x)), lambda p: F.length(p) >= 3)
+    parts = F.filter(F.transform(F.split(value, r"\s*(?:;|\s--?\s|(?<![Ff])\.\s)\s*"), lambda x: F.trim(x)), lambda p: F.length(p) >= 3)
     folio = r"(?i)\(?\bff?\.?\s*(\d+[rv]?(?:\s*[-–]\s*\d+[rv]?)?)\)?"
     return F.transform(parts, lambda p, i: F.struct(F.trim(F.regexp_replace(p, folio, "")).alias("title"), F.nullif(F.regexp_extract(p, folio, 1), F.lit("")).alias("folio_range"), (i + 1).cast("int").alias("sequence")))
 
@@ -80,7 +85,7 @@ def canonical_references(note: Column, books: list[str]) -> Column:
     found = []
     for b in books:
         c, v = (F.regexp_extract_all(note, F.lit(rf"(?i)\b{b}\s+(\d+)[:.](\d+)"), F.lit(k)) for k in (1, 2))
-        found.append(F.zip_with(c, v, lambda x, y, b=b: F.struct(F.lit(b).alias("book"), x.cast("int").alias("chapter"), y.cast("int").alias("verse"))))
+        found.append(F.zip_with(c, v, _named(F.lit(b), "book", "chapter", "verse")))
     return F.flatten(F.array(*found)) if found else F.array()
 
 
