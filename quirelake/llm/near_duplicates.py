@@ -10,8 +10,8 @@ signature, and ``ROWS`` coordinates make a band.
 
 Documents with equal shingle sets form a class; the smallest id stands for it.
 Classes that share a band are candidates.  No pairs are made within a bucket:
-in each round the bucket's leaders meet the other members, and exact Jaccard
-similarities on the full sets confirm links.  Linked classes become components,
+in each round a few leaders of the bucket meet the other members, and exact
+Jaccard similarities on the full sets confirm links.  Linked classes become components,
 and buckets with one component left are done; leaders that met all others leave.
 Every pair in a bucket is thus either compared or already connected.
 
@@ -32,12 +32,14 @@ from .shared import written
 SHINGLE = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-COORDINATES = 128
-ROWS = 4
+#: Of 64 bands of 6 coordinates, a pair of similarity 0.75 shares none with probability 4e-6; one of 0.33 shares any with 0.08.
+COORDINATES = 384
+ROWS = 6
 CIRCLE = 1 << 22
 SEED = 20240229
-#: Buckets up to this many members are compared in one round; larger ones get this many leaders a round.
-SMALL, LEADERS = 24, 16
+#: Leaders of a bucket after the first round, and how their number grows from round to round: few
+#: suffice where texts are alike, and where they are not, the growth keeps the rounds few.
+LEADERS, GROWTH = 2, 4
 #: Members that meet a leader in one group of the verification.
 GROUP = 256
 #: A worker forgets its words beyond this number; results don't depend on it.
@@ -174,42 +176,56 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = written(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
+    # Labels only fall: once their sum stays, all do.
+    total = F.sum(F.col("component").cast("decimal(38,0)"))
+    before = None
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").select(F.col("a").alias("node"), "component")
-        least = written(near.unionAll(labels).groupBy("node").agg(F.min("component").alias("component")), "least")
-        jumped = least.join(least.select(F.col("node").alias("component"), F.col("component").alias("next")), "component").select("node", F.col("next").alias("component"))
-        jumped = written(jumped, "labels")
-        total = F.sum(F.col("component").cast("decimal(38,0)")).alias("s")  # labels only fall
-        changed = jumped.agg(total).unionAll(labels.agg(total)).distinct().count() > 1
-        labels = jumped
-        if not changed:
+        least = near.unionAll(labels).groupBy("node").agg(F.min("component").alias("component"))
+        labels = written(least.join(least.select(F.col("node").alias("component"), F.col("component").alias("next")), "component").select("node", F.col("next").alias("component")), "labels")
+        after = labels.agg(total).first()[0]
+        if after == before:
             return labels
+        before = after
+
+
+def _may_link(a: str, b: str):
+    """Sets whose sizes differ by more can't be similar enough."""
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
 def link_classes(rows: DataFrame, texts: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """``node, component`` of linked representatives; ``rows``: written ``key, rep``, one for each band of each."""
-    sizes = written(rows.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    met = rows.join(sizes, "key")
-    open_rows = written(met.where("rep != first").select("key", "rep"), "open")
-    pairs = written(met.where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = written(confirmed(pairs, texts), "links")
+    """``node, component`` of linked representatives; ``rows``: ``key, rep, size``, one for each band of each."""
+    first = F.min(F.struct("rep", "size")).alias("f")
+    sizes = written(rows.groupBy("key").agg(first, F.count("*").alias("n")).where("n > 1").select("key", F.col("f.rep").alias("first"), F.col("f.size").alias("first_size")), "buckets")
+    met = written(rows.join(sizes, "key"), "met")
+    # From here on only texts that share a bucket are read.
+    own = written(texts.join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text"), "texts")
+    open_rows = met.where("rep != first").select("key", "rep", "size")
+    pairs = written(met.where(F.expr("rep != first") & _may_link("size", "first_size")).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    links = written(confirmed(pairs, own), "links")
     if extra is not None:
         links = links.unionAll(extra)
+    labels, n_leaders = components(links), LEADERS
     while True:
-        labels = components(links)
         # Buckets of more than one component, without the leaders that have met all others.
-        named = open_rows.join(labels, open_rows["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        named = open_rows.join(labels, open_rows["rep"] == labels["node"], "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component"))
         named = written(named, "named")
-        live = written(named.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("n")).where("c < d").select("key", "n"), "live")
-        if live.isEmpty():
-            return labels
+        live = named.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
         rest = written(named.join(live, "key"), "rest")
-        slices = F.when(F.col("n") <= SMALL, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep"), F.lit(LEADERS)))
-        leaders = written(rest.groupBy("key", slices.alias("slice")).agg(F.min(F.struct("rep", "component")).alias("l")).select("key", F.col("l.rep").alias("a"), F.col("l.component").alias("ca")), "leaders")
-        pairs = rest.join(leaders, "key").where(F.col("component") != F.col("ca")).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-        pairs = written(pairs, "pairs")
-        links = links.unionAll(written(confirmed(pairs, texts), "links"))
-        open_rows = written(rest.join(leaders.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep"), "open")
+        if rest.isEmpty():
+            return labels
+        slices = F.pmod(F.xxhash64("rep"), F.lit(n_leaders))
+        leaders = written(rest.groupBy("key", slices.alias("slice")).agg(F.min(F.struct("rep", "component", "size")).alias("l")).select("key", F.col("l.rep").alias("a"), F.col("l.component").alias("ca"), F.col("l.size").alias("sa")), "leaders")
+        others = rest.select(F.col("key").alias("k"), "rep", "size", "component")
+        meet = (F.col("key") == F.col("k")) & (F.col("component") != F.col("ca")) & _may_link("size", "sa")
+        pairs = written(leaders.join(others, meet).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "pairs")
+        found = written(confirmed(pairs, own), "links")
+        if not found.isEmpty():
+            links = links.unionAll(found)
+            labels = components(links)
+        open_rows = written(rest.join(leaders.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "size"), "open")
+        n_leaders *= GROWTH
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,8 +233,8 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = written(rows.mapInArrow(_sketcher, "doc_id long, n_shingles long, set_hash binary, bands array<long>"), "sketches")
     known = sketches.where("doc_id is not null and set_hash is not null")
-    classes = written(known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    keys = written(classes.select(F.explode("bands").alias("key"), "rep").distinct(), "keys")
+    classes = written(known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")), "classes")
+    keys = classes.select(F.explode(F.array_distinct("bands")).alias("key"), "rep", "size")
     # An id with several texts is one vertex: it ties its classes together.
     several = known.groupBy("doc_id").agg(F.count_distinct("set_hash").alias("n")).where("n > 1").select("doc_id")
     ties = known.join(several, "doc_id").join(classes.select("set_hash", "rep"), "set_hash").where("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
