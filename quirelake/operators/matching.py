@@ -175,3 +175,42 @@ def date_conflict(birth: Column, death: Column, written: Column, scribe: Column)
         .when(scribe & (written - death > 80), "died long before")
         .when(birth.isNull() & (death > written + 120), "died long after")
     )
+
+
+# Lookups in snapshots of remote indexes ------------------------------------------
+
+
+def by_identifier(asked: DataFrame, claims: DataFrame) -> DataFrame:
+    """``asked(prop, value)`` with the one item that has the identifier; null if none or several have it."""
+    found = claims.groupBy("prop", "value").agg(F.when(F.count_distinct("qid") == 1, F.min("qid")).alias("qid"))
+    return asked.join(found, ["prop", "value"], "left")
+
+
+def identifier_of(items: DataFrame, claims: DataFrame, prop: str, pattern: str) -> DataFrame:
+    """``qid, value``: an item's only well-formed identifier of a kind, or null."""
+    good = claims.where((F.col("prop") == prop) & F.col("value").rlike(pattern))
+    return items.select("qid").join(unique_or_abstain(good, "qid", "value"), "qid", "left")
+
+
+def by_label(names: DataFrame, labels: list[DataFrame], members: DataFrame, number) -> DataFrame:
+    """``name`` to the member with the lowest number among all tables ``name, qid`` of labels and aliases."""
+    known = reduce(DataFrame.unionByName, (t.select("name", "qid") for t in labels)).distinct()
+    allowed = known.join(members.select("qid").distinct(), "qid", "left_semi")
+    best = allowed.groupBy("name").agg(F.min_by("qid", F.struct(number(F.col("qid")), F.col("qid"))).alias("qid"))
+    return names.join(best, "name", "left")
+
+
+def first_found(asked: DataFrame, key: str, *sources: DataFrame) -> DataFrame:
+    """Each key's ``qid`` from the first source that has one."""
+    out = asked.select(key).distinct()
+    for k, source in enumerate(sources):
+        out = out.join(source.groupBy(key).agg(F.min("qid").alias(f"q{k}")), key, "left")
+    return out.select(key, F.coalesce(*(f"q{k}" for k in range(len(sources)))).alias("qid"), F.coalesce(*(F.when(F.col(f"q{k}").isNotNull(), k) for k in range(len(sources)))).alias("source"))
+
+
+def works_by_label(works: DataFrame, labels: DataFrame, authors: DataFrame) -> DataFrame:
+    """``works(title, author)`` to an item of that label that has no other author: the smallest id."""
+    found = works.join(labels.select(F.col("name").alias("title"), "qid"), "title").join(authors.groupBy("qid").agg(F.collect_set("author").alias("known")), "qid", "left")
+    free = found.where(F.col("known").isNull() | F.col("author").isNull() | F.array_contains("known", F.col("author")))
+    best = free.groupBy("title", "author").agg(F.min("qid").alias("qid"))
+    return works.join(best, (works["title"] == best["title"]) & works["author"].eqNullSafe(best["author"]), "left").select(works["title"], works["author"], "qid")

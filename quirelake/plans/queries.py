@@ -309,6 +309,26 @@ def date_conflicts(spark, d):
     return o.select("o_orderkey", matching.date_conflict(1992 + F.col("o_orderkey") % 12, 1900 + F.col("o_orderkey") % 50, F.year("o_orderdate"), F.col("o_orderstatus") == "F").alias("reason"))
 
 
+@query("WITH c AS (SELECT o_orderpriority AS prop, CAST(o_custkey AS VARCHAR) AS value, o_orderkey AS qid FROM orders) SELECT prop, value, CASE WHEN count(DISTINCT qid) = 1 THEN min(qid) END AS qid FROM c GROUP BY ALL")
+def identifier_lookup(spark, d):
+    claims = table(spark, d, "orders").select(F.col("o_orderpriority").alias("prop"), F.col("o_custkey").cast("string").alias("value"), F.col("o_orderkey").alias("qid"))
+    return matching.by_identifier(claims.select("prop", "value").distinct(), claims)
+
+
+@query("WITH a AS (SELECT l_partkey AS k, min(l_orderkey) AS q FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1), b AS (SELECT l_partkey AS k, min(l_orderkey) AS q FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) SELECT p_partkey, coalesce(a.q, b.q) AS qid, CASE WHEN a.q IS NOT NULL THEN 0 WHEN b.q IS NOT NULL THEN 1 END AS source FROM part LEFT JOIN a ON a.k = p_partkey LEFT JOIN b ON b.k = p_partkey")
+def ordered_fallback(spark, d):
+    l = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").alias("qid"), "l_returnflag", "l_quantity")  # noqa: E741
+    return matching.first_found(table(spark, d, "part"), "p_partkey", l.where("l_returnflag = 'R' and l_quantity > 45"), l.where("l_returnflag = 'A'"))
+
+
+@query("WITH labels AS (SELECT p_name AS name, 'Q' || p_partkey AS qid, p_partkey AS n FROM part UNION SELECT p_type, 'Q' || p_partkey, p_partkey FROM part) SELECT DISTINCT x.name, (SELECT arg_min(qid, n) FROM labels l WHERE l.name = x.name AND n IN (SELECT p_partkey FROM part WHERE p_size > 10)) AS qid FROM labels x")
+def label_search(spark, d):
+    p = table(spark, d, "part").withColumn("qid", F.concat(F.lit("Q"), F.col("p_partkey").cast("string")))
+    tables = [p.select(F.col(c).alias("name"), "qid") for c in ("p_name", "p_type")]
+    names = tables[0].select("name").union(tables[1].select("name")).distinct()
+    return matching.by_label(names, tables, p.where("p_size > 10"), text.qid_number)
+
+
 # Quality -------------------------------------------------------------------------
 
 
