@@ -29,10 +29,14 @@ FIT_ROWS = 20_000
 #: N-grams kept for each language, the commonest first: bounds the model that tasks get.
 FIT_GRAMS = 30_000
 GRAM = 3
-SWITCH = 8.0
+SWITCH = 16.0
+#: A word's log posteriors are no lower.
+FLOOR = -6.0
 UNKNOWN = "und"
 #: A worker forgets its words beyond this number; results don't depend on it.
 REMEMBERED = 400_000
+#: Texts whose new words are scored together.
+TOGETHER = 64
 #: A script's candidates: the languages that have this share of their letters in it.
 SCRIPT_SHARE = 0.02
 
@@ -104,59 +108,106 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 class Scorer:
-    """Per-word scores of a model, remembered by word."""
+    """Per-word scores of a model, remembered by word; new words are scored together."""
 
     def __init__(self, model: dict):
-        self.langs, self.table, self.unseen, self.scripts = (model[k] for k in ("langs", "table", "unseen", "scripts"))
+        self.langs = model["langs"]
+        table = model["table"]
+        # Characters are numbered; a gram's code is its characters' numbers, as digits.
+        letters_of = sorted(set("".join(table)))
+        self.base = len(letters_of) + 1
+        self.number = np.zeros(0x110000, np.int64)
+        self.number[[ord(c) for c in letters_of]] = np.arange(1, self.base)
+        self.grams = []
+        for n in range(1, GRAM + 1):
+            own = [g for g in table if len(g) == n]
+            codes = np.array([self.code([int(self.number[ord(c)]) for c in g]) for g in own], np.int64)
+            order = np.argsort(codes)
+            values = np.array([table[g] for g in own], float).reshape(len(own), len(self.langs))[order]
+            self.grams.append((codes[order], np.vstack([values, np.array(model["unseen"], float).reshape(1, -1)])))
+        # Candidates of each script; all languages where a script was never seen.
+        names = [*dict.fromkeys(name for name, _, _ in SCRIPTS), "other"]
+        self.allowed = np.array([[k in model["scripts"].get(name, range(len(self.langs))) for k in range(len(self.langs))] for name in names], bool).reshape(len(names), len(self.langs))
+        spans = sorted((a, b, names.index(name)) for name, a, b in SCRIPTS)
+        self.first, self.last, self.kind = (np.array(x) for x in zip(*spans, strict=True))
+        self.other = len(names) - 1
         self.forget()
 
+    def code(self, numbers):
+        out = 0
+        for x in numbers:
+            out = out * self.base + x
+        return out
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows: list[list[float]] = []
-        self.sizes: list[int] = []
-
-    def score(self, word: str) -> list[float]:
-        found = np.sum([self.table.get(g, self.unseen) for g in grams(word)], axis=0)
-        some = self.scripts.get(script(word))
-        if some is not None and len(some) < len(found):
-            narrowed = np.full(len(found), found[some].min() - 10.0)
-            narrowed[some] = found[some]
-            found = narrowed
-        found = found - found.max()
-        return np.maximum(found - np.log(np.exp(found).sum()), -12.0).tolist()
+        self.rows = np.zeros((1024, len(self.langs)))
+        self.sizes = np.zeros(1024, np.int64)
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log posteriors of lower-case words under equal priors, within their scripts' candidates."""
+        points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        word = np.repeat(np.arange(len(words)), lengths)
+        number = self.number[points]
+        found = np.zeros((len(words), len(self.langs)))
+        for n, (codes, values) in enumerate(self.grams, 1):
+            if len(word) < n:
+                break
+            last = len(number) - n + 1
+            inside = word[:last] == word[n - 1 :]
+            code = self.code([number[k : k + last] for k in range(n)])[inside]
+            at = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
+            row = np.where(codes[at] == code, at, len(codes)) if len(codes) else np.zeros(len(code), np.int64)
+            for k in range(len(self.langs)):
+                found[:, k] += np.bincount(word[:last][inside], values[row, k], len(words))
+        begin = points[np.cumsum(lengths) - lengths + 1].astype(np.int64)
+        for i in [i for i, w in enumerate(words) if w and not w[0].isalpha()]:
+            begin[i] = ord(next((x for x in words[i] if x.isalpha()), "\0"))
+        span = np.searchsorted(self.first, begin, side="right") - 1
+        kind = np.where((span >= 0) & (begin <= self.last[span]), self.kind[span], self.other)
+        allowed = self.allowed[kind]
+        found = np.where(allowed, found, np.where(allowed, found, np.inf).min(axis=1, keepdims=True) - 10.0)
+        found -= found.max(axis=1, keepdims=True)
+        return np.maximum(found - np.log(np.exp(found).sum(axis=1, keepdims=True)), FLOOR)
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known]
+        if not new:
+            return
+        at = len(self.known)
+        if at + len(new) > len(self.sizes):
+            room = 2 * (at + len(new))
+            self.rows = np.concatenate([self.rows[:at], np.zeros((room - at, len(self.langs)))])
+            self.sizes = np.concatenate([self.sizes[:at], np.zeros(room - at, np.int64)])
+        self.rows[at : at + len(new)] = self.score([w.lower() for w in new])
+        self.sizes[at : at + len(new)] = [len(w) if w.isalpha() else letters(w) for w in new]
+        self.known.update(zip(new, range(at, at + len(new)), strict=True))
 
     def lookup(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            for w in set(words).difference(known):
-                low = w.lower()
-                known[w] = len(self.rows)
-                self.rows.append(self.score(low))
-                self.sizes.append(letters(w))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def path(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The language of each word on the best path, and each word's letters."""
-        rows = self.rows
-        scores = np.array([rows[i] for i in ids.tolist()]).reshape(len(ids), len(self.langs))
-        sizes = np.fromiter(map(self.sizes.__getitem__, ids.tolist()), np.int64, len(ids))
-        scores = np.where(sizes[:, None] > 0, scores, 0.0)
+        sizes = self.sizes[ids]
+        scores = np.where(sizes[:, None] > 0, self.rows[ids], 0.0)
         return viterbi(scores, SWITCH), sizes
 
 
 def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
     """The states of the path of the largest score, where each change of state costs ``switch``.
 
-    If no stretch favours another state than the best single one by over half of
-    ``switch``, no path with changes is better, and that state is the answer.
+    The best single state is the answer if no stretch favours another one by more
+    than ``switch``, and the best beginning and the best end together don't
+    either: a path's inner stretches then gain less than the changes around them
+    cost, and so do its first and last one.
     """
     n, k = scores.shape
     best = int(scores.sum(axis=0).argmax()) if n else 0
     gain = np.zeros((n + 1, k))
     np.cumsum(scores - scores[:, best : best + 1], axis=0, out=gain[1:])
-    if (gain - np.minimum.accumulate(gain, axis=0)).max(initial=0.0) <= switch / 2:
+    stretch = (gain - np.minimum.accumulate(gain, axis=0)).max(initial=0.0)
+    if stretch <= switch and gain.max(initial=0.0) + (gain[-1] - gain.min(axis=0)).max(initial=0.0) <= switch:
         return np.full(n, best)
     here = list(range(k))
     value = [0.0] * k
@@ -184,18 +235,22 @@ def _predictor(model: dict, fields: list[str], text_at: int, with_spans: bool):
         scorer = Scorer(model)
         for batch in batches:
             found, scores, spans = [], [], []
-            for text in batch.column(text_at).to_pylist():
+            texts = batch.column(text_at).to_pylist()
+            for at in range(0, len(texts), TOGETHER):
                 if len(scorer.known) > REMEMBERED:
                     scorer.forget()
-                own = _WORD.findall(text or "") if model["langs"] else []
-                path, sizes = scorer.path(scorer.lookup(own)) if own else (None, None)
-                share = np.bincount(path, sizes, len(model["langs"])) if own else np.zeros(1)
-                k = int(share.argmax())
-                some = share[k] > 0
-                found.append(model["langs"][k] if some else UNKNOWN)
-                scores.append(float(share[k] / share.sum()) if some else 0.0)
-                if with_spans:
-                    spans.append(_spans(path, [m.span() for m in _WORD.finditer(text)], model["langs"]) if some else [])
+                some_texts = texts[at : at + TOGETHER]
+                all_words = [_WORD.findall(t or "") if model["langs"] else [] for t in some_texts]
+                scorer.learn(set().union(*all_words))
+                for text, own in zip(some_texts, all_words, strict=True):
+                    path, sizes = scorer.path(scorer.lookup(own)) if own else (None, None)
+                    share = np.bincount(path, sizes, len(model["langs"])) if own else np.zeros(1)
+                    k = int(share.argmax())
+                    some = share[k] > 0
+                    found.append(model["langs"][k] if some else UNKNOWN)
+                    scores.append(float(share[k] / share.sum()) if some else 0.0)
+                    if with_spans:
+                        spans.append(_spans(path, [m.span() for m in _WORD.finditer(text)], model["langs"]) if some else [])
             columns = [*(batch.column(k) for k in range(len(fields))), pa.array(found, pa.string()), pa.array(scores, pa.float64())]
             names = [*fields, "lang_pred", "lang_score"]
             if with_spans:
