@@ -39,8 +39,8 @@ BLOCK_WORDS = 1_000_000
 #: A to Z fold to lower case; ASCII characters other than letters and digits part words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
-INDEX = "segment string, term binary, n long, postings binary, doc_ids array<long>"
-_INDEX = pa.schema([("segment", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("postings", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
+INDEX = "segment string, term binary, n long, postings binary, doc_ids array<string>"
+_INDEX = pa.schema([("segment", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("postings", pa.binary()), ("doc_ids", pa.list_(pa.string()))])
 HITS = "segment string, place long, doc_id long, n_words long, hits array<int>, items array<string>"
 
 
@@ -81,7 +81,7 @@ def _indexer(vocabulary: list[bytes] | None, gap: int, segment_words: int):
                 ids = np.full(len(own) + gap, -1, np.int32)
                 ids[: len(own)] = np.fromiter(map(number.get, own, repeat(-1)), np.int32, len(own))
                 terms.append(ids)
-                docs.append(doc)
+                docs.append(None if doc is None else str(doc))  # as text, a null among numbers stays exact in pandas
                 counts.append(len(own))
                 n += len(ids)
                 if n >= segment_words:

@@ -185,6 +185,13 @@ def test_decontamination(spark, docs, empty):
     assert not any(r["contaminated"] for r in decontamination.find_contamination(docs, items.limit(0)).collect())
 
 
+def test_decontamination_without_ids(spark):
+    rows = spark.createDataFrame([(None, PASSAGE), (2**62 + 1, "clean"), (None, None)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    got = decontamination.find_contamination(rows, items).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"]) for r in got) == [(0, 0, 0), (0, 12, 12), (2**62 + 1, 1, 0)]
+
+
 def test_proximity(spark):
     one = spark.createDataFrame([(1, "x one two and three y"), (2, "three x x x x one")], "doc_id long, text string")
     items = spark.createDataFrame([("i", "one two three")], "item_id string, text string")
