@@ -84,7 +84,7 @@ def natural_order(name: Column) -> Column:
 
 
 def dedupe_key(authority: Column, cluster: Column, name: Column) -> Column:
-    return F.coalesce(F.concat(F.lit("mazal:"), authority), F.concat(F.lit("viaf:"), cluster), F.concat(F.lit("name:"), plain_name(name)))
+    return F.coalesce(F.concat(F.lit("authority:"), authority), F.concat(F.lit("viaf:"), cluster), F.concat(F.lit("name:"), plain_name(name)))
 
 
 def ascii_only(s: Column) -> Column:

@@ -33,7 +33,7 @@ def of_class(values: DataFrame, key: str, value: str, members: DataFrame, member
 
 #: Documented shapes: class, path, least, most, severity (fixed values).
 SHAPES = (
-    ("Manuscript", "rdfs:label", 1, None, "Violation"), ("Manuscript", "nli_id", 1, 1, "Violation"), ("Expression", "rdfs:label", 1, None, "Violation"), ("Expression", "realises", 1, None, "Warning"), ("Expression", "folio_range", 1, None, "Warning"), ("Colophon", "text", 1, None, "Violation"),
+    ("Manuscript", "rdfs:label", 1, None, "Violation"), ("Manuscript", "record_id", 1, 1, "Violation"), ("Expression", "rdfs:label", 1, None, "Violation"), ("Expression", "realises", 1, None, "Warning"), ("Expression", "folio_range", 1, None, "Warning"), ("Colophon", "text", 1, None, "Violation"),
     ("Colophon", "mentions_scribe", 1, None, "Warning"), ("Production", "time_span", 1, None, "Violation"), ("Production", "materialised", 1, None, "Violation"), ("VolumeSet", "has_volume", 2, None, "Violation"), ("Manuscript", "embodies", 1, None, "Warning"),
 )
 

@@ -38,7 +38,7 @@ def record_triples(records: DataFrame, bnodes: bool = True) -> DataFrame:
     agent = lambda a: F.concat(F.lit("person/"), F.coalesce(a["authority_id"], text.uri_safe_hebrew(a["name"])))
     parts = [
         graph.emit(
-            records, ms, graph.link(graph.TYPE, F.lit("Manuscript")), graph.literal(graph.LABEL, F.coalesce("title", "control_number")), graph.literal("nli_id", F.col("control_number")), graph.link("embodies", expression), scalar("script_type", "script_type"), scalar("script_mode", "script_mode"), graph.literal("extent", F.col("extent"), "xsd:integer"),
+            records, ms, graph.link(graph.TYPE, F.lit("Manuscript")), graph.literal(graph.LABEL, F.coalesce("title", "control_number")), graph.literal("record_id", F.col("control_number")), graph.link("embodies", expression), scalar("script_type", "script_type"), scalar("script_mode", "script_mode"), graph.literal("extent", F.col("extent"), "xsd:integer"),
             graph.literal("height_mm", F.col("dimensions.height_mm"), "xsd:integer"), graph.literal("width_mm", F.col("dimensions.width_mm"), "xsd:integer"), scalar("digital_url", "digital_url"), scalar("shelfmark", "shelfmark"), scalar("holding_institution", "holding_institution"), scalar("rights_statement", "rights_statement"), scalar("summary", "summary"),
             scalar("provenance", "provenance"), scalar("acquisition_source", "acquisition_source"), flag("has_watermark", "has_watermark"), flag("has_decoration", "has_decoration"), flag("has_vocalization", "has_vocalization"), flag("has_cantillation", "has_cantillation"), flag("has_multiple_hands", "has_multiple_hands"),
             more=[strings("material", "materials"), strings("language", "languages"), strings("genre", "genres"), strings("intervention", "scribal_interventions"), strings("condition_note", "condition_notes"), strings("catalog_reference", "catalog_references"), F.transform("subjects", lambda v: graph.link("subject", F.concat(F.lit("subject/"), text.uri_safe_hebrew(v)))), F.transform("related_works", lambda v: graph.link("related_work", F.concat(F.lit("work/"), text.uri_safe_hebrew(v)))), F.transform("related_places", lambda v: graph.link("related_place", F.concat(F.lit("place/"), text.uri_safe_hebrew(v))))],

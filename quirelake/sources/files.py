@@ -99,12 +99,12 @@ def read_annotation_json(spark: SparkSession, path: str, kind: str) -> DataFrame
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``places`` and ``names(kima_id, name)`` of a folder of three tab-separated files; empty ids become null."""
+    """``places`` and ``names(place_id, name)`` of a folder of three tab-separated files; empty ids become null."""
     places = spark.read.csv(f"{path}/places.tsv", header=True, sep="\t")
     empty = lambda c: F.nullif(F.trim(c), F.lit(""))
-    out = places.select(F.col("Id").cast("int").alias("kima_id"), empty("primary_heb_full").alias("primary_heb"), empty("primary_rom_full").alias("primary_rom"), empty("WD").alias("wikidata_id"), empty("VIAF_ID").alias("viaf_id"), empty("Geoname_ID").alias("geonames_id"), empty("MAZAL_ID").alias("mazal_nli_id"), F.col("lat").try_cast("double").alias("lat"), F.col("lon").try_cast("double").alias("lon"))
-    variants = spark.read.csv(f"{path}/variants.tsv", header=True, sep="\t").select(F.col("PlaceId").cast("int").alias("kima_id"), F.col("variant").alias("name"))
-    names = out.select("kima_id", F.explode(F.array_compact(F.array("primary_heb", "primary_rom"))).alias("name")).union(variants).where("name is not null").distinct()
+    out = places.select(F.col("Id").cast("int").alias("place_id"), empty("primary_heb_full").alias("primary_heb"), empty("primary_rom_full").alias("primary_rom"), empty("WD").alias("wikidata_id"), empty("VIAF_ID").alias("viaf_id"), empty("Geoname_ID").alias("geonames_id"), empty("MAZAL_ID").alias("authority_id"), F.col("lat").try_cast("double").alias("lat"), F.col("lon").try_cast("double").alias("lon"))
+    variants = spark.read.csv(f"{path}/variants.tsv", header=True, sep="\t").select(F.col("PlaceId").cast("int").alias("place_id"), F.col("variant").alias("name"))
+    names = out.select("place_id", F.explode(F.array_compact(F.array("primary_heb", "primary_rom"))).alias("name")).union(variants).where("name is not null").distinct()
     return out, names
 
 

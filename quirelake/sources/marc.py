@@ -137,14 +137,14 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
 
 def authority_records(long: DataFrame) -> DataFrame:
-    """``nli_id, entity_type, script, name, preferred, dates`` of authority records: headings (1xx) and variants (4xx).
+    """``authority_id, entity_type, script, name, preferred, dates`` of authority records: headings (1xx) and variants (4xx).
 
     A name's script is its ``$9`` (``lat`` if none); trailing commas and full stops go.
     """
     kinds = F.create_map(*[F.lit(x) for kv in {"00": "person", "10": "corporate", "11": "meeting", "30": "work", "51": "place"}.items() for x in kv])
     fields = long.where(F.col("tag").rlike("^[14](00|10|11|30|51)$")).groupBy("control_number", "tag", "field_ord").agg(*(F.max(F.when(F.col("code") == c, F.struct("sub_ord", "value")))["value"].alias(n) for c, n in (("a", "a"), ("d", "dates"), ("9", "script"))))
     name = F.regexp_replace("a", "[,. ]+$", "")
-    return fields.where(F.col("a").isNotNull()).select(F.col("control_number").alias("nli_id"), kinds[F.substring("tag", 2, 2)].alias("entity_type"), F.coalesce("script", F.lit("lat")).alias("script"), name.alias("name"), F.col("tag").startswith("1").alias("preferred"), "dates")
+    return fields.where(F.col("a").isNotNull()).select(F.col("control_number").alias("authority_id"), kinds[F.substring("tag", 2, 2)].alias("entity_type"), F.coalesce("script", F.lit("lat")).alias("script"), name.alias("name"), F.col("tag").startswith("1").alias("preferred"), "dates")
 
 
 def flat_projection(long: DataFrame) -> DataFrame:

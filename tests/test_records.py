@@ -71,7 +71,7 @@ def test_delimited_reader(spark, tmp_path):
 def test_marcxml_reader(spark, tmp_path):
     xml = '<collection><record><controlfield tag="001">0012</controlfield><datafield tag="100" ind1="1" ind2=" "><subfield code="a">Cohen, David,</subfield><subfield code="d">1900-</subfield></datafield><datafield tag="400" ind1="1" ind2=" "><subfield code="a">כהן, דוד</subfield><subfield code="9">heb</subfield></datafield></record></collection>'
     long = marc.read_any(spark, write(tmp_path, "a.xml", xml.encode()))
-    got = {(r["nli_id"], r["name"], r["script"], r["preferred"], r["entity_type"]) for r in marc.authority_records(long).collect()}
+    got = {(r["authority_id"], r["name"], r["script"], r["preferred"], r["entity_type"]) for r in marc.authority_records(long).collect()}
     assert got == {("0012", "Cohen, David", "lat", True, "person"), ("0012", "כהן, דוד", "heb", False, "person")}
 
 
