@@ -9,11 +9,13 @@ second permutation shifted by k.  Minima over a document's shingles are its
 signature, and ``ROWS`` coordinates make a band.
 
 Documents with equal shingle sets form a class; the smallest id stands for it.
-Classes that share a band are candidates.  No pairs are made within a bucket:
-in each round a few leaders of the bucket meet the other members, and exact
-Jaccard similarities on the full sets confirm links.  Linked classes become components,
-and buckets with one component left are done; leaders that met all others leave.
-Every pair in a bucket is thus either compared or already connected.
+Classes that share a band are candidates.  First, each bucket's smallest member
+meets the others, exact Jaccard similarities on the full sets confirm links, and
+linked classes become components.  Buckets of one component are done.  The
+members of the others are dealt into blocks of bounded size; two blocks at a time
+are compared at once, by counting shared shingles with matrix products, and what
+leaves a task is one link for each member that joins a component, never all
+pairs.  Every pair in a bucket is thus either compared or already connected.
 
 Null ids: never linked, kept.  Rows that share an id are one vertex of the graph.
 """
@@ -37,9 +39,8 @@ COORDINATES = 384
 ROWS = 6
 CIRCLE = 1 << 22
 SEED = 20240229
-#: Leaders of a bucket after the first round, and how their number grows from round to round: few
-#: suffice where texts are alike, and where they are not, the growth keeps the rounds few.
-LEADERS, GROWTH = 2, 4
+#: What a bucket's blocks hold on average, at most: shingles and documents.
+BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 1024
 #: Members that meet a leader in one group of the verification.
 GROUP = 256
 #: A worker forgets its words beyond this number; results don't depend on it.
@@ -154,6 +155,61 @@ def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*links, strict=True) if links else ([], []))], names=["a", "b"])
 
 
+def _joined(ids: list[int], component: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that tie together what similar sets of different components tie together: one a member at most."""
+    n = len(ids)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    owner = np.repeat(np.arange(n), sizes)
+    _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(df > 1)
+    place = np.full(len(df), -1, np.int64)
+    place[shared] = np.arange(len(shared))
+    held = place[column]
+    common = np.zeros((n, n), np.float32)
+    for at in range(0, len(shared), 4096):
+        width = min(4096, len(shared) - at)
+        some = (held >= at) & (held < at + width)
+        has = np.zeros((n, width), np.float32)
+        has[owner[some], held[some] - at] = 1
+        common += has @ has.T
+    common = common.astype(np.int64)
+    _, label = np.unique(component, return_inverse=True)
+    alike = 100 * common >= PERCENT * (sizes[:, None] + sizes[None, :] - common)
+    if not (alike & (label[:, None] != label[None, :])).any():
+        return []
+    np.fill_diagonal(alike, True)
+    alike |= label[:, None] == label[None, :]
+    first = np.arange(n)
+    while True:
+        near = np.where(alike, first[None, :], n).min(axis=1)
+        if (near == first).all():
+            break
+        first = near
+    return [(ids[f], ids[k]) for k, f in enumerate(first.tolist()) if ids[f] != ids[k]]
+
+
+def _block_verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket and pair of blocks."""
+    words = _Words()
+    group: tuple | None = None
+    docs: list[tuple[int, int, np.ndarray]] = []
+
+    def links() -> pa.RecordBatch:
+        found = _joined(*map(list, zip(*docs, strict=True))) if len(docs) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], names=["a", "b"])
+
+    for batch in batches:
+        columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "i", "j", "rep", "component", "text"))
+        for key, i, j, rep, component, text in zip(*columns, strict=True):
+            if (key, i, j) != group:
+                if docs:
+                    yield links()
+                group, docs = (key, i, j), []
+            docs.append((rep, component, shingle_set(text, words)))  # an id's several texts are of one component
+    if docs:
+        yield links()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those pairs (``a`` leads ``b``) whose full shingle sets are similar enough.
 
@@ -206,26 +262,16 @@ def link_classes(rows: DataFrame, texts: DataFrame, extra: DataFrame | None = No
     links = written(confirmed(pairs, own), "links")
     if extra is not None:
         links = links.unionAll(extra)
-    labels, n_leaders = components(links), LEADERS
-    while True:
-        # Buckets of more than one component, without the leaders that have met all others.
-        named = open_rows.join(labels, open_rows["rep"] == labels["node"], "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component"))
-        named = written(named, "named")
-        live = named.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
-        rest = written(named.join(live, "key"), "rest")
-        if rest.isEmpty():
-            return labels
-        slices = F.pmod(F.xxhash64("rep"), F.lit(n_leaders))
-        leaders = written(rest.groupBy("key", slices.alias("slice")).agg(F.min(F.struct("rep", "component", "size")).alias("l")).select("key", F.col("l.rep").alias("a"), F.col("l.component").alias("ca"), F.col("l.size").alias("sa")), "leaders")
-        others = rest.select(F.col("key").alias("k"), "rep", "size", "component")
-        meet = (F.col("key") == F.col("k")) & (F.col("component") != F.col("ca")) & _may_link("size", "sa")
-        pairs = written(leaders.join(others, meet).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "pairs")
-        found = written(confirmed(pairs, own), "links")
-        if not found.isEmpty():
-            links = links.unionAll(found)
-            labels = components(links)
-        open_rows = written(rest.join(leaders.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "size"), "open")
-        n_leaders *= GROWTH
+    labels = components(links)
+    # Buckets of more than one component; their first members have met all others.
+    named = written(open_rows.join(labels, open_rows["rep"] == labels["node"], "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component")), "named")
+    live = named.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.sum("size").alias("shingles"), F.count("*").alias("docs")).where("c < d").select("key", F.ceil(F.greatest(F.col("shingles") / BLOCK_SHINGLES, F.col("docs") / BLOCK_DOCS)).cast("int").alias("blocks"))
+    rest = named.join(live, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    both = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j"))))
+    dealt = written(rest.select("key", "rep", "component", both.alias("b")).select("key", "b.i", "b.j", "rep", "component"), "dealt")
+    groups = dealt.join(own, dealt["rep"] == own["doc_id"]).select("key", "i", "j", "rep", "component", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    found = written(groups.mapInArrow(_block_verifier, "a long, b long").distinct(), "links")
+    return labels if found.isEmpty() else components(links.unionAll(found))
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

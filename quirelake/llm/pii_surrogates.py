@@ -97,13 +97,16 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), value), F.lit(0), lambda a, x: a + x)
 
 
-def surrogate(key: str, kind: Column, canonical: Column, turn: Column) -> Column:
-    """The surrogate of a canonical form: as long as it, and of its kind."""
-    own = _stream(key, kind, canonical, turn)
+def _domain(address: Column) -> Column:
+    return F.substring_index(address, "@", -1)
+
+
+def surrogate(key: str, kind: Column, canonical: Column, own: Column, of_domain: Column) -> Column:
+    """The surrogate of a canonical form from its drawn digits: as long as it, and of its kind."""
     redrawn = _redrawn(canonical, own)
-    local, domain = F.substring_index(canonical, "@", 1), F.substring_index(canonical, "@", -1)
+    local, domain = F.substring_index(canonical, "@", 1), _domain(canonical)
     host, top = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.substring_index(domain, ".", -1)
-    email = F.concat(_redrawn(local, own), F.lit("@"), _redrawn(host, _stream(key, F.lit("domain"), domain, F.lit(0))), F.lit("."), top)
+    email = F.concat(_redrawn(local, own), F.lit("@"), _redrawn(host, of_domain), F.lit("."), top)
     octets = F.transform(F.split(canonical, r"\."), lambda o, i: F.when(F.length(o) == 1, _draw(own, i) % 10).when(F.length(o) == 2, _draw(own, i) % 90 + 10).otherwise(_draw(own, i) % 156 + 100).cast("string"))
     body = F.concat(F.substring(canonical, 1, 1), F.substring(redrawn, F.lit(2), F.length(canonical) - 2))
     check = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
@@ -161,7 +164,9 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     real = entities.select(F.col("canonical").alias("surrogate"), F.lit(True).alias("real")).distinct()
     left, done, turn = entities, None, 0
     while True:
-        drawn = written(left.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("canonical"), F.lit(turn))), "drawn")
+        # The drawn digits are written first: inside the lambdas they would be drawn anew for each character.
+        streams = written(left.select("kind", "canonical", _stream(key, F.col("kind"), F.col("canonical"), F.lit(turn)).alias("own"), _stream(key, F.lit("domain"), _domain(F.col("canonical")), F.lit(0)).alias("of_domain")), "streams")
+        drawn = written(streams.select("kind", "canonical", surrogate(key, F.col("kind"), F.col("canonical"), F.col("own"), F.col("of_domain")).alias("surrogate")), "drawn")
         lists = F.col("kind").startswith("given-")
         first = drawn.where(~lists).groupBy("surrogate").agg(F.min(F.struct("kind", "canonical")).alias("first"))
         checked = drawn.join(first, "surrogate", "left").join(real, "surrogate", "left")
@@ -185,7 +190,10 @@ def replace_entities(documents: DataFrame, *, key: str = KEY, id_col: str = "doc
     """``documents`` with surrogates in place of personal data, plus ``n_entities``."""
     rows = documents.drop("n_entities")
     text = F.col(text_col)
-    some = F.coalesce(text.rlike(PATTERN), F.lit(False))
+    # Most texts have neither a sign nor a digit, and a name needs a word of the lists: cheap tests come first.
+    words = [*(t for ts in TITLES.values() for t in ts), *(n for ns in GIVEN.values() for n in ns)]
+    maybe = text.rlike("[@0-9]") | text.rlike(r"(?<!\p{L})(?=[\p{Lu}א-ת])(?:" + "|".join(words) + ")")
+    some = F.coalesce(maybe & text.rlike(PATTERN), F.lit(False))
     plain = rows.where(~some).withColumn("n_entities", F.lit(0).cast("long"))
     place = F.xxhash64(F.col(id_col), text)
     held = rows.where(some).withColumn("__place", place).withColumn("__found", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(1)))
