@@ -6,8 +6,8 @@ as Parquet in the shared folder and read again.
 
 1. language ID: fits on the labelled rows and drops documents without a letter,
    and those in which no language holds half of the letters.
-2. line dedup: recurring lines stay in the first document that has them;
-   documents that lose all their words leave.
+2. line dedup: recurring lines stay in the first document that has them, copies
+   lose their short lines too; documents that lose all their words leave.
 3. near duplicates: the document with the smallest id of each group stays.
 4. decontamination: documents with a passage of the benchmark leave.
 5. packing: every piece of every document and its place in a sequence.
@@ -35,7 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_templates.drop_recurring_lines(docs, keep_empty=False).select(docs.columns)
+    kept = line_templates.drop_recurring_lines(docs, keep_empty=False, copies=True).select(docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 

@@ -210,6 +210,19 @@ def test_line_dedup(spark, docs, empty):
     assert [r["doc_id"] for r in logs.collect()] == [0]
 
 
+def test_line_dedup_empties_copies(spark):
+    """A few copies, too few for their short lines to recur often, leave; chance short lines stay."""
+    text = f"Contents\n{SHARED}\nshort line of five words\nRead more"
+    alone = "Only short\nlines here\nRead more"
+    rows = [(1, "Read more\nwords of a clean document that no other document has"), (2, text), (3, text), (4, text + "\n"), (5, alone), (6, alone), (7, f"Read more\n{SHARED}\nNo copy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(docs, keep_empty=False, copies=True).collect()}
+    assert got == {1: rows[0][1], 2: text, 5: alone, 7: "No copy"}
+    import corpus_pipeline
+
+    assert {r["doc_id"] for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()} == {1, 2, 5, 7}
+
+
 def test_viterbi_equals_brute_force():
     from itertools import product
 
