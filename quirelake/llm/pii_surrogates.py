@@ -7,9 +7,11 @@ or a given name of the lists below before a surname).
 An entity's canonical form (lower case, or digits only) and a secret key give its
 surrogate, so that all mentions of an entity get the same one, in each mention's
 own format: case, signs and spaces stay.  Characters keep their class and script
-(vowel, consonant, digit; Latin, Cyrillic, Hebrew); octets keep their range, card
-numbers their first digit and a valid check digit, telephone numbers their
-country code, e-mail addresses share a surrogate domain where they shared one.
+(vowel, consonant, digit; Latin, accented Latin, Greek, Cyrillic, Hebrew, Arabic,
+Han, kana, Hangul; letters of other scripts become Latin ones); octets keep their
+range, card numbers their first digit and a valid check digit, telephone numbers
+their whole country code (or first digit), e-mail addresses share a surrogate
+domain where they shared one.
 Given names of the lists are exchanged within the list of their gender and
 script by a keyed rotation.
 
@@ -41,15 +43,16 @@ GIVEN = {
 TITLES = {"male": ("Mr", "Herr", "Monsieur", "Señor", "Г-н"), "female": ("Mrs", "Ms", "Frau", "Madame", "Señora", "Г-жа")}
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_CAPITAL = r"[\p{Lu}א-ת][\p{L}]+"
+_CAPITAL = r"[\p{Lu}\p{Lo}][\p{L}]+"
 _SOLO = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])",
     "iban": _SOLO[0] + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _SOLO[1],
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": "(?<![0-9A-Za-z+])" + r"(?:(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4})" + _SOLO[1],
-    "card": _SOLO[0] + r"[0-9]{4}(?:[0-9]{9,15}|([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,7})" + _SOLO[1],
+    # Compact numbers, the national form of North America, any grouping of 7 to 15 digits, short groups, national numbers with a trunk zero.
+    "phone": "(?<![0-9A-Za-z+])" + r"(?:\+[1-9][0-9]{9,14}|(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9](?:[ .-]?\(?[0-9]\)?){6,14}|0[1-9](?: [0-9]{2}){4}|0[1-9][0-9]{1,3} [0-9]{5,8}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4})" + _SOLO[1],
+    "card": _SOLO[0] + r"[0-9]{4}(?:[0-9]{9,15}| [0-9]{6} [0-9]{5}|-[0-9]{6}-[0-9]{5}|([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,7})" + _SOLO[1],
     "name": rf"(?<!\p{{L}})(?:(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.? {_CAPITAL}(?: {_CAPITAL})?|(?:{'|'.join(n for ns in GIVEN.values() for n in ns)}) {_CAPITAL})",
 }
 #: One expression for all kinds; group 2 is the card number's separator.
@@ -71,16 +74,31 @@ def _draw(stream: Column, i: Column) -> Column:
 
 
 #: Alphabets; a character is replaced by one of the same.
-ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "אבגדהוזחטיכלמנסעפצקרשת")
+ALPHABETS = (
+    "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "אבגדהוזחטיכלמנסעפצקרשת",
+    "áéíóúàèìòùâêîôûäëïöüåøæ", "çñšžčćřłńśźżğşđ", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜÅØÆ", "ÇÑŠŽČĆŘŁŃŚŹŻĞŞĐ", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψ", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+)
+#: Letters outside the alphabets, and what is drawn for them; the first that fits counts.
+OTHERS = (
+    (r"\p{IsLatin}", "áéíóúàèìòùâêîôûäëïöüåøæ"), (r"\p{IsGreek}", "βγδζθκλμνξπρστφχψ"), (r"\p{IsCyrillic}", "бвгджзйклмнпрстфхцчшщ"), (r"\p{IsHebrew}", "אבגדהוזחטיכלמנסעפצקרשת"), (r"\p{IsArabic}", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"),
+    (r"\p{IsHan}", "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶"), (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ"),
+    (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ"), (r"\p{IsHangul}", "김이박최정강조윤장임한오서신권황안송전홍유고문양손배백허남심노하곽성차주우구민진지"), (r"\p{L}", "bcdfghjklmnpqrstvwxyz"),
+)
+#: Country codes of one, two or three digits.
+CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 
 def _redrawn(text: Column, stream: Column) -> Column:
     """Each character replaced by a drawn one of the same alphabet."""
 
     def one(c: Column, i: Column) -> Column:
+        drawn = lambda letters: F.substring(F.lit(letters), _draw(stream, i) % len(letters) + 1, F.lit(1))
         out = c
+        for script, letters in reversed(OTHERS):
+            out = F.when(c.rlike(f"^{script}$") & c.rlike(r"^\p{L}$"), drawn(letters)).otherwise(out)
+        out = F.when(c.rlike("^[^\\x00-\\x7F]$"), out).otherwise(c)
         for letters in ALPHABETS:
-            out = F.when(F.instr(F.lit(letters), c) > 0, F.substring(F.lit(letters), _draw(stream, i) % len(letters) + 1, F.lit(1))).otherwise(out)
+            out = F.when(F.instr(F.lit(letters), c) > 0, drawn(letters)).otherwise(out)
         return out
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
@@ -112,7 +130,8 @@ def surrogate(key: str, kind: Column, canonical: Column, own: Column, of_domain:
     check = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
     card = F.concat(body, F.when(_luhn(canonical) % 10 == 0, check).otherwise(F.substring(redrawn, F.length(canonical), F.lit(1))))
     # The country code (or the first digit) stays.
-    phone = F.concat(F.substring(canonical, 1, 1), F.substring(redrawn, F.lit(2), F.length(canonical)))
+    code = F.greatest(F.length(F.regexp_extract(canonical, CODE, 0)), F.lit(1))
+    phone = F.concat(F.substring(canonical, F.lit(1), code), F.substring(redrawn, code + 1, F.length(canonical)))
     iban = F.concat(F.substring(canonical, 1, 2), F.substring(redrawn, F.lit(3), F.length(canonical)))
     out = F.when(kind == "email", email).when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", iban)
     for (gender, script), names in GIVEN.items():
@@ -132,7 +151,8 @@ def _kind(entity: Column) -> Column:
 
 def _parts(entity: Column, kind: Column) -> Column:
     """What of an entity is looked up: ``kind, canonical, form``; a name's words one by one."""
-    canonical = F.when(kind.isin("ssn", "phone", "card"), F.regexp_replace(entity, "[^0-9]", "")).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).otherwise(F.lower(entity))
+    # A leading plus tells that a country code follows.
+    canonical = F.when(kind.isin("ssn", "phone", "card"), F.regexp_replace(entity, r"(?<!^)\+|[^0-9+]", "")).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).otherwise(F.lower(entity))
     words = F.split(entity, " ")
     titled = words[0].rlike(_in(t for ts in TITLES.values() for t in ts))
 
@@ -152,7 +172,7 @@ def _formatted(form: Column, kind: Column, found: Column) -> Column:
     chars = F.split(form, "")
     def at(c: Column, i: Column) -> Column:
         before = F.length(F.regexp_replace(F.substring(form, F.lit(1), i), "[^0-9A-Z]", ""))
-        filled = F.substring(found, before + 1, F.lit(1))
+        filled = F.substring(F.replace(found, F.lit("+"), F.lit("")), before + 1, F.lit(1))
         return F.when(~c.rlike("[0-9A-Z]"), c).otherwise(filled)
     spaced = F.array_join(F.transform(chars, at), "")
     cased = F.array_join(F.transform(F.split(found, ""), lambda c, i: F.when(F.substring(form, i + 1, F.lit(1)) != F.lower(F.substring(form, i + 1, F.lit(1))), F.upper(c)).otherwise(c)), "")

@@ -265,3 +265,20 @@ def test_surrogates(docs, empty):
     luhn = lambda x: sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(x))) % 10
     assert luhn("4173893178530722") != 0 or luhn(card) == 0
     assert pii_surrogates.replace_entities(empty).count() == 0
+
+
+def test_surrogates_of_more_formats_and_scripts(spark):
+    numbers = {"+14155550123": r"\+1\d{10}", "+33612345678": r"\+33\d{9}", "+49 30 1234567": r"\+49 \d\d \d{7}", "+44 (0)20 7946 0958": r"\+44 \(\d\)\d\d \d{4} \d{4}", "+420 601 123 456": r"\+420 \d{3} \d{3} \d{3}", "415 555 0123": r"4\d\d \d{3} \d{4}", "3782 822463 10005": r"3\d{3} \d{6} \d{5}", "01 23 45 67 89": r"0\d( \d\d){4}"}
+    names = {"Mr Παπαδόπουλος": "[α-ωά-ώΑ-Ω]{12}", "Mr محمد": "[\u0621-\u064a]{4}", "Mrs 王小明": "[\u4e00-\u9fff]{3}", "Mr Öß": r"\w{2}", "Mr Ёж": "[А-я]{2}", "Mr Հայկ": "[A-Za-z]{4}"}
+    rows = list(enumerate([*numbers, *names]))
+    docs = spark.createDataFrame([(i, f"it was {t}.") for i, t in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii_surrogates.replace_entities(docs, key="k").collect()}
+    for i, t in rows:
+        new = got[i]["text"][7:-1]
+        assert new != t and got[i]["n_entities"] == 1, (t, new)
+        if t in numbers:
+            assert re.fullmatch(numbers[t], new), (t, new)
+        else:
+            word, old = new.split(" ")[1], t.split(" ")[1]
+            assert re.fullmatch(names[t], word) and not any(a.lower() == b.lower() for a, b in zip(word, old, strict=True) if len(old) == 2 and a in "ÖößЁё"), (t, new)
+    assert got[6]["text"].startswith("it was 3")
