@@ -16,7 +16,10 @@ Given names of the lists are exchanged within the list of their gender and
 script by a keyed rotation.
 
 Surrogates are checked over the whole corpus: one that equals a real entity or
-another entity's surrogate is drawn anew until all are distinct.
+another entity's surrogate is drawn anew until all are distinct.  After
+``SAME_FORM`` turns the forms left are widened, so that a full space of short forms
+doesn't end the search: octets take any value, other forms grow by a character
+each turn.
 
 Null texts stay null; rows without entities pass unchanged; repeated rows and
 ids get the same result each.
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 KEY = "change-me"
+#: Turns in which surrogates keep their form.
+SAME_FORM = 4
 
 #: Given names by gender and script, titles by gender.
 GIVEN = {
@@ -59,13 +64,17 @@ PATTERNS = {
 PATTERN = "(" + "|".join(PATTERNS.values()) + ")"
 
 
+#: Characters that a widened form gains at most.
+EXTRA = 32
+
+
 def _in(values) -> str:
     return "^(?:" + "|".join(values) + r")\.?$"
 
 
 def _stream(key: str, kind: Column, canonical: Column, turn: Column) -> Column:
     """Keyed hexadecimal digits, two for each character."""
-    blocks = F.sequence(F.lit(0), F.floor(F.length(canonical) / 64).cast("int"))
+    blocks = F.sequence(F.lit(0), F.floor((F.length(canonical) + EXTRA) / 64).cast("int"))
     return F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("|", F.lit(key), kind, canonical, turn.cast("string"), b.cast("string")), 512)), "")
 
 
@@ -119,16 +128,21 @@ def _domain(address: Column) -> Column:
     return F.substring_index(address, "@", -1)
 
 
-def surrogate(key: str, kind: Column, canonical: Column, own: Column, of_domain: Column) -> Column:
-    """The surrogate of a canonical form from its drawn digits: as long as it, and of its kind."""
+def surrogate(key: str, kind: Column, canonical: Column, own: Column, of_domain: Column, extra: int = 0) -> Column:
+    """The surrogate of a canonical form from its drawn digits: longer by ``extra``, and of its kind."""
+    given, valid = canonical, _luhn(canonical) % 10 == 0
+    local, domain = F.concat(F.substring_index(canonical, "@", 1), F.lit("k" * extra)), _domain(canonical)
+    if extra:
+        # More of the last character's alphabet; quads don't grow.
+        canonical = F.when(kind == "ip", canonical).otherwise(F.concat(canonical, F.repeat(F.substring(canonical, F.lit(-1), F.lit(1)), F.lit(extra))))
     redrawn = _redrawn(canonical, own)
-    local, domain = F.substring_index(canonical, "@", 1), _domain(canonical)
     host, top = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.substring_index(domain, ".", -1)
     email = F.concat(_redrawn(local, own), F.lit("@"), _redrawn(host, of_domain), F.lit("."), top)
-    octets = F.transform(F.split(canonical, r"\."), lambda o, i: F.when(F.length(o) == 1, _draw(own, i) % 10).when(F.length(o) == 2, _draw(own, i) % 90 + 10).otherwise(_draw(own, i) % 156 + 100).cast("string"))
+    wide = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: _draw(own, i).cast("string"))
+    octets = wide if extra else F.transform(F.split(canonical, r"\."), lambda o, i: F.when(F.length(o) == 1, _draw(own, i) % 10).when(F.length(o) == 2, _draw(own, i) % 90 + 10).otherwise(_draw(own, i) % 156 + 100).cast("string"))
     body = F.concat(F.substring(canonical, 1, 1), F.substring(redrawn, F.lit(2), F.length(canonical) - 2))
     check = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
-    card = F.concat(body, F.when(_luhn(canonical) % 10 == 0, check).otherwise(F.substring(redrawn, F.length(canonical), F.lit(1))))
+    card = F.concat(body, F.when(valid, check).otherwise(F.substring(redrawn, F.length(canonical), F.lit(1))))
     # The country code (or the first digit) stays.
     code = F.greatest(F.length(F.regexp_extract(canonical, CODE, 0)), F.lit(1))
     phone = F.concat(F.substring(canonical, F.lit(1), code), F.substring(redrawn, code + 1, F.length(canonical)))
@@ -137,7 +151,7 @@ def surrogate(key: str, kind: Column, canonical: Column, own: Column, of_domain:
     for (gender, script), names in GIVEN.items():
         turned = F.array(*map(F.lit, names))
         by = F.conv(F.substring(F.sha2(F.lit(f"{key}|{gender}|{script}"), 256), 1, 6), 16, 10).cast("int") % (len(names) - 1) + 1
-        at = F.array_position(F.transform(turned, F.lower), canonical)
+        at = F.array_position(F.transform(turned, F.lower), given)
         out = out.when(kind == f"given-{gender}-{script}", F.lower(F.element_at(turned, ((at - 1 + by) % len(names) + 1).cast("int"))))
     return out.otherwise(redrawn)
 
@@ -174,8 +188,12 @@ def _formatted(form: Column, kind: Column, found: Column) -> Column:
         before = F.length(F.regexp_replace(F.substring(form, F.lit(1), i), "[^0-9A-Z]", ""))
         filled = F.substring(F.replace(found, F.lit("+"), F.lit("")), before + 1, F.lit(1))
         return F.when(~c.rlike("[0-9A-Z]"), c).otherwise(filled)
-    spaced = F.array_join(F.transform(chars, at), "")
-    cased = F.array_join(F.transform(F.split(found, ""), lambda c, i: F.when(F.substring(form, i + 1, F.lit(1)) != F.lower(F.substring(form, i + 1, F.lit(1))), F.upper(c)).otherwise(c)), "")
+    plain = F.replace(found, F.lit("+"), F.lit(""))
+    rest = F.substring(plain, F.length(F.regexp_replace(form, "[^0-9A-Z]", "")) + 1, F.length(plain))
+    spaced = F.concat(F.array_join(F.transform(chars, at), ""), rest)
+    # What a widened form gained takes the last character's case.
+    cap = lambda i: F.substring(form, F.least(i + 1, F.length(form)), F.lit(1))
+    cased = F.array_join(F.transform(F.split(found, ""), lambda c, i: F.when(cap(i) != F.lower(cap(i)), F.upper(c)).otherwise(c)), "")
     return F.when(packed, spaced).otherwise(cased)
 
 
@@ -186,7 +204,7 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     while True:
         # The drawn digits are written first: inside the lambdas they would be drawn anew for each character.
         streams = written(left.select("kind", "canonical", _stream(key, F.col("kind"), F.col("canonical"), F.lit(turn)).alias("own"), _stream(key, F.lit("domain"), _domain(F.col("canonical")), F.lit(0)).alias("of_domain")), "streams")
-        drawn = written(streams.select("kind", "canonical", surrogate(key, F.col("kind"), F.col("canonical"), F.col("own"), F.col("of_domain")).alias("surrogate")), "drawn")
+        drawn = written(streams.select("kind", "canonical", surrogate(key, F.col("kind"), F.col("canonical"), F.col("own"), F.col("of_domain"), min(max(0, turn + 1 - SAME_FORM), EXTRA)).alias("surrogate")), "drawn")
         lists = F.col("kind").startswith("given-")
         first = drawn.where(~lists).groupBy("surrogate").agg(F.min(F.struct("kind", "canonical")).alias("first"))
         checked = drawn.join(first, "surrogate", "left").join(real, "surrogate", "left")
@@ -195,8 +213,6 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
         fine = lists | (F.col("real").isNull() & (F.col("first") == F.struct("kind", "canonical")))
         if done is not None:
             fine = lists | (fine & F.col("taken").isNull())
-        # A form with nothing to draw (no letter or digit of a known alphabet) stays as it is.
-        fine = fine | (F.lit(turn) >= 8) & (F.col("surrogate") == F.col("canonical"))
         checked = written(checked.select("kind", "canonical", "surrogate", fine.alias("fine")), "checked")
         good = checked.where("fine").drop("fine")
         done = good if done is None else done.unionAll(good)

@@ -282,3 +282,17 @@ def test_surrogates_of_more_formats_and_scripts(spark):
             word, old = new.split(" ")[1], t.split(" ")[1]
             assert re.fullmatch(names[t], word) and not any(a.lower() == b.lower() for a, b in zip(word, old, strict=True) if len(old) == 2 and a in "ÖößЁё"), (t, new)
     assert got[6]["text"].startswith("it was 3")
+
+
+def test_surrogates_of_filled_spaces(spark):
+    """All one-digit quads and all two-letter surnames of a consonant and a vowel: no form of the same size is free."""
+    quads = [".".join(f"{k:04d}") for k in range(10_000)]
+    short = [c.upper() + v for c in "bcdfghjklmnpqrstvwxyz" for v in "aeiou"]
+    rows = [(k, " ".join(quads[100 * k : 100 * k + 100])) for k in range(100)] + [(100 + k, f"Mr {n}") for k, n in enumerate(short)]
+    docs = spark.createDataFrame([*rows, (300, "_@k.example")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii_surrogates.replace_entities(docs, key="k").collect()}
+    new = [q for k in range(100) for q in got[k].split(" ")]
+    assert len(set(new)) == 10_000 and not set(new) & set(quads) and all(0 <= int(o) <= 255 for q in new for o in q.split("."))
+    names = [got[100 + k].split(" ")[1] for k in range(len(short))]
+    assert len(set(names)) == len(short) and not set(names) & set(short) and all(n.istitle() for n in names)
+    assert got[300] != "_@k.example"
