@@ -112,9 +112,10 @@ def item_windows(items: list[tuple[str, str]], window: int = WINDOW) -> dict[tup
 
 
 def _matcher(anchored: dict[bytes, list], gap: int, slop: int):
-    def near(starts: np.ndarray, postings: np.ndarray, offset: int) -> np.ndarray:
-        place = starts + offset
-        return starts[np.searchsorted(postings, place + slop, side="right") > np.searchsorted(postings, place - slop, side="left")]
+    def near(at: np.ndarray, postings: np.ndarray, offset: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether a posting stands near its place, inside the document from ``lo`` up to ``hi``."""
+        place = at + offset
+        return np.searchsorted(postings, np.minimum(place + slop, hi - 1), side="right") > np.searchsorted(postings, np.maximum(place - slop, lo), side="left")
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         head = rows[rows["term"].isnull()].iloc[0]
@@ -127,18 +128,20 @@ def _matcher(anchored: dict[bytes, list], gap: int, slop: int):
             if term not in postings:
                 continue
             for steps, length, own in windows:
-                at = postings[term] - steps[0][1]
+                # The anchor's own position gives the document; with slop the start may lie before it.
+                at, doc = postings[term] - steps[0][1], np.searchsorted(starts, postings[term], side="right") - 1
                 for other, offset in steps[1:]:
                     if not len(at) or other not in postings:
                         at = at[:0]
                         break
-                    at = near(at, postings[other], offset)
+                    fits = near(at, postings[other], offset, starts[doc], starts[doc] + counts[doc])
+                    at, doc = at[fits], doc[fits]
                 if not len(at):
                     continue
-                at = at[at >= 0]
                 for k in range(length):
-                    covered[at + k] = True
-                for d in np.unique(np.searchsorted(starts, at, side="right") - 1).tolist():
+                    inside = (at + k >= starts[doc]) & (at + k < starts[doc] + counts[doc])
+                    covered[(at + k)[inside]] = True
+                for d in np.unique(doc).tolist():
                     items.setdefault(d, set()).update(own)
         hit = np.flatnonzero(covered)
         lo, hi = np.searchsorted(hit, starts), np.searchsorted(hit, starts + counts)

@@ -200,6 +200,16 @@ def test_proximity(spark):
     assert not any(r["contaminated"] for r in decontamination.find_contamination(one, items).collect())
 
 
+def test_proximity_at_the_start_of_a_document(spark):
+    """The anchor (the rarest term, ``three``) stands before its offset, in the first document and in a later one."""
+    texts = ["one three two z", "one two", "one three two z", "one x x x x", "two three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([("i", "one two three")], "item_id string, text string")
+    for slop in (2, 12):
+        got = {r["doc_id"]: r for r in decontamination.find_contamination(docs, items, slop=slop).collect()}
+        assert {i: (r["n_hit"], r["n_items"]) for i, r in got.items()} == {0: (2, 1), 1: (0, 0), 2: (2, 1), 3: (0, 0), 4: (0, 0)}
+
+
 def test_line_dedup(spark, docs, empty):
     got = {r["doc_id"]: r for r in line_templates.drop_recurring_lines(docs).collect()}
     assert got[7]["text"] == TEXTS[7] and got[8]["text"] == TEXTS[8].split("\n")[1] and got[8]["n_dropped"] == 1
