@@ -62,7 +62,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Predictions and signatures are beyond SQL; the tests compare each stage with a brute-force version.
+#: Predictions and signatures are beyond SQL; tests/llm/test_pipeline.py compares the documents that stages 2 to 4 keep with plain Python, and checks stage 1 on known rows.
 ORACLE_SQL = None
 
 
