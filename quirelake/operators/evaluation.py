@@ -46,8 +46,19 @@ def best_threshold(grid: DataFrame) -> DataFrame:
 
 
 def folds(df: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
-    """A stratified ``fold`` for each row, dealt in order of a checksum of the key."""
-    return df.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)) - 1, F.lit(k)).cast("int"))
+    """A stratified ``fold`` for each row, dealt in order of a checksum of the key.
+
+    Rows are numbered in groups of a label and the checksum's first two digits, so
+    that a label isn't sorted in one task; counts of the groups before are added.
+    """
+    salt = F.coalesce(F.substring(F.md5(F.col(key).cast("string")), 1, 2), F.lit(""))
+    rows = df.withColumn("__salt", salt)
+    counts = rows.groupBy(F.col(label).alias("__label"), F.col("__salt").alias("__group")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__label").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select("__label", "__group", F.coalesce(before, F.lit(0)).alias("__base"))
+    place = F.row_number().over(Window.partitionBy(label, "__salt").orderBy(F.md5(F.col(key).cast("string")), key))
+    numbered = rows.withColumn("__place", place).join(bases, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__salt") == F.col("__group")))
+    return numbered.select(*df.columns, F.pmod(F.col("__base") + F.col("__place") - 1, F.lit(k)).cast("int").alias("fold"))
 
 
 def rebalance(df: DataFrame, label: str, key: str, size: int) -> DataFrame:

@@ -108,9 +108,26 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str
     return parts.select("control_number", "tag", (F.col("column") * 1000 + F.col("part")).cast("int").alias("field_ord"), F.lit(" ").alias("ind1"), F.lit(" ").alias("ind2"), "code", F.lit(0).alias("sub_ord"), "value")
 
 
+def _head(spark: SparkSession, path: str, n: int) -> bytes:
+    """The first bytes of a file, or of a folder's or a pattern's first file, through Hadoop's file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(target)
+    first = next((s for s in found or [] if s.isFile() or s.isDirectory()), None)
+    if first is not None and first.isDirectory():
+        first = next((s for s in files.listStatus(first.getPath()) if s.isFile() and s.getPath().getName()[0] not in "._"), None)
+    if first is None:
+        raise FileNotFoundError(path)
+    stream = files.open(first.getPath())
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
 def sniff(spark: SparkSession, path: str) -> tuple[str, str, str]:
     """``format, separator, encoding`` of a file from its name and first bytes, read through Spark."""
-    head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 5000).alias("b")).first()["b"])
+    head = _head(spark, path, 5000)
     encoding = next((e for e in ("UTF-8", "windows-1255", "ISO-8859-8", "ISO-8859-1") if _decodes(head, e)), "ISO-8859-1")
     low = path.lower()
     if low.endswith((".mrc", ".marc")) or re.match(rb"\d{5}", head) and RECORD_END in head:

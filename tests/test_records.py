@@ -90,3 +90,27 @@ def test_tagged_sentences(spark, tmp_path):
 def test_annotations(spark, tmp_path):
     path = write(tmp_path, "f.csv", b"manuscript_id,unit_id,is_foreign,status,addition_period,folio_range\nm,u,Yes,x,y,1-2\nm,v,no,x,y,\n")
     assert [r["is_foreign"] for r in files.read_annotations(spark, path, "foreign_unit").orderBy("unit_id").collect()] == [True, False]
+
+
+def test_sniff_of_a_large_file(spark, tmp_path):
+    """A (sparse) file of more than 2 GB: only its head is read."""
+    path = tmp_path / "large.csv"
+    with open(path, "wb") as f:
+        f.write("001,245$a\nא,x\n".encode())
+        f.truncate(2**31 + 10)
+    assert marc.sniff(spark, str(path)) == ("delimited", ",", "UTF-8")
+
+
+def test_folds_number_a_label_in_groups(spark):
+    import hashlib
+
+    from quirelake.operators import evaluation
+
+    rows = [(i, "ab"[i % 2] if i % 7 else None) for i in range(3000)]
+    got = evaluation.folds(spark.createDataFrame(rows, "k long, label string"), "label", "k")
+    wanted, seen = {}, {}
+    for i, label in sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+        wanted[i] = seen.setdefault(label, 0) % 5
+        seen[label] += 1
+    assert {r["k"]: r["fold"] for r in got.collect()} == wanted
+    assert "row_number() windowspecdefinition(label" in (plan := got._jdf.queryExecution().analyzed().toString()) and "__salt" in plan.split("row_number()")[1].split("ASC")[0]
