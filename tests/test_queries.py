@@ -23,7 +23,7 @@ def rows(df: pd.DataFrame) -> list:
     def plain(v):
         if isinstance(v, bool) or str(type(v)) == "<class 'numpy.bool'>":
             return str(bool(v))
-        return "null" if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
+        return "null" if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
 
     columns = sorted(df.columns)
     return sorted((tuple(plain(v) for v in r) for r in df[columns].astype(object).itertuples(index=False)), key=str)
