@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import slices, written
 
 WINDOW = 10
 SEGMENT_WORDS = 1_000_000
@@ -72,7 +72,7 @@ def _indexer(vocabulary: list[bytes] | None, gap: int, segment_words: int):
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), *(pa.array(c, f.type) for c, f in zip(columns, list(_INDEX)[1:], strict=True))], schema=_INDEX)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 own = words(text)
                 if vocabulary is None:

@@ -2,10 +2,11 @@
 
 Byte-pair merges never cross the boundary between a visible character and the
 white space after it, nor that between a letter and an ASCII sign or digit, so a
-text may be cut there and its pieces encoded one by one.  A worker remembers the
-ids of the pieces it has met; only new pieces go through the library.  Texts in which such a cut could change the result (other
-white space than blanks and line feeds for byte-level vocabularies, or the
-strings of special tokens) are encoded in one call.
+text may be cut there and its pieces encoded one by one.  A task remembers the
+ids of the short pieces it has met lately, in a space of bounded size that ends
+with it; only new pieces go through the library.  Texts in which such a cut could
+change the result (other white space than blanks and line feeds for byte-level
+vocabularies, or the strings of special tokens) are encoded in one call.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from array import array
 BYTE_LEVEL = "byte_bpe_50k.json"
 WORD_LEVEL = "word_bpe_49k.json"
 
-#: Beyond this number a worker forgets the pieces it hasn't met lately; results don't depend on it.
-REMEMBERED = 700_000
+#: Pieces of ``SHORT`` characters at most are remembered, in two generations of so many (about 200 bytes each); results don't depend on either.
+REMEMBERED = 150_000
+SHORT = 40
 
 #: Latin letters (but U+0130, which becomes two characters in lower case), not followed by anything that could be a letter or a mark: the end of such a run is a boundary.
 _LETTERS = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]++(?![\x80-\U0010FFFF])"
@@ -27,7 +29,8 @@ _WORD = re.compile(rf"{_LETTERS}|[^ \n]+")
 #: All white space but blanks and line feeds.
 _OTHER_SPACE = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-_encoders: dict[tuple[str, bool], "Encoder"] = {}
+#: The libraries' own tables, by file; what a task remembers isn't kept here.
+_tokenizers: dict = {}
 
 
 def vocabulary(name: str) -> str:
@@ -42,7 +45,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        if path not in _tokenizers:
+            _tokenizers[path] = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizers[path]
         self.keeps_space = keeps_space
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
@@ -62,23 +67,20 @@ class Encoder:
         if self._whole(text):
             return self._library([text])[0]
         pieces = (_PIECE if self.keeps_space else _WORD).findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.older, self.known = self.known, {}
-            known, older = self.known, self.older
-            absent = {p for p in pieces if p not in known}
-            known.update((p, older[p]) for p in absent if p in older)
-            new = [p for p in absent if p not in older]
-            if new:
-                known.update(zip(new, self._library(new), strict=True))
-        return b"".join(map(self.known.__getitem__, pieces))
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        absent = set(pieces).difference(known)
+        if not absent:
+            return b"".join(map(known.__getitem__, pieces))
+        met = {p: older[p] for p in absent if p in older}
+        known.update(met)
+        new = [p for p in absent if p not in met]
+        ids = dict(zip(new, self._library(new), strict=True)) if new else {}
+        known.update((p, x) for p, x in ids.items() if len(p) <= SHORT)
+        return b"".join([known[p] if p in known else ids[p] for p in pieces])
 
 
 def encoder(path: str, keeps_space: bool) -> Encoder:
-    """This worker's encoder for a vocabulary file."""
-    key = (path, keeps_space)
-    if key not in _encoders:
-        _encoders[key] = Encoder(path, keeps_space)
-    return _encoders[key]
+    """A task's own encoder for a vocabulary file."""
+    return Encoder(path, keeps_space)

@@ -8,35 +8,35 @@ each switch, labels spans; the language that holds most letters is the
 prediction and its share of the letters is the score.
 
 The model is fitted on the text and label of labelled rows.  At most about
-``FIT_ROWS`` of them are used, chosen by a hash of their id; nothing else is
-bounded.  Texts that are null or have no letter are ``und`` with score 0; with
-nothing to learn from, every text is.
+``FIT_ROWS`` of them are used, chosen by a hash of their id; the model holds every
+n-gram of theirs.  Texts that are null or have no letter are ``und`` with score 0;
+with nothing to learn from, every text is.  Ties go to the language whose name
+comes first.  Whole texts are read, however long; repeated rows get the same
+result each, and an empty table an empty one.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import TOGETHER, slices
+
+#: The labelled rows that a model is fitted on, at most: their texts bound what the driver and the tasks get.
 FIT_ROWS = 20_000
-#: N-grams kept for each language, the commonest first: bounds the model that tasks get.
-FIT_GRAMS = 30_000
 GRAM = 3
 SWITCH = 16.0
 #: A word's log posteriors are no lower.
 FLOOR = -6.0
 UNKNOWN = "und"
-#: A worker forgets its words beyond this number; results don't depend on it.
-REMEMBERED = 400_000
-#: Texts whose new words are scored together.
-TOGETHER = 64
+#: A task forgets its words beyond this number; results don't depend on it.
+REMEMBERED = 100_000
 #: A script's candidates: the languages that have this share of their letters in it.
 SCRIPT_SHARE = 0.02
 
@@ -71,7 +71,7 @@ _FIT = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("item", pa.stri
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, Counter] = {}
-    for batch in batches:
+    for batch in slices(batches):
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             seen.setdefault(lang, Counter()).update(map(str.lower, _WORD.findall(text)))
     for lang, own in seen.items():
@@ -86,25 +86,48 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> dict:
-    """A model from rows that have a text and a label; its size is bounded by the languages and ``FIT_GRAMS``."""
+    """A model from rows that have a text and a label; the sample of ``rows`` rows bounds its size.
+
+    The model: the languages, each script's candidates, the numbered characters,
+    and for each gram length the sorted codes with a row of log probabilities each.
+    """
     known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     n = known.count()
     if n > rows:
         known = known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < int((1 << 20) * rows / n))
-    counts = known.select(F.col(text_col), F.col(lang_col).cast("string")).mapInArrow(_counter, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))).where(F.col("rank") <= FIT_GRAMS).collect()
-    langs = sorted({r["lang"] for r in best})
-    grams_of = {k: {r["item"]: r["n"] for r in best if r["lang"] == k and r["kind"] == "gram"} for k in langs}
-    total = {k: sum(v.values()) for k, v in grams_of.items()}
-    size = len(set().union(*grams_of.values())) if langs else 1
-    table = {g: [math.log((grams_of[k].get(g, 0) + 0.5) / (total[k] + 0.5 * size)) for k in langs] for g in sorted(set().union(*grams_of.values()) if langs else ())}
+    counts = known.select(F.col(text_col), F.col(lang_col).cast("string")).mapInArrow(_counter, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(set(counts["lang"].to_pylist()))
+    language = np.array([langs.index(x) for x in counts["lang"].to_pylist()], np.int64)
+    is_gram = np.array([x == "gram" for x in counts["kind"].to_pylist()], bool)
+    items, ns = counts["item"].to_pylist(), counts["n"].to_numpy().astype(float)
+    rows_of = {g: k for k, g in enumerate(sorted({items[i] for i in np.flatnonzero(is_gram)}))}
+    table = np.full((len(rows_of), len(langs)), 0.5)
+    at = np.flatnonzero(is_gram)
+    table[[rows_of[items[i]] for i in at], language[at]] += ns[at]
+    total = np.bincount(language[at], ns[at], len(langs)) + 0.5 * len(rows_of)
+    letters_of = "".join(sorted(set("".join(rows_of))))
+    number = {c: k for k, c in enumerate(letters_of, 1)}
+    grams_of = []
+    for size in range(1, GRAM + 1):
+        own = [g for g in rows_of if len(g) == size]
+        codes = np.array([_code([number[c] for c in g], len(number) + 1) for g in own], np.int64)
+        order = np.argsort(codes)
+        grams_of.append((codes[order], np.log(table[[rows_of[g] for g in own]][order] / total).astype(np.float32)))
     scripts: dict[str, list[int]] = {}
-    for k, lang in enumerate(langs):
-        own = {r["item"]: r["n"] for r in best if r["lang"] == lang and r["kind"] == "script"}
+    for k in range(len(langs)):
+        own = {items[i]: ns[i] for i in np.flatnonzero(~is_gram & (language == k))}
         for s, c in own.items():
             if c >= SCRIPT_SHARE * sum(own.values()):
                 scripts.setdefault(s, []).append(k)
-    return {"langs": langs, "table": table, "unseen": [math.log(0.5 / (total[k] + 0.5 * size)) for k in langs], "scripts": scripts}
+    return {"langs": langs, "letters": letters_of, "grams": grams_of, "unseen": np.log(0.5 / total), "scripts": scripts}
+
+
+def _code(numbers: list, base: int):
+    """A gram's code: its characters' numbers, as digits."""
+    out = 0
+    for x in numbers:
+        out = out * base + x
+    return out
 
 
 class Scorer:
@@ -112,19 +135,10 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.langs = model["langs"]
-        table = model["table"]
-        # Characters are numbered; a gram's code is its characters' numbers, as digits.
-        letters_of = sorted(set("".join(table)))
-        self.base = len(letters_of) + 1
-        self.number = np.zeros(0x110000, np.int64)
-        self.number[[ord(c) for c in letters_of]] = np.arange(1, self.base)
-        self.grams = []
-        for n in range(1, GRAM + 1):
-            own = [g for g in table if len(g) == n]
-            codes = np.array([self.code([int(self.number[ord(c)]) for c in g]) for g in own], np.int64)
-            order = np.argsort(codes)
-            values = np.array([table[g] for g in own], float).reshape(len(own), len(self.langs))[order]
-            self.grams.append((codes[order], np.vstack([values, np.array(model["unseen"], float).reshape(1, -1)])))
+        self.base = len(model["letters"]) + 1
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in model["letters"]]] = np.arange(1, self.base)
+        self.grams = [(codes, np.vstack([values, model["unseen"].reshape(1, -1)])) for codes, values in model["grams"]]
         # Candidates of each script; all languages where a script was never seen.
         names = [*dict.fromkeys(name for name, _, _ in SCRIPTS), "other"]
         self.allowed = np.array([[k in model["scripts"].get(name, range(len(self.langs))) for k in range(len(self.langs))] for name in names], bool).reshape(len(names), len(self.langs))
@@ -133,12 +147,6 @@ class Scorer:
         self.other = len(names) - 1
         self.forget()
 
-    def code(self, numbers):
-        out = 0
-        for x in numbers:
-            out = out * self.base + x
-        return out
-
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.langs)))
@@ -149,14 +157,14 @@ class Scorer:
         points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32)
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
         word = np.repeat(np.arange(len(words)), lengths)
-        number = self.number[points]
+        number = self.number[points].astype(np.int64)
         found = np.zeros((len(words), len(self.langs)))
         for n, (codes, values) in enumerate(self.grams, 1):
             if len(word) < n:
                 break
             last = len(number) - n + 1
             inside = word[:last] == word[n - 1 :]
-            code = self.code([number[k : k + last] for k in range(n)])[inside]
+            code = _code([number[k : k + last] for k in range(n)], self.base)[inside]
             at = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
             row = np.where(codes[at] == code, at, len(codes)) if len(codes) else np.zeros(len(code), np.int64)
             for k in range(len(self.langs)):
@@ -233,24 +241,22 @@ def _spans(path: np.ndarray, places: list[tuple[int, int]], langs: list[str]) ->
 def _predictor(model: dict, fields: list[str], text_at: int, with_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in slices(batches, TOGETHER):
             found, scores, spans = [], [], []
             texts = batch.column(text_at).to_pylist()
-            for at in range(0, len(texts), TOGETHER):
-                if len(scorer.known) > REMEMBERED:
-                    scorer.forget()
-                some_texts = texts[at : at + TOGETHER]
-                all_words = [_WORD.findall(t or "") if model["langs"] else [] for t in some_texts]
-                scorer.learn(set().union(*all_words))
-                for text, own in zip(some_texts, all_words, strict=True):
-                    path, sizes = scorer.path(scorer.lookup(own)) if own else (None, None)
-                    share = np.bincount(path, sizes, len(model["langs"])) if own else np.zeros(1)
-                    k = int(share.argmax())
-                    some = share[k] > 0
-                    found.append(model["langs"][k] if some else UNKNOWN)
-                    scores.append(float(share[k] / share.sum()) if some else 0.0)
-                    if with_spans:
-                        spans.append(_spans(path, [m.span() for m in _WORD.finditer(text)], model["langs"]) if some else [])
+            if len(scorer.known) > REMEMBERED:
+                scorer.forget()
+            all_words = [_WORD.findall(t or "") if model["langs"] else [] for t in texts]
+            scorer.learn(set().union(*all_words))
+            for text, own in zip(texts, all_words, strict=True):
+                path, sizes = scorer.path(scorer.lookup(own)) if own else (None, None)
+                share = np.bincount(path, sizes, len(model["langs"])) if own else np.zeros(1)
+                k = int(share.argmax())
+                some = share[k] > 0
+                found.append(model["langs"][k] if some else UNKNOWN)
+                scores.append(float(share[k] / share.sum()) if some else 0.0)
+                if with_spans:
+                    spans.append(_spans(path, [m.span() for m in _WORD.finditer(text)], model["langs"]) if some else [])
             columns = [*(batch.column(k) for k in range(len(fields))), pa.array(found, pa.string()), pa.array(scores, pa.float64())]
             names = [*fields, "lang_pred", "lang_score"]
             if with_spans:

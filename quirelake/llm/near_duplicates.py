@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import slices, written
 
 SHINGLE = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -43,8 +43,8 @@ SEED = 20240229
 BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 1024
 #: Members that meet a leader in one group of the verification.
 GROUP = 256
-#: A worker forgets its words beyond this number; results don't depend on it.
-REMEMBERED = 400_000
+#: A task forgets its words beyond this number; results don't depend on it.
+REMEMBERED = 150_000
 
 _tables: dict[int, np.ndarray] = {}
 
@@ -119,7 +119,7 @@ def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     words = _Words()
-    for batch in batches:
+    for batch in slices(batches):
         sizes, hashes, keys = [], [], []
         for text in batch.column(1).to_pylist():
             own = shingle_set(text, words)
@@ -133,7 +133,7 @@ def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by leader, group and role: each leader's texts, then its members'."""
     words = _Words()
     group, leaders = None, []
-    for batch in batches:
+    for batch in slices(batches):
         links: list[tuple[int, int]] = []
         columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("leader", "salt", "role", "doc_id", "text"))
         for leader, salt, role, doc, text in zip(*columns, strict=True):
@@ -198,7 +198,7 @@ def _block_verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         found = _joined(*map(list, zip(*docs, strict=True))) if len(docs) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], names=["a", "b"])
 
-    for batch in batches:
+    for batch in slices(batches):
         columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "i", "j", "rep", "component", "text"))
         for key, i, j, rep, component, text in zip(*columns, strict=True):
             if (key, i, j) != group:

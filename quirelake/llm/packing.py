@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import WORD_LEVEL, encoder, vocabulary
-from .shared import written
+from .shared import slices, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -49,7 +49,7 @@ def _cutter(path: str, end_id: int, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, False)
         end = int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in schema]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = own.encode(text or "") + end

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in local tests.
+#: Used only where a local session names no folder, as in tests.
 LOCAL_ROOT = "/tmp/checkpoints"
+#: Rows of a batch that become Python objects at once.
+TOGETHER = 64
 
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local folder only if that is unset."""
+    """The session's ``spark.checkpoint.dir``; a local folder only if that is unset and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         root = LOCAL_ROOT
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -41,6 +47,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that a task holds few of its texts as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+    pa.default_memory_pool().release_unused()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a written table through Hadoop's file system, whatever its scheme."""
     jvm = spark.sparkContext._jvm

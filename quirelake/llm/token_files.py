@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoding import BYTE_LEVEL, encoder, vocabulary
-from .shared import new_path
+from .shared import new_path, slices
 
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 20
@@ -79,7 +79,7 @@ def _chunker(path: str, end_id: int | None, chunk_ids: int):
             payload, sizes = shuffle_planes(b"".join(held))
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "doc_ids": docs, "doc_tokens": counts, "n_ids": n, "payload": payload, "plane_bytes": sizes}], _CHUNKS)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):  # noqa: B020
                 ids = own.encode(text or "") + end
                 docs.append(doc)
@@ -117,7 +117,7 @@ def write_token_files(documents: DataFrame, path: str, *, vocab: str | None = No
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1):
         for row in batch.to_pylist():
             ids = memoryview(restore_planes(row["payload"], row["plane_bytes"]))
             ends = np.cumsum(row["doc_tokens"], dtype=np.int64)
@@ -137,7 +137,7 @@ def read_token_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def _ids_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
-    for batch in batches:
+    for batch in slices(batches, 1):
         for row in batch.to_pylist():
             ids = np.frombuffer(restore_planes(row["payload"], row["plane_bytes"]), "<u4").astype(np.int64)
             ends = np.concatenate([[0], np.cumsum(row["doc_tokens"], dtype=np.int64)]).astype(np.int32)
