@@ -4,17 +4,25 @@
    the capacity are cut, into pieces of the full capacity and one rest.
 2. Spark counts the pieces of each length: a histogram of ``capacity`` rows at
    most, whatever the corpus holds.
-3. The driver solves the configuration linear program on that histogram:
-   multiplicative weights set a price for each length, a knapsack dynamic
-   program finds the configuration worth most at these prices, and its share
-   lowers the prices of what it covers.  The solution is rounded down, and what
-   is left over goes best fit first, largest pieces first.
-4. The result is a list of configurations with a number of copies.  Spark ranks
+3. The driver solves the configuration linear program on that histogram, as a
+   packing in whole copies.  A length's price is its size times a weight, which
+   falls exponentially as its packed share grows.  In each round a knapsack
+   dynamic program over the lengths that lag most prices every room, and the
+   configurations worth most around each of them are used, each by a step of its
+   width (the share ``STEP`` of its scarcest length), rounded down to whole copies, one at least.
+   By duality, the counts' worth at a round's prices over the best
+   configuration's worth is a lower bound on the sequences of any packing: the
+   largest one proves the gap that is left.
+4. What no configuration without an avoidable gap takes goes best fit, largest
+   pieces first.
+5. The result is a list of configurations with a number of copies.  Spark ranks
    the pieces of each length (in salted groups, so that a length held by a third
    of all rows is no single task's) and gives rank r the r-th slot.
 
-Nulls: a null text is an empty one (the end id alone); null ids are kept.
-Repeated rows are packed each; an empty table gives an empty result.
+Nulls: a null text is an empty one (the end id alone); null ids are kept.  Whole
+texts are packed, however long.  Repeated rows are packed each; an empty table
+gives an empty result; other columns of the input, whatever their names, play no
+part.
 """
 
 from __future__ import annotations
@@ -22,6 +30,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +42,19 @@ from .shared import slices, written
 
 CAPACITY = 4096
 END_ID = 1
-#: Rounds of multiplicative weights; what they leave uncovered is packed best fit.
-ROUNDS = 32
-#: One in so many lengths is taken in a round.
-LAG = 16
-STEP = 0.5
+#: The share of a length's pieces that a step of the program packs at most.
+STEP = 1 / 4
+#: The share of all tokens that the program packs; best fit needs some pieces of every size for the rest.
+COVER = 0.95
+#: How fast a length's price falls with its packed share.
+STEEP = 4.0
+#: So much more of the largest pieces than of the smallest is packed at any time: small ones fill what is left.
+AHEAD = 1.0
+#: The lengths that a round prices: those that lag most.  Each ``BOUND_EVERY``-th round prices all of them for the bound.
+POOL = 512
+#: The last pieces of a configuration are looked up where they are worth this share of the table's value.
+NEAR = 0.98
+BOUND_EVERY = 8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -83,40 +100,132 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np
     return value, last
 
 
-def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> dict[tuple[tuple[int, int], ...], float]:
-    """A fractional cover of the histogram: configurations (index of length, count) and how often each is used.
+@dataclass
+class Program:
+    """Configurations (index of length, count) in whole copies, and a lower bound on the sequences of any packing."""
 
-    A length's price is its size, times a weight that falls as its covered share
-    grows.  Each round prices once and takes the lengths that lag most; the
-    knapsack's table gives the best configuration around each of them, and that
-    is used until a further ``LAG / rounds`` of the length is covered.
+    configurations: dict[tuple[tuple[int, int], ...], int]
+    bound: float
+
+
+class _Stock:
+    """What is left of each length, and the pairs of lengths that fill a room exactly."""
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, capacity: int):
+        self.left = counts.copy()
+        self.lengths = lengths
+        self.at = np.full(capacity + 1, -1, np.int64)
+        self.at[lengths] = np.arange(len(lengths))
+        self.by_size = np.zeros(capacity + 1, np.int64)
+        self.by_size[lengths] = counts
+
+    def take(self, k: int, n: int) -> None:
+        self.left[k] -= n
+        self.by_size[self.lengths[k]] -= n
+
+    def filling(self, room: int, prices: np.ndarray) -> tuple[float, list[int]]:
+        """The one or two pieces left that fill ``room`` and are worth most."""
+        best, found = -1.0, []
+        if self.by_size[room] > 0:
+            best, found = float(prices[self.at[room]]), [int(self.at[room])]
+        half = room // 2
+        small = np.flatnonzero(self.by_size[1 : half + 1]) + 1
+        small = small[self.by_size[room - small] > (2 * small == room)]
+        if len(small):
+            worth = prices[self.at[small]] + prices[self.at[room - small]]
+            j = int(worth.argmax())
+            if worth[j] > best:
+                best, found = float(worth[j]), [int(self.at[small[j]]), int(self.at[room - small[j]])]
+        return best, found
+
+
+def _around(k: int, pool: np.ndarray, prices: np.ndarray, value: np.ndarray, stock: _Stock, capacity: int) -> tuple[dict[int, int], int]:
+    """The configuration worth most, by the table, that holds length ``k`` and no more pieces than are left; and its gap.
+
+    The table's value may count on more pieces of a length than there are, so the
+    last one or two pieces are looked up where that is worth as much, or where the
+    table leads to a gap.
     """
-    sizes = lengths.tolist()
-    share = np.zeros(len(sizes))
-    found: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(2 * rounds):
-        if share.min() >= 1:
+    taken, room = [k], capacity - int(stock.lengths[k])
+    stock.take(k, 1)
+    spare: tuple[int, list[int]] | None = None
+    sizes = stock.lengths[pool]
+    while room > 0:
+        worth, last = stock.filling(room, prices)
+        if last and worth >= NEAR * value[room]:
+            taken, room = taken + last, 0
+            for j in last:
+                stock.take(j, 1)
             break
-        _, table = knapsack(lengths, lengths * np.exp(-step * (share - share.min())), capacity)
-        last = table.tolist()
-        for k in np.argsort(share, kind="stable")[: -(-len(sizes) // LAG)].tolist():
-            lag = min(1 - share[k], LAG / rounds) * counts[k]
-            if lag <= 0:
+        if last:
+            spare = (len(taken), last)
+        fit = np.searchsorted(sizes, room, side="right")
+        gain = np.where(stock.left[pool[:fit]] > 0, prices[pool[:fit]] + value[room - sizes[:fit]], -1.0)
+        if not fit or gain.max() < 0:
+            break
+        j = int(pool[int(gain.argmax())])
+        taken.append(j)
+        stock.take(j, 1)
+        room -= int(stock.lengths[j])
+    for j in taken:
+        stock.take(j, -1)
+    if room and spare:
+        taken, room = taken[: spare[0]] + spare[1], 0
+    return {j: taken.count(j) for j in taken}, room
+
+
+def _gap(last: np.ndarray, sizes: np.ndarray, capacity: int) -> int:
+    """The gap of a table's best configuration."""
+    room, gap = capacity, 0
+    while room > 0:
+        used = int(sizes[last[room]]) if last[room] >= 0 else 1
+        gap += last[room] < 0
+        room -= used
+    return int(gap)
+
+
+def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Program:
+    """Multiplicative weights with knapsack pricing, in whole copies, until no configuration without an avoidable gap is left."""
+    stock, found = _Stock(lengths, counts, capacity), {}
+    # Prices in proportion to the sizes, and those that count pieces beyond half the capacity, give first bounds.
+    bound = max(float((lengths * counts).sum()) / capacity, float(counts[2 * lengths > capacity].sum()))
+    turn, width_of_pool = 0, POOL
+    rest = (1 - COVER) * float((lengths * counts).sum())
+    while float(lengths @ stock.left) > rest:
+        share = 1 - stock.left / counts - AHEAD * lengths / capacity
+        least = share.min()
+        prices = lengths * np.exp(-STEEP * (share - least))
+        if turn % BOUND_EVERY == 0:
+            bound = max(bound, float((prices * counts).sum() / knapsack(lengths, prices, capacity)[0][capacity]))
+        open_ = int((stock.left > 0).sum())
+        lagging = np.argsort(np.where(stock.left > 0, share, np.inf), kind="stable")[: min(width_of_pool, open_)]
+        pool = np.sort(lagging)
+        value, last = knapsack(lengths[pool], prices[pool], capacity)
+        if turn == 0:
+            gap = _gap(last, lengths[pool], capacity)  # even the best configuration has it: it can't be avoided
+        placed = 0
+        for k in lagging.tolist():
+            if float(lengths @ stock.left) <= rest:
                 break
-            config, room = {k: 1}, capacity - sizes[k]
-            while room > 0:
-                j = last[room]
-                if j < 0:
-                    room -= 1
-                else:
-                    config[j] = config.get(j, 0) + 1
-                    room -= sizes[j]
-            amount = lag / config[k]
+            if not stock.left[k]:
+                continue
+            config, empty = _around(k, pool, prices, value, stock, capacity)
+            if empty > gap:
+                continue
+            width = min(counts[j] / n for j, n in config.items())
+            copies = min(max(1, int(STEP * width)), *(int(stock.left[j]) // n for j, n in config.items()))
             for j, n in config.items():
-                share[j] += n * amount / counts[j]
+                stock.take(j, n * copies)
+                prices[j] = lengths[j] * math.exp(-STEEP * (1 - stock.left[j] / counts[j] - AHEAD * lengths[j] / capacity - least))
             key = tuple(sorted(config.items()))
-            found[key] = found.get(key, 0.0) + float(amount)
-    return {c: x / max(1.0, min(share[j] for j, _ in c)) for c, x in found.items()}
+            found[key] = found.get(key, 0) + copies
+            placed += copies
+        turn += 1
+        if not placed:  # more lengths may fill what these can't
+            if width_of_pool >= open_:
+                break
+            width_of_pool *= 2
+    return Program(found, bound)
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -146,23 +255,33 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
     return bins
 
 
-def plan_sequences(histogram: list[tuple[int, int]], capacity: int = CAPACITY) -> list[tuple[np.ndarray, int]]:
-    """Configurations (pairs of length and count, as a matrix) with whole numbers of copies."""
+@dataclass
+class Plan:
+    """Configurations (pairs of length and count, as a matrix) with whole numbers of copies; how many sequences are the program's; and a bound."""
+
+    configurations: list[tuple[np.ndarray, int]]
+    by_program: int
+    bound: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.configurations)
+
+
+def plan_sequences(histogram: list[tuple[int, int]], capacity: int = CAPACITY) -> Plan:
+    """The program's configurations, then best fit of what they leave."""
     if not histogram:
-        return []
+        return Plan([], 0, 0)
     lengths, counts = (np.asarray(x, np.int64) for x in zip(*sorted(histogram), strict=True))
-    sizes, left, plan = lengths.tolist(), counts.tolist(), []
-    solution = configuration_program(lengths, counts, capacity)
-    for config, amount in sorted(solution.items(), key=lambda x: (-x[1], x[0])):
-        # Rounded up while pieces last; only configurations without a gap.
-        copies = min(math.ceil(amount), min(left[j] // n for j, n in config))
-        if copies and sum(sizes[j] * n for j, n in config) == capacity:
-            plan.append((np.asarray([(sizes[j], n) for j, n in config], np.int64), copies))
-            for j, n in config:
-                left[j] -= copies * n
-    for config, copies in best_fit(lengths, np.asarray(left, np.int64), capacity):
+    program = configuration_program(lengths, counts, capacity)
+    left, plan = counts.copy(), []
+    for config, copies in program.configurations.items():
+        at, n = np.asarray(config, np.int64).T
+        left[at] -= copies * n
+        plan.append((np.stack([lengths[at], n], axis=1), copies))
+    for config, copies in best_fit(lengths, left, capacity):
         plan.append((np.stack([lengths[config > 0], config[config > 0]], axis=1), copies))
-    return plan
+    return Plan(plan, sum(program.configurations.values()), math.ceil(program.bound - 1e-6))
 
 
 def slots(plan: list[tuple[np.ndarray, int]]) -> dict[int, np.ndarray]:
@@ -201,10 +320,11 @@ def _placer(runs: dict[int, np.ndarray]):
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (as from ``token_pieces``, written) with ``sequence_id`` and ``offset``."""
     histogram = [(r["length"], r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()]  # one row a length
-    runs = slots(plan_sequences(histogram, capacity))
+    runs = slots(plan_sequences(histogram, capacity).configurations)
     # Rank within a length: salted groups are counted, and each group's ranks begin where the last one's end.
     salts = max(64, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    # Rows of one id and text are dealt by their place in the written table, so that a mass of them is no single group.
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(salts)))
     before = (
         salted.groupBy("length", "salt")
         .agg(F.count("*").alias("n"))

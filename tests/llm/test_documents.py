@@ -86,18 +86,31 @@ def test_packing(docs, empty):
 
 
 def test_packing_plan():
+    """Every piece has its place; the program's share, and the gap to the bound that it proves."""
     rng = np.random.default_rng(1)
-    lengths = np.minimum(1 + rng.lognormal(6, 1, 5000).astype(int), 4096)
-    values, counts = np.unique(lengths, return_counts=True)
-    plan = packing.plan_sequences(list(zip(values.tolist(), counts.tolist(), strict=True)))
-    used: dict = {}
-    for config, copies in plan:
-        assert (config[:, 0] * config[:, 1]).sum() <= 4096
-        for length, n in config.tolist():
-            used[length] = used.get(length, 0) + n * copies
-    assert used == dict(zip(values.tolist(), counts.tolist(), strict=True))
-    assert sum(n for _, n in plan) <= -(-lengths.sum() // 4096) + 3
-    assert packing.plan_sequences([]) == []
+    for n in (5000, 60_000):
+        lengths = np.minimum(1 + rng.lognormal(6, 1, n).astype(int), 4096)
+        values, counts = np.unique(lengths, return_counts=True)
+        plan = packing.plan_sequences(list(zip(values.tolist(), counts.tolist(), strict=True)))
+        used: dict = {}
+        for config, copies in plan.configurations:
+            assert (config[:, 0] * config[:, 1]).sum() <= 4096
+            for length, k in config.tolist():
+                used[length] = used.get(length, 0) + k * copies
+        assert used == dict(zip(values.tolist(), counts.tolist(), strict=True))
+        assert plan.bound >= -(-lengths.sum() // 4096) and plan.bound <= plan.sequences <= 1.002 * plan.bound + 3
+        assert plan.by_program >= 0.9 * plan.sequences
+    assert packing.plan_sequences([]).configurations == []
+    # Pieces beyond half the capacity: the sizes alone prove 69.
+    tall = packing.plan_sequences([(2100, 50), (1000, 50), (4000, 30)])
+    assert (tall.sequences, tall.bound) == (80, 80)
+    assert packing.plan_sequences([(3000, 100)]).by_program == 100
+
+
+def test_packing_masses_of_one_row(spark):
+    rows = spark.createDataFrame([(None, "a b c", "x")] * 300 + [(1, None, "y")], "doc_id long, text string, piece string").repartition(3)
+    got = packing.pack_documents(rows, capacity=16).collect()
+    assert sorted((r["sequence_id"], r["offset"]) for r in got) == sorted({(r["sequence_id"], r["offset"]) for r in got}) and len(got) == 301
 
 
 def test_secrets(docs, empty):
