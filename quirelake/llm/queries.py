@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_templates.ORACLE_SQL}
+    return {"op6_exact_top_k": bit_sliced_search.ORACLE_SQL, "op10_line_dedup": line_templates.ORACLE_SQL}

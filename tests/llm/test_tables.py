@@ -53,6 +53,15 @@ def test_top_k(spark):
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     assert got == brute(list(range(300)), whole, 10, 10)
     assert bit_sliced_search.top_k(df.limit(0)).count() == 0
+    # Row by row: repeated query ids are queries of their own and candidates of each other; sizes beyond 2**53.
+    odd = [(0, [0.5, -0.25]), (0, [-0.5, 0.125]), (0, [0.5, -0.25]), (3, [2.0**43, -1.0]), (4, [-(2.0**43), 1.0]), (5, [0.5, -0.25])]
+    got = [tuple(r) for r in bit_sliced_search.top_k(spark.createDataFrame(odd, "vec_id long, embedding array<double>"), every=5, k=2).collect()]
+    wanted = []
+    for a, (q, x) in enumerate(odd):
+        if q % 5 == 0:
+            scores = sorted((-sum(int(np.floor(1024 * u)) * int(np.floor(1024 * v)) for u, v in zip(x, y, strict=True)), i, b) for b, (i, y) in enumerate(odd) if a != b)
+            wanted += [(q, r, i, -s) for r, (s, i, _) in enumerate(scores[:2], 1)]
+    assert sorted(got) == sorted(wanted)
     few = spark.createDataFrame([(0, [1.0]), (1, [-1.0]), (2, [])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in bit_sliced_search.top_k(few, every=100).orderBy("rank").collect()] == [(0, 1, 2, 0), (0, 2, 1, -1048576)]
 
