@@ -6,22 +6,26 @@ the segment holds the ascending positions of its postings, as a row of a written
 table.  A benchmark item is searched as windows of consecutive words: the
 window's rarest term (by counts over the whole corpus) gives the candidate
 positions, and the postings of its other terms, shifted by their offsets, are
-intersected with these, rarest first.  With ``slop`` each term may stand so many
-words from its place (proximity matches).
+intersected with these, rarest first: an exact phrase match.
 
-The terms of the benchmark are broadcast while it has ``BLOCK_WORDS`` words at
-most; then only their postings are stored.  A larger benchmark is searched in
-blocks of items over an index of all terms.
+A proximity match needs each of the window's terms within ``slop`` words of its
+place, counted from an occurrence of the rarest term (the first of its rank in
+the window), inside one document; the words that stand there are its words.
+
+Items are searched in blocks of about ``BLOCK_WORDS`` words, whose terms and
+windows are what the driver and the tasks get.
 
 Null documents have no words; items whose text or id is null take no part.
-Repeated documents give a row each, repeated item ids count once.
+Repeated documents give a row each, repeated item ids count once.  Whole texts
+are indexed, however long: a segment ends with the document that fills it.  Empty
+tables give an empty result or documents without hits; other columns of the
+input, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -35,13 +39,15 @@ WINDOW = 10
 SEGMENT_WORDS = 1_000_000
 #: Words of the benchmark items searched at once: they bound what is broadcast.
 BLOCK_WORDS = 1_000_000
+#: How far a term may stand from its place in a proximity match of the registered query.
+SLOP = 2
 
 #: A to Z fold to lower case; ASCII characters other than letters and digits part words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 INDEX = "segment string, term binary, n long, postings binary, doc_ids array<string>"
 _INDEX = pa.schema([("segment", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("postings", pa.binary()), ("doc_ids", pa.list_(pa.string()))])
-HITS = "segment string, place long, doc_id long, n_words long, hits array<int>, items array<string>"
+HITS = "segment string, place long, doc_id long, n_words long, hits array<int>, items array<string>, near_hits array<int>, near_items array<string>"
 
 
 def words(text: str | bytes | None) -> list[bytes]:
@@ -51,9 +57,17 @@ def words(text: str | bytes | None) -> list[bytes]:
     return (text.encode() if isinstance(text, str) else text).translate(_FOLD).split()
 
 
-def _indexer(vocabulary: list[bytes] | None, gap: int, segment_words: int):
+class _Numbers(dict):
+    """Terms numbered as they come."""
+
+    def __missing__(self, term: bytes) -> int:
+        value = self[term] = len(self)
+        return value
+
+
+def _indexer(gap: int, segment_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {} if vocabulary is None else {t: k for k, t in enumerate(vocabulary)}
+        number = _Numbers()
         terms: list[np.ndarray] = []
         docs: list = []
         counts: list[int] = []
@@ -64,41 +78,36 @@ def _indexer(vocabulary: list[bytes] | None, gap: int, segment_words: int):
             stream = np.concatenate([*terms, np.zeros(0, np.int32)])
             at = np.flatnonzero(stream >= 0)
             order = at[np.argsort(stream[at], kind="stable")].astype("<u4")
-            kinds, first = np.unique(stream[order], return_index=True)
-            names = vocabulary if vocabulary is not None else list(number)
-            ends = [*first[1:].tolist(), len(order)][: len(kinds)]
-            rows = [(names[k], b - a, order[a:b].tobytes(), None) for k, a, b in zip(kinds.tolist(), first.tolist(), ends, strict=True)]
-            rows.append((None, len(docs), np.asarray(counts, "<u4").tobytes(), docs))
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), *(pa.array(c, f.type) for c, f in zip(columns, list(_INDEX)[1:], strict=True))], schema=_INDEX)
+            sizes = np.bincount(stream[at], minlength=len(number))
+            ends = np.concatenate([[0], 4 * np.cumsum(sizes)])
+            postings = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(order))]).cast(pa.binary())
+            own = [pa.array([name] * len(sizes)), pa.array(list(number), pa.binary()), pa.array(sizes, pa.int64()), postings, pa.nulls(len(sizes), pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(own, schema=_INDEX)
+            head = ([name], [None], [len(docs)], [np.asarray(counts, "<u4").tobytes()], [docs])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(head, _INDEX, strict=True)], schema=_INDEX)
 
         for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 own = words(text)
-                if vocabulary is None:
-                    for w in own:
-                        number.setdefault(w, len(number))
                 ids = np.full(len(own) + gap, -1, np.int32)
-                ids[: len(own)] = np.fromiter(map(number.get, own, repeat(-1)), np.int32, len(own))
+                ids[: len(own)] = np.fromiter(map(number.__getitem__, own), np.int32, len(own))
                 terms.append(ids)
                 docs.append(None if doc is None else str(doc))  # as text, a null among numbers stays exact in pandas
                 counts.append(len(own))
                 n += len(ids)
                 if n >= segment_words:
                     yield from segment()
-                    terms, docs, counts, n = [], [], [], 0
-                    if vocabulary is None:
-                        number = {}
+                    number, terms, docs, counts, n = _Numbers(), [], [], [], 0
         if docs:
             yield from segment()
 
     return run
 
 
-def positional_index(documents: DataFrame, vocabulary: list[bytes] | None = None, *, window: int = WINDOW, segment_words: int = SEGMENT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def positional_index(documents: DataFrame, *, gap: int = WINDOW + 1, segment_words: int = SEGMENT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The written index: a row for each segment and term, and one (null term) for the segment's documents."""
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return written(rows.mapInArrow(_indexer(vocabulary, window, segment_words), INDEX), "postings")
+    return written(rows.mapInArrow(_indexer(gap, segment_words), INDEX), "postings")
 
 
 def item_windows(items: list[tuple[str, str]], window: int = WINDOW) -> dict[tuple[bytes, ...], list[str]]:
@@ -112,78 +121,124 @@ def item_windows(items: list[tuple[str, str]], window: int = WINDOW) -> dict[tup
 
 
 def _matcher(anchored: dict[bytes, list], gap: int, slop: int):
-    def near(at: np.ndarray, postings: np.ndarray, offset: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Whether a posting stands near its place, inside the document from ``lo`` up to ``hi``."""
-        place = at + offset
-        return np.searchsorted(postings, np.minimum(place + slop, hi - 1), side="right") > np.searchsorted(postings, np.maximum(place - slop, lo), side="left")
-
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         head = rows[rows["term"].isnull()].iloc[0]
         counts = np.frombuffer(head["postings"], "<u4").astype(np.int64)
         starts = np.cumsum(counts + gap) - counts - gap
         postings = {bytes(t): np.frombuffer(p, "<u4").astype(np.int64) for t, p in zip(rows["term"], rows["postings"], strict=True) if t is not None and not isinstance(t, float)}
-        covered = np.zeros(int((counts + gap).sum()) + 1, bool)
-        items: dict[int, set] = {}
-        for term, windows in anchored.items():
-            if term not in postings:
-                continue
-            for steps, length, own in windows:
-                # The anchor's own position gives the document; with slop the start may lie before it.
-                at, doc = postings[term] - steps[0][1], np.searchsorted(starts, postings[term], side="right") - 1
-                for other, offset in steps[1:]:
-                    if not len(at) or other not in postings:
-                        at = at[:0]
-                        break
-                    fits = near(at, postings[other], offset, starts[doc], starts[doc] + counts[doc])
-                    at, doc = at[fits], doc[fits]
-                if not len(at):
-                    continue
-                for k in range(length):
-                    inside = (at + k >= starts[doc]) & (at + k < starts[doc] + counts[doc])
-                    covered[(at + k)[inside]] = True
-                for d in np.unique(doc).tolist():
-                    items.setdefault(d, set()).update(own)
-        hit = np.flatnonzero(covered)
-        lo, hi = np.searchsorted(hit, starts), np.searchsorted(hit, starts + counts)
         n = len(counts)
+
+        def found(reach: int) -> tuple[list, list]:
+            """The words of all matches and the items that match, for each document."""
+            covered = np.zeros(int((counts + gap).sum()) + 2, np.int8)
+            items: dict[int, set] = {}
+            for term, windows in anchored.items():
+                if term not in postings:
+                    continue
+                anchors = postings[term]
+                of = np.searchsorted(starts, anchors, side="right") - 1
+                for steps, own in windows:
+                    at, doc = anchors - steps[0][1], of
+                    for other, offset in steps[1:]:
+                        if not len(at) or other not in postings:
+                            at, doc = at[:0], doc[:0]
+                            break
+                        lo, hi = np.maximum(at + offset - reach, starts[doc]), np.minimum(at + offset + reach, starts[doc] + counts[doc] - 1)
+                        fits = np.searchsorted(postings[other], hi, side="right") > np.searchsorted(postings[other], lo, side="left")
+                        at, doc = at[fits], doc[fits]
+                    if not len(at):
+                        continue
+                    covered[at + steps[0][1]] = 1
+                    for other, offset in steps[1:]:
+                        lo, hi = np.maximum(at + offset - reach, starts[doc]), np.minimum(at + offset + reach, starts[doc] + counts[doc] - 1)
+                        a, b = np.searchsorted(postings[other], lo, side="left"), np.searchsorted(postings[other], hi, side="right")
+                        for k in range(int((b - a).max())):  # 2 * reach + 1 at most
+                            covered[postings[other][(a + k)[a + k < b]]] = 1
+                    for d in np.unique(doc).tolist():
+                        items.setdefault(d, set()).update(own)
+            hit = np.flatnonzero(covered)
+            lo, hi = np.searchsorted(hit, starts), np.searchsorted(hit, starts + counts)
+            return [(hit[a:b] - s).astype(np.int32) for a, b, s in zip(lo, hi, starts, strict=True)], [sorted(items.get(d, ())) for d in range(n)]
+
+        hits, items = found(0)
+        near_hits, near_items = found(slop) if slop else (hits, items)
         ids = pd.array([None if x is None else int(x) for x in head["doc_ids"]], dtype="Int64")
-        return pd.DataFrame({"segment": [head["segment"]] * n, "place": np.arange(n), "doc_id": ids, "n_words": counts, "hits": [(hit[a:b] - s).astype(np.int32) for a, b, s in zip(lo, hi, starts, strict=True)], "items": [sorted(items.get(d, ())) for d in range(n)]})
+        return pd.DataFrame({"segment": [head["segment"]] * n, "place": np.arange(n), "doc_id": ids, "n_words": counts, "hits": hits, "items": items, "near_hits": near_hits, "near_items": near_items})
 
     return match
 
 
-def search_windows(index: DataFrame, items: list[tuple[str, str]], *, window: int = WINDOW, slop: int = 0) -> DataFrame:
+def search_windows(index: DataFrame, items: list[tuple[str, str]], *, window: int = WINDOW, slop: int = 0, gap: int = WINDOW + 1) -> DataFrame:
     """Every document with the positions of its words inside matches, and the items that match: ``HITS``."""
     windows = item_windows(items, window)
-    counts = {bytes(r["term"]): r["n"] for r in index.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("n").alias("n")).join(F.broadcast(index.sparkSession.createDataFrame([(bytearray(t),) for t in sorted({t for w in windows for t in w})], "term binary")), "term").collect()} if windows else {}
+    terms = index.sparkSession.createDataFrame([(bytearray(t),) for t in sorted({t for w in windows for t in w})], "term binary")
+    asked = index.join(F.broadcast(terms), "term")  # one block's terms
+    counts = {bytes(r["term"]): r["n"] for r in asked.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     anchored: dict[bytes, list] = {}
-    for terms, own in windows.items():
-        if all(t in counts for t in terms):
-            steps = sorted(((t, k) for k, t in enumerate(terms)), key=lambda x: (counts[x[0]], x[1]))
-            anchored.setdefault(steps[0][0], []).append((steps, len(terms), own))
-    return index.groupBy("segment").applyInPandas(_matcher(anchored, window, slop), HITS)
+    for own_terms, own in windows.items():
+        if all(t in counts for t in own_terms):
+            steps = sorted(((t, k) for k, t in enumerate(own_terms)), key=lambda x: (counts[x[0]], x[1]))
+            anchored.setdefault(steps[0][0], []).append((steps, own))
+    return asked.unionByName(index.where(F.col("term").isNull())).groupBy("segment").applyInPandas(_matcher(anchored, gap, slop), HITS)
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS, segment_words: int = SEGMENT_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and ``items``.
+    """Per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, n_near_items, items, near_items``.
 
-    ``n_hit`` counts the document's words inside any occurrence of a window.
+    ``n_hit`` counts the document's words inside any occurrence of a window,
+    ``n_near`` those of proximity matches within ``slop`` (of phrases, if that is 0).
     """
     tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("words")).where("item is not null and words is not null")
     # Characters bound words from above.
     blocks = 1 + int(tests.agg(F.coalesce(F.sum(F.length("words")), F.lit(0)).alias("n")).first()["n"]) // (4 * block_words)
-    block = lambda k: [(r["item"], r["words"]) for r in tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]
-    options = {"window": window, "segment_words": segment_words, "id_col": id_col, "text_col": text_col}
-    if blocks == 1:
-        items = block(0)
-        index = positional_index(documents, sorted({w for _, t in items for w in words(t)}), **options)
-        found = search_windows(index, items, window=window, slop=slop)
-    else:
-        index = positional_index(documents, **options)
-        found = None
-        for k in range(blocks):
-            part = written(search_windows(index, block(k), window=window, slop=slop), "hits")
-            found = part if found is None else found.unionAll(part)
-        found = found.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    n_hit = F.size("hits").cast("long")
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "items")
+    # The gap between documents is wider than any place that a match could reach.
+    gap = window + slop + 1
+    index = positional_index(documents, gap=gap, segment_words=segment_words, id_col=id_col, text_col=text_col)
+    found = None
+    for k in range(blocks):
+        items = [(r["item"], r["words"]) for r in tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]
+        part = search_windows(index, items, window=window, slop=slop, gap=gap)
+        if blocks > 1:
+            part = written(part, "hits")
+        found = part if found is None else found.unionAll(part)
+    lists = ("hits", "items", "near_hits", "near_items")
+    if blocks > 1:
+        found = found.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in lists))
+    size = lambda c: F.size(c).cast("long")
+    return found.select("doc_id", "n_words", size("hits").alias("n_hit"), size("items").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), size("near_hits").alias("n_near"), size("near_items").alias("n_near_items"), "items", "near_items")
+
+
+#: The same in DuckDB's SQL, over the tables ``documents`` and ``benchmark``: phrases by joins on windows, proximity by joins on words.
+ORACLE_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item, array_to_string(w[k:k + least(len(w), {WINDOW}) - 1], ' ') AS t, least(len(w), {WINDOW}) AS n
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - {WINDOW} + 1))) AS k FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS t FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d, sizes WHERE len(w) >= n)),
+found AS (SELECT r, k, item, n FROM places JOIN windows USING (t, n)),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(k, k + n - 1)) AS p FROM found) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r),
+words AS (SELECT r, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM d),
+counts AS (SELECT term, count(*) AS n FROM words GROUP BY term),
+shapes AS (SELECT t, row_number() OVER () AS shape FROM (SELECT DISTINCT t FROM windows)),
+parts AS (SELECT shape, len(t) AS size, unnest(t) AS term, generate_subscripts(t, 1) AS k FROM (SELECT shape, string_split(t, ' ') AS t FROM shapes)),
+ranked AS (SELECT parts.*, row_number() OVER (PARTITION BY shape ORDER BY n, k) AS rank FROM parts JOIN counts USING (term)),
+anchors AS (SELECT shape, size, k AS anchor_k, r, p AS anchor_p FROM ranked JOIN words USING (term) WHERE rank = 1),
+reach AS (
+  SELECT a.r, a.shape, a.anchor_p, a.size, q.k, q.term, unnest(generate_series(a.anchor_p - a.anchor_k + q.k - s, a.anchor_p - a.anchor_k + q.k + s)) AS p
+  FROM anchors a JOIN (SELECT *, CASE WHEN rank = 1 THEN 0 ELSE {SLOP} END AS s FROM ranked) q USING (shape)),
+close AS (SELECT r, shape, anchor_p, size, k, p FROM reach JOIN words USING (r, p, term)),
+whole AS (SELECT r, shape, anchor_p FROM close GROUP BY r, shape, anchor_p, size HAVING count(DISTINCT k) = size),
+near AS (SELECT r, count(DISTINCT p) AS n_near FROM close JOIN whole USING (r, shape, anchor_p) GROUP BY r),
+near_items AS (SELECT r, count(DISTINCT item) AS n_near_items FROM whole JOIN shapes USING (shape) JOIN windows USING (t) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(coalesce(n_near_items, 0) AS BIGINT) AS n_near_items
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r) LEFT JOIN near USING (r) LEFT JOIN near_items USING (r)
+"""

@@ -208,19 +208,45 @@ def test_decontamination_without_ids(spark):
 def test_proximity(spark):
     one = spark.createDataFrame([(1, "x one two and three y"), (2, "three x x x x one")], "doc_id long, text string")
     items = spark.createDataFrame([("i", "one two three")], "item_id string, text string")
-    near = {r["doc_id"]: r["contaminated"] for r in decontamination.find_contamination(one, items, slop=1).collect()}
-    assert near == {1: True, 2: False}
-    assert not any(r["contaminated"] for r in decontamination.find_contamination(one, items).collect())
-
-
-def test_proximity_at_the_start_of_a_document(spark):
-    """The anchor (the rarest term, ``three``) stands before its offset, in the first document and in a later one."""
-    texts = ["one three two z", "one two", "one three two z", "one x x x x", "two three"]
+    got = {r["doc_id"]: (r["n_hit"], r["n_near"], r["n_near_items"]) for r in decontamination.find_contamination(one, items, slop=1).collect()}
+    assert got == {1: (0, 3, 1), 2: (0, 0, 0)}
+    assert not any(r["contaminated"] or r["n_near"] for r in decontamination.find_contamination(one, items).collect())
+
+
+def plain_near(texts, items, slop, window=10):
+    """Per text: the words of proximity matches, and the items that match."""
+    words = [re.findall("[a-z0-9]+", t) for t in texts]
+    counts: dict = {}
+    for w in (x for own in words for x in own):
+        counts[w] = counts.get(w, 0) + 1
+    out = [(set(), set()) for _ in texts]
+    for item, text in items:
+        terms = text.split()
+        for k in range(max(1, len(terms) - window + 1)):
+            part = terms[k : k + window]
+            if any(t not in counts for t in part):
+                continue
+            anchor = min(range(len(part)), key=lambda j: (counts[part[j]], j))
+            for own, (near, found) in zip(words, out, strict=True):
+                for at in (p for p, w in enumerate(own) if w == part[anchor]):
+                    places = [[p for p, w in enumerate(own) if w == t and abs(p - (at - anchor + j)) <= (slop if j != anchor else 0)] for j, t in enumerate(part)]
+                    if all(places):
+                        near.update(p for x in places for p in x)
+                        found.add(item)
+    return [(len(n), len(f)) for n, f in out]
+
+
+def test_proximity_equals_brute_force(spark):
+    """Several documents in one segment, matches at their edges, repeated terms, terms out of place."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(1, 30))) for _ in range(60)]
+    texts += ["one three two z", "one two", "one three two z", "one x x x x", "two three", " ".join(f"a{k}" for k in range(9)), "a9"]
+    items = [("i", "one two three"), ("j", " ".join(f"a{k}" for k in range(10))), ("k", "a b c d"), ("l", "a a b"), ("m", " ".join("abcdefghab" "cd"))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    items = spark.createDataFrame([("i", "one two three")], "item_id string, text string")
+    tests = spark.createDataFrame(items, "item_id string, text string")
     for slop in (2, 12):
-        got = {r["doc_id"]: r for r in decontamination.find_contamination(docs, items, slop=slop).collect()}
-        assert {i: (r["n_hit"], r["n_items"]) for i, r in got.items()} == {0: (2, 1), 1: (0, 0), 2: (2, 1), 3: (0, 0), 4: (0, 0)}
+        got = {r["doc_id"]: (r["n_near"], r["n_near_items"]) for r in decontamination.find_contamination(docs, tests, slop=slop).collect()}
+        assert [got[k] for k in range(len(texts))] == plain_near(texts, items, slop)
 
 
 def test_line_dedup(spark, docs, empty):
