@@ -259,6 +259,23 @@ def test_line_dedup(spark, docs, empty):
     assert [r["doc_id"] for r in logs.collect()] == [0]
 
 
+def test_line_templates(spark):
+    """Fields without a digit; lines that are alike in part only; variants of one line that change at several places."""
+    word = lambda k: "".join(chr(97 + int(c)) for c in f"{k:03d}")
+    field = [(i, f"error while opening the file {word(i)} of user root now") for i in range(30)]
+    ten = "these ten leading tokens stand in both of the lines"
+    part = [(100, ten + " " + " ".join(f"l{word(k)}" for k in range(8))), (101, ten + " " + " ".join(f"r{word(k)}" for k in range(8)))]
+    base = [f"w{word(k)}" for k in range(24)]
+    some = [(200, " ".join(base))] + [(201 + j, " ".join("changed" + word(j) if k in (6, 12 + j) else w for k, w in enumerate(base))) for j in range(4)]
+    rows = [(i, t, "x", 7) for i, t in field + part + some]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lines string, row long")
+    got = line_templates.drop_recurring_lines(docs, keep_empty=False)
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 100, 101, 200]
+    assert got.columns == ["doc_id", "text", "lines", "row", "n_lines", "n_dropped"]
+    every = spark.createDataFrame([(1, "short line"), (2, "short line\nown")], "doc_id long, text string")
+    assert [r["text"] for r in line_templates.drop_recurring_lines(every, often=2).orderBy("doc_id").collect()] == ["short line", "own"]
+
+
 def test_line_dedup_empties_copies(spark):
     """A few copies, too few for their short lines to recur often, leave; chance short lines stay."""
     text = f"Contents\n{SHARED}\nshort line of five words\nRead more"

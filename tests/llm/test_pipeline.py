@@ -8,30 +8,41 @@ from quirelake.llm import line_templates
 DATA = "/root/testdata/sf0.001"
 
 
-def keys(line):
-    t = [w for w in re.split("[ \t\r]+", re.sub(r"[^ \t\r]*[0-9][^ \t\r]*", "<*>", line)) if w]
-    half = line_templates.LEAD + (len(t) - line_templates.LEAD) // 2
-    if len(t) >= line_templates.GENERAL:
-        return [(len(t), 1, *t[:half]), (len(t), 2, *t[:3], *t[half:])]
-    return [(len(t), 0, *t)] if t else []
+def form(line):
+    return tuple(w for w in re.split("[ \t\r]+", re.sub(r"[^ \t\r]*[0-9][^ \t\r]*", "<*>", line)) if w)
 
 
 def plain_lines(texts):
-    lines = {i: [keys(x) for x in t.split("\n")] for i, t in texts.items()}
+    L, lead = line_templates.LONG, line_templates.LEAD
+    lines = {i: [form(x) for x in t.split("\n")] for i, t in texts.items()}
     places: dict = {}
     for i, own in lines.items():
-        for ks in own:
-            for k in ks:
-                places.setdefault(k, []).append(i)
-    recurring = {k: min(v) for k, v in places.items() if min(v) < max(v) and (k[0] >= line_templates.LONG or len(v) >= line_templates.OFTEN)}
+        for k, f in enumerate(own):
+            if f:
+                places.setdefault(f, []).append((i, k))
+    groups: dict = {}
+    for f in places:
+        if len(f) >= L:
+            cut = [lead + (len(f) - lead) * k // 4 for k in range(5)]
+            q = [f[cut[k] : cut[k + 1]] for k in range(4)]
+            for a in range(4):
+                for b in range(a + 1, 4):
+                    groups.setdefault((len(f), f[:lead], a, b, q[a], q[b]), []).append(f)
+    keeper = {f: min(p)[0] for f, p in places.items()}
+    for own in groups.values():
+        head = min(own, key=lambda f: min(places[f]))
+        for f in own:
+            if 100 * sum(x == y for x, y in zip(f, head, strict=True)) >= line_templates.SIMILAR * len(f):
+                keeper[f] = min(keeper[f], min(places[head])[0])
+    recurring = {f: keeper[f] for f, p in places.items() if keeper[f] < max(p)[0] and (len(f) >= L or len(p) >= line_templates.OFTEN)}
     first: dict = {}
     for i in sorted(texts):
         first.setdefault(texts[i], i)
     out = {}
     for i, own in lines.items():
-        keepers = {recurring[k] for ks in own for k in ks if k[0] >= line_templates.LONG and recurring.get(k, i) != i} | {first[texts[i]]} - {i}
-        held = {k for d in keepers for ks in lines[d] for k in ks if k[0] < line_templates.LONG}
-        kept = [x for x, ks in zip(texts[i].split("\n"), own, strict=True) if not any(recurring.get(k, i) != i or k in held for k in ks)]
+        keepers = {recurring[f] for f in own if len(f) >= L and recurring.get(f, i) != i} | {first[texts[i]]} - {i}
+        held = {f for d in keepers for f in lines[d] if 0 < len(f) < L}
+        kept = [x for x, f in zip(texts[i].split("\n"), own, strict=True) if recurring.get(f, i) == i and f not in held]
         text = "\n".join(kept)
         if text == texts[i] or re.search(r"[^ \t\r\n]", text):
             out[i] = text
