@@ -18,6 +18,10 @@ leaves a task is one link for each member that joins a component, never all
 pairs.  Every pair in a bucket is thus either compared or already connected.
 
 Null ids: never linked, kept.  Rows that share an id are one vertex of the graph.
+Whole texts are read, however long; an empty table gives an empty result; other
+columns of the input, whatever their names, play no part.  The first permutation
+is a bijection of 64 bits of which the place is the upper part, so that shingles
+may share a place; that only makes candidates, which are checked exactly.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, written
+from .shared import mark, settled, slices, written
 
 SHINGLE = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -220,7 +224,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = written(dealt, "dealt")
     members = dealt.select("doc_id", "leader", "salt", F.lit(1).alias("role"))
     leaders = dealt.select(F.col("leader").alias("doc_id"), "leader", "salt", F.lit(0).alias("role")).distinct()
-    rows = members.unionAll(leaders).join(texts, "doc_id").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role")
+    rows = members.unionAll(leaders).join(texts.hint("merge"), "doc_id").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role")
     return rows.select("leader", "salt", "role", "doc_id", "text").mapInArrow(_verifier, "a long, b long")
 
 
@@ -254,9 +258,9 @@ def link_classes(rows: DataFrame, texts: DataFrame, extra: DataFrame | None = No
     """``node, component`` of linked representatives; ``rows``: ``key, rep, size``, one for each band of each."""
     first = F.min(F.struct("rep", "size")).alias("f")
     sizes = written(rows.groupBy("key").agg(first, F.count("*").alias("n")).where("n > 1").select("key", F.col("f.rep").alias("first"), F.col("f.size").alias("first_size")), "buckets")
-    met = written(rows.join(sizes, "key"), "met")
+    met = written(rows.join(sizes.hint("merge"), "key"), "met")
     # From here on only texts that share a bucket are read.
-    own = written(texts.join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text"), "texts")
+    own = written(texts.join(met.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id").select("doc_id", "text"), "texts")
     open_rows = met.where("rep != first").select("key", "rep", "size")
     pairs = written(met.where(F.expr("rep != first") & _may_link("size", "first_size")).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = written(confirmed(pairs, own), "links")
@@ -269,13 +273,14 @@ def link_classes(rows: DataFrame, texts: DataFrame, extra: DataFrame | None = No
     rest = named.join(live, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     both = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j"))))
     dealt = written(rest.select("key", "rep", "component", both.alias("b")).select("key", "b.i", "b.j", "rep", "component"), "dealt")
-    groups = dealt.join(own, dealt["rep"] == own["doc_id"]).select("key", "i", "j", "rep", "component", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    groups = dealt.join(own.hint("merge"), dealt["rep"] == own["doc_id"]).select("key", "i", "j", "rep", "component", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
     found = written(groups.mapInArrow(_block_verifier, "a long, b long").distinct(), "links")
     return labels if found.isEmpty() else components(links.unionAll(found))
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id, kept``."""
+    since = mark()
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = written(rows.mapInArrow(_sketcher, "doc_id long, n_shingles long, set_hash binary, bands array<long>"), "sketches")
     known = sketches.where("doc_id is not null and set_hash is not null")
@@ -286,6 +291,6 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     ties = known.join(several, "doc_id").join(classes.select("set_hash", "rep"), "set_hash").where("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     labels = link_classes(keys, rows.where("doc_id is not null"), written(ties, "ties"))
     of_class = written(classes.join(labels, classes["rep"] == labels["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("component_id")), "of-class")
-    found = sketches.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
+    found = settled(sketches.select("doc_id", "n_shingles", "set_hash").join(of_class.hint("merge"), "set_hash", "left").select("doc_id", "n_shingles", "component_id"), "near-duplicates", since)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

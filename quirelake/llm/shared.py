@@ -35,7 +35,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     This cuts the lineage: a lost executor costs a read of the written files,
@@ -43,10 +43,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point from which written tables can be forgotten."""
+    return len(_made)
+
+
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``df`` written, and all tables written since ``since`` removed: no plan but ``df``'s may need them."""
+    out = written(df, name)
+    for spark, path in _made[since:-1]:
+        remove(spark, path)
+    del _made[since:-1]
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = TOGETHER) -> Iterator[pa.RecordBatch]:
     """The batches in parts of a few rows, so that a task holds few of its texts as Python objects."""
     for batch in batches:
