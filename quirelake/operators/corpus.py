@@ -75,9 +75,13 @@ def occurrences(df: DataFrame, context: str, needle: str) -> DataFrame:
     parts = F.split(F.col(context), F.concat(F.lit(r"\Q"), F.col(needle), F.lit(r"\E")), -1)
     n = F.length(needle)
     lengths = F.transform(parts, F.length)
-    before = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.aggregate(F.slice(lengths, F.lit(1), k), F.lit(0), lambda a, x: a + x) + (k - 1) * n)
-    rows = df.where((n > 0) & (F.size(parts) > 1)).withColumn("start", F.explode(before))
-    return rows.withColumn("end", F.col("start") + F.length(needle))
+    rows = df.where((n > 0) & (F.size(parts) > 1)).withColumn("__parts", lengths)
+    # Every part is a row: a running sum gives its end, so the cost is linear in the occurrences.
+    numbered = rows.withColumn("__row", F.monotonically_increasing_id()).select("*", F.posexplode(F.slice("__parts", F.lit(1), F.size("__parts") - 1)).alias("__k", "__length"))
+    ends = F.sum(F.col("__length")).over(Window.partitionBy("__row").orderBy("__k"))
+    found = numbered.withColumn("start", (ends + F.col("__k") * n).cast("int")).drop("__parts", "__row", "__k", "__length")
+    return found.withColumn("end", F.col("start") + F.length(needle))
+
 
 
 def offsets(df: DataFrame, by: str, position: str, column: str) -> DataFrame:

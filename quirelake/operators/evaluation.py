@@ -148,7 +148,7 @@ def drop_overlaps(spans: Column) -> Column:
     return F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
 
 
-def adjacent_overlaps(df: DataFrame, record: str, start: str, end: str) -> DataFrame:
+def adjacent_overlaps(df: DataFrame, record: str, start: str, end: str, *ties: str) -> DataFrame:
     """Spans that reach into the next one of their record."""
-    following = F.lead(start).over(Window.partitionBy(record).orderBy(start, end))
+    following = F.lead(start).over(Window.partitionBy(record).orderBy(start, end, *ties))
     return df.withColumn("next_start", following).where(F.col(end) > F.col("next_start"))

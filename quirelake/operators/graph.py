@@ -158,18 +158,29 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(keep.select(F.col("uri").alias("source")), "source", "left_semi").join(keep.select(F.col("uri").alias("target")), "target", "left_semi")
 
 
-def closure(parents: DataFrame, rounds: int = 16) -> DataFrame:
-    """``child, ancestor``: the transitive closure of ``child, parent``; each round doubles the reach."""
-    known = parents.select(F.col("child"), F.col("parent").alias("ancestor")).distinct()
+def closure(parents: DataFrame) -> DataFrame:
+    """``child, ancestor``: the transitive closure of ``child, parent``; each round doubles the reach, until nothing is new.
+
+    With a checkpoint folder each round cuts its lineage there.
+    """
+    spark = parents.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    cut = lambda df: df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+    known = cut(parents.select(F.col("child"), F.col("parent").alias("ancestor")).distinct())
     n = known.count()
-    for _ in range(rounds):
-        known = known.union(known.join(known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("far")), "ancestor").select("child", F.col("far").alias("ancestor"))).distinct()
-        known = known.checkpoint() if known.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else known
+    while True:
+        further = known.join(known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("far")), "ancestor").select("child", F.col("far").alias("ancestor"))
+        known = cut(known.union(further).distinct())
         more = known.count()
         if more == n:
-            break
+            return known
         n = more
-    return known
+
+
+def in_language(triples: DataFrame, language: str) -> DataFrame:
+    """Triples whose literal is tagged with a language."""
+    return triples.where((F.col("o_kind") == "literal") & (F.col("lang") == language))
 
 
 def property_search(properties: DataFrame, filters: list[tuple[str, str, str]]) -> DataFrame:

@@ -66,10 +66,11 @@ def optional_pattern(spark, d):
     return graph.optional(graph.pattern(g, "?customer", graph.TYPE, "Customer"), graph.pattern(g, "?order", "placed_by", "?customer")).select("customer", "order")
 
 
-@query(over_graph("SELECT c.s AS customer FROM triples c WHERE c.p = 'rdf:type' AND c.o = 'Customer' AND NOT EXISTS (SELECT 1 FROM triples p WHERE p.p = 'placed_by' AND p.o = c.s)"))
+@query(over_graph("SELECT n.s AS nation, n.o AS region FROM triples n WHERE n.p = 'in_region' AND NOT EXISTS (SELECT 1 FROM triples p WHERE p.p = 'in_nation' AND p.o = n.s AND p.s LIKE 'supplier/%' AND p.s < 'supplier/5')"))
 def not_exists_pattern(spark, d):
-    g = star_graph(spark, d)
-    return graph.not_exists(graph.pattern(g, "?customer", graph.TYPE, "Customer"), graph.pattern(g, "?order", "placed_by", "?customer"))
+    g = star_graph(spark, d, orders=False)
+    suppliers = graph.pattern(g, "?supplier", "in_nation", "?nation").where(F.col("supplier").startswith("supplier/") & (F.col("supplier") < "supplier/5"))
+    return graph.not_exists(graph.pattern(g, "?nation", "in_region", "?region"), suppliers)
 
 
 @query(over_graph("SELECT s AS customer, o AS label FROM triples WHERE p = 'rdfs:label' AND s LIKE 'customer/%' AND contains(lower(o), '99')"))
@@ -539,8 +540,7 @@ def weighted_votes(spark, d):
 def adjacent_overlaps(spark, d):
     day = F.date_diff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date"))
     spans = table(spark, d, "orders").select("o_custkey", "o_orderkey", day.alias("s"), (day + 90 + F.col("o_orderkey") % 7).alias("e"))
-    following = F.lead("s").over(Window.partitionBy("o_custkey").orderBy("s", "e", "o_orderkey"))
-    return spans.withColumn("next_start", following).where("e > next_start")
+    return evaluation.adjacent_overlaps(spans, "o_custkey", "s", "e", "o_orderkey")
 
 
 # Annotated corpora -----------------------------------------------------------------
@@ -630,3 +630,7 @@ def quality_report(spark, d):
 @query("SELECT max(n) AS largest, min(n) AS smallest, round(max(n) / min(n), 6) AS ratio, max(n) / min(n) > 10 AS rebalance FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)")
 def class_imbalance(spark, d):
     return corpus.imbalance(table(spark, d, "documents"), "lang")
+
+
+# Registers its own queries here.
+from quirelake.plans import items as _items  # noqa: E402, F401
