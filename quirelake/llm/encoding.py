@@ -15,12 +15,16 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 BYTE_LEVEL = "byte_bpe_50k.json"
 WORD_LEVEL = "word_bpe_49k.json"
 
 #: Pieces of ``SHORT`` characters at most are remembered, in two generations of so many (about 200 bytes each); results don't depend on either.
 REMEMBERED = 150_000
 SHORT = 40
+#: New pieces that go through the library in one string.
+TOGETHER = 4096
 
 #: Latin letters (but U+0130, which becomes two characters in lower case), not followed by anything that could be a letter or a mark: the end of such a run is a boundary.
 _LETTERS = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]++(?![\x80-\U0010FFFF])"
@@ -49,7 +53,9 @@ class Encoder:
             _tokenizers[path] = Tokenizer.from_file(path)
         self.tokenizer = _tokenizers[path]
         self.keeps_space = keeps_space
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        self.mark = max(added)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -57,6 +63,21 @@ class Encoder:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in out]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that hold no special token: encoded in one string, a special token between two of them."""
+        if len(pieces) < 3:
+            return self._library(pieces)
+        out, between = [], self.tokenizer.id_to_token(self.mark)
+        for at in range(0, len(pieces), TOGETHER):
+            some = pieces[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == self.mark)).tolist()
+            if len(ends) != len(some) - 1:
+                raise ValueError("the special token doesn't part these pieces")
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)], strict=True)]
+        return out
+
     def _whole(self, text: str) -> bool:
         if any(s in text for s in self.special):
             return True
@@ -76,7 +97,7 @@ class Encoder:
         met = {p: older[p] for p in absent if p in older}
         known.update(met)
         new = [p for p in absent if p not in met]
-        ids = dict(zip(new, self._library(new), strict=True)) if new else {}
+        ids = dict(zip(new, self._pieces(new), strict=True)) if new else {}
         known.update((p, x) for p, x in ids.items() if len(p) <= SHORT)
         return b"".join([known[p] if p in known else ids[p] for p in pieces])
 
