@@ -21,7 +21,7 @@ BYTE_LEVEL = "byte_bpe_50k.json"
 WORD_LEVEL = "word_bpe_49k.json"
 
 #: Pieces of ``SHORT`` characters at most are remembered, in two generations of so many (about 200 bytes each); results don't depend on either.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 SHORT = 40
 #: New pieces that go through the library in one string.
 TOGETHER = 4096
@@ -99,7 +99,10 @@ class Encoder:
         new = [p for p in absent if p not in met]
         ids = dict(zip(new, self._pieces(new), strict=True)) if new else {}
         known.update((p, x) for p, x in ids.items() if len(p) <= SHORT)
-        return b"".join([known[p] if p in known else ids[p] for p in pieces])
+        long = {p: x for p, x in ids.items() if len(p) > SHORT}
+        if long:
+            return b"".join([long[p] if p in long else known[p] for p in pieces])
+        return b"".join(map(known.__getitem__, pieces))
 
 
 def encoder(path: str, keeps_space: bool) -> Encoder:
