@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import filterfalse
 
 import numpy as np
 
@@ -91,7 +92,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        absent = set(pieces).difference(known)
+        absent = set(filterfalse(known.__contains__, pieces))
         if not absent:
             return b"".join(map(known.__getitem__, pieces))
         met = {p: older[p] for p in absent if p in older}
