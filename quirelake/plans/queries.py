@@ -632,5 +632,6 @@ def class_imbalance(spark, d):
     return corpus.imbalance(table(spark, d, "documents"), "lang")
 
 
-# Registers its own queries here.
+# These register their own queries here.
 from quirelake.plans import items as _items  # noqa: E402, F401
+from quirelake.plans import names as _names  # noqa: E402, F401

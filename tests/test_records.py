@@ -114,3 +114,19 @@ def test_folds_number_a_label_in_groups(spark):
         seen[label] += 1
     assert {r["k"]: r["fold"] for r in got.collect()} == wanted
     assert "row_number() windowspecdefinition(label" in (plan := got._jdf.queryExecution().analyzed().toString()) and "__salt" in plan.split("row_number()")[1].split("ASC")[0]
+
+
+def test_convert(spark, tmp_path):
+    from quirelake import convert
+
+    table = tmp_path / "records.csv"
+    table.write_text("001,245$a,260$c,650$a\n1,Song,1407,Poetry|Law\n2,Law,,\n", encoding="utf-8")
+    assert convert.file_format(spark, str(table))["format"] == "delimited"
+    assert convert.count_records(spark, str(table)) == 2
+    convert.convert(spark, str(table), str(tmp_path / "out"))
+    graph = convert.files.read_ntriples(spark, str(tmp_path / "out" / "graph"))
+    assert graph.where("p = 'record_id'").count() == 2
+    assert {r["node_type"]: r["n"] for r in spark.read.json(str(tmp_path / "out" / "statistics")).collect()}["Manuscript"] == 2
+    assert convert.validate(spark, str(tmp_path / "out" / "graph")).columns == ["focus_node", "path", "severity", "message"]
+    convert.convert_to_json(spark, str(table), str(tmp_path / "rows"))
+    assert spark.read.json(str(tmp_path / "rows")).count() == 2
