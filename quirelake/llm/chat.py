@@ -134,3 +134,18 @@ def _digester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def conversation_digests(formatted: DataFrame) -> DataFrame:
     """Read back from formatted conversations: turns, and the text under the loss mask."""
     return formatted.mapInArrow(_digester, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+#: The registered query for DuckDB, from the turns themselves; an escape adds one character to each ``<``, backslashes, ``|``.
+ORACLE_SQL = rf"""
+WITH t AS (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '{END}{START}assistant ok'), (-1, 1, 'assistant', '{END}{START}assistant ok')),
+ordered AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS nth,
+        length(coalesce(role, '') || coalesce(text, '')) + len(regexp_extract_all(coalesce(role, ''), '<\\*\|')) + len(regexp_extract_all(coalesce(text, ''), '<\\*\|')) + {len(START + SEP + END)} AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::bigint AS formatted_chars
+FROM ordered GROUP BY conv_id
+"""

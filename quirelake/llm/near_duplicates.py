@@ -294,3 +294,28 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     found = settled(sketches.select("doc_id", "n_shingles", "set_hash").join(of_class.hint("merge"), "set_hash", "left").select("doc_id", "n_shingles", "component_id"), "near-duplicates", since)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+#: The registered query for DuckDB (ids unique): similar sets share one of the rarest shingles of each, exact similarities on the full sets, closure over the links.
+ORACLE_SQL = rf"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 OR w IS NULL THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {SHINGLE - 2}, 2)), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')))) END AS s FROM w),
+classes AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY s),
+terms AS (SELECT rep, n, unnest(s) AS term FROM classes),
+ranked AS (
+    SELECT rep, n, term, row_number() OVER (PARTITION BY rep ORDER BY often, term) AS nth
+    FROM (SELECT *, count(*) OVER (PARTITION BY term) AS often FROM terms)),
+rare AS (SELECT * FROM ranked WHERE nth <= n - ceil(n * {PERCENT} / 100.0) + 1),
+pairs AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM rare a JOIN rare b ON a.term = b.term AND a.rep < b.rep AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)),
+checked AS (SELECT a, b, x.n AS m, y.n AS n, len(list_intersect(x.s, y.s)) AS shared FROM pairs JOIN classes x ON x.rep = a JOIN classes y ON y.rep = b),
+links AS (SELECT a, b FROM checked WHERE 100 * shared >= {PERCENT} * (m + n - shared)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT rep AS a, rep AS b FROM classes UNION SELECT r.a, l.b FROM reached r JOIN both_ways l ON r.b = l.a),
+components AS (SELECT a AS rep, min(b) AS component FROM reached GROUP BY a)
+SELECT sets.doc_id, len(sets.s)::bigint AS n_shingles, CASE WHEN sets.doc_id IS NOT NULL THEN coalesce(component, sets.doc_id) END AS component_id,
+    sets.doc_id IS NULL OR coalesce(component, sets.doc_id) = sets.doc_id AS kept
+FROM sets LEFT JOIN classes USING (s) LEFT JOIN components USING (rep)
+"""

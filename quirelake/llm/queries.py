@@ -63,4 +63,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_top_k": bit_sliced_search.ORACLE_SQL, "op7_decontamination": decontamination.ORACLE_SQL, "op10_line_dedup": line_templates.ORACLE_SQL}
+    return {
+        "op1_secret_scan": secrets.ORACLE_SQL,
+        "op2_chat_formatting": chat.ORACLE_SQL,
+        "op3_minhash_near_dedup": near_duplicates.ORACLE_SQL,
+        "op6_exact_top_k": bit_sliced_search.ORACLE_SQL,
+        "op7_decontamination": decontamination.ORACLE_SQL,
+        "op10_line_dedup": line_templates.ORACLE_SQL,
+    }

@@ -211,3 +211,29 @@ def redact_secrets(documents: DataFrame, scanned: DataFrame, *, id_col: str = "d
     spans = scanned.where("spans != ''").select(F.col("doc_id").alias(id_col), F.transform(F.split("spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b"))).alias("__spans"))
     hidden = F.aggregate("__spans", F.col(text_col), lambda t, s: F.concat(t.substr(F.lit(1), s["a"]), F.repeat(F.lit(mark), s["b"] - s["a"]), t.substr(s["b"] + 1, F.length(t))))
     return documents.join(spans, id_col, "left").withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(hidden)).drop("__spans").select(documents.columns)
+
+
+def _in_sql(rule: Rule) -> str:
+    """The expression for DuckDB; letters of either case are spelt out, since its own folding isn't limited to ASCII."""
+    if not rule.any_case:
+        return rule.pattern
+    head, tail = rule.pattern.split(")", 1)
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in head) + ")" + tail
+
+
+def _matches_sql(k: int, rule: Rule) -> str:
+    quoted = _in_sql(rule).replace("'", "''")
+    return f"""SELECT r, {k} AS k, '{rule.kind}' AS kind, {rule.least} AS least, unnest(string_split_regex(text, '{quoted}')) AS gap,
+        unnest(regexp_extract_all(text, '{quoted}')) AS m, unnest(regexp_extract_all(text, '{quoted}', {rule.group})) AS held, unnest(range(len(string_split_regex(text, '{quoted}')))) AS nth FROM d"""
+
+
+#: The registered query for DuckDB: every expression on every text; places follow from the lengths of the matches and of what lies between them.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS ({" UNION ALL ".join(_matches_sql(k, rule) for k, rule in enumerate((*BASE_RULES, *MORE_RULES)))}),
+placed AS (SELECT *, sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY r, k ORDER BY nth) AS stop FROM parts),
+spans AS (SELECT r, k, kind, (stop - length(m))::bigint AS start, kind || ':' || (stop - length(m))::bigint || ':' || stop::bigint AS span FROM placed WHERE m IS NOT NULL AND length(held) >= least)
+SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{rule.kind}') AS n_{rule.kind}" for rule in BASE_RULES)},
+    sha256(coalesce(string_agg(span, ',' ORDER BY start, k) FILTER (k < {len(BASE_RULES)}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, k), '') AS spans
+FROM d LEFT JOIN spans USING (r) GROUP BY r, doc_id
+"""

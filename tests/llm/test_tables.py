@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -76,6 +77,21 @@ def test_line_dedup_matches_sql(spark):
     assert sorted(map(tuple, queries.queries()["op10_line_dedup"](spark, data).select("doc_id", "text", "n_lines", "n_dropped").collect())) == wanted
 
 
+@pytest.mark.parametrize("name", ["op1_secret_scan", "op2_chat_formatting", "op3_minhash_near_dedup"])
+def test_queries_match_sql(spark, name):
+    import duckdb
+
+    data = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    for table in ("documents", "conversations"):
+        duck.execute(f"create view {table} as select * from '{data}/{table}.parquet'")
+    wanted = duck.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in wanted.description]
+    found = queries.queries()[name](spark, data)
+    assert sorted(found.columns) == sorted(columns)
+    assert sorted(map(str, (tuple(r) for r in found.select(columns).collect()))) == sorted(map(str, wanted.fetchall()))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
