@@ -1,8 +1,12 @@
 """Personal data replaced by surrogates, in DataFrame functions only.
 
 Detected: e-mail addresses, account numbers (IBAN), IPv4 addresses, social
-security numbers, telephone and card numbers, and personal names (after a title,
-or a given name of the lists below before a surname).
+security numbers, telephone and card numbers, and personal names: after a title,
+a given name of the lists below before a surname, or two words of a name's shape
+after a phrase that introduces one.  Initials, particles, hyphens and apostrophes
+are parts of names.  A surname of three letters or more that was found in a text
+is replaced wherever it stands alone in that text; ``n_entities`` doesn't count
+these mentions.
 
 An entity's canonical form (lower case, or digits only) and a secret key give its
 surrogate, so that all mentions of an entity get the same one, in each mention's
@@ -21,8 +25,10 @@ another entity's surrogate is drawn anew until all are distinct.  After
 doesn't end the search: octets take any value, other forms grow by a character
 each turn.
 
-Null texts stay null; rows without entities pass unchanged; repeated rows and
-ids get the same result each.
+Null texts stay null; rows without entities pass unchanged; repeated rows get the
+same result each, rows that share an id only are texts of their own.  Whole texts
+are read, however long; an empty table gives an empty result.  Other columns pass
+unchanged, whatever their names, but an ``n_entities`` of the input is replaced.
 """
 
 from __future__ import annotations
@@ -45,10 +51,15 @@ GIVEN = {
     ("female", "hebrew"): ("שרה", "רבקה", "רחל", "לאה", "מרים", "חנה"),
     ("male", "hebrew"): ("אברהם", "יצחק", "יעקב", "משה", "דוד", "שלמה"),
 }
-TITLES = {"male": ("Mr", "Herr", "Monsieur", "Señor", "Г-н"), "female": ("Mrs", "Ms", "Frau", "Madame", "Señora", "Г-жа")}
+TITLES = {"male": ("Mr", "Herr", "Monsieur", "Señor", "Г-н"), "female": ("Mrs", "Ms", "Frau", "Madame", "Señora", "Г-жа"), "any": ("Dr", "Prof")}
+#: Phrases that introduce a name, words inside names.
+CUES = ("name is", "Name is", "name:", "Name:", "Signed,", "signed by", "Signed by", "Sincerely,", "regards,", "Regards,", "Attn:", "m'appelle", "me llamo", "Me llamo", "nombre es", "ich heiße", "Ich heiße", "Name ist", "меня зовут", "Меня зовут")
+PARTICLES = ("van", "von", "der", "den", "de", "da", "del", "di", "bin", "al", "la", "le")
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_CAPITAL = r"[\p{Lu}\p{Lo}][\p{L}]+"
+_CAPITAL = r"[\p{Lu}\p{Lo}](?:['’]\p{Lu})?[\p{L}\p{M}]+(?:['’-]\p{Lu}[\p{L}\p{M}]+)*+"
+_MIDDLE = rf"(?:\p{{Lu}}\. |(?:{'|'.join(PARTICLES)}) ){{0,3}}"
+_ALL_TITLES, _ALL_GIVEN = (tuple(w for ws in table.values() for w in ws) for table in (TITLES, GIVEN))
 _SOLO = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])",
@@ -58,7 +69,8 @@ PATTERNS = {
     # Compact numbers, the national form of North America, any grouping of 7 to 15 digits, short groups, national numbers with a trunk zero.
     "phone": "(?<![0-9A-Za-z+])" + r"(?:\+[1-9][0-9]{9,14}|(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9](?:[ .-]?\(?[0-9]\)?){6,14}|0[1-9](?: [0-9]{2}){4}|0[1-9][0-9]{1,3} [0-9]{5,8}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4})" + _SOLO[1],
     "card": _SOLO[0] + r"[0-9]{4}(?:[0-9]{9,15}| [0-9]{6} [0-9]{5}|-[0-9]{6}-[0-9]{5}|([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,7})" + _SOLO[1],
-    "name": rf"(?<!\p{{L}})(?:(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.? {_CAPITAL}(?: {_CAPITAL})?|(?:{'|'.join(n for ns in GIVEN.values() for n in ns)}) {_CAPITAL})",
+    "name": r"(?<!\p{L})(?=[\p{Lu}\p{Lo}])(?:"
+    + rf"(?:{'|'.join(_ALL_TITLES)})\.? {_MIDDLE}{_CAPITAL}(?: {_MIDDLE}{_CAPITAL})?|(?:{'|'.join(_ALL_GIVEN)}) {_MIDDLE}{_CAPITAL}|(?<=(?:^|[^\p{{L}}])(?:{'|'.join(CUES)})[ \n]){_CAPITAL} {_MIDDLE}{_CAPITAL})",
 }
 #: One expression for all kinds; group 2 is the card number's separator.
 PATTERN = "(" + "|".join(PATTERNS.values()) + ")"
@@ -168,10 +180,11 @@ def _parts(entity: Column, kind: Column) -> Column:
     # A leading plus tells that a country code follows.
     canonical = F.when(kind.isin("ssn", "phone", "card"), F.regexp_replace(entity, r"(?<!^)\+|[^0-9+]", "")).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).otherwise(F.lower(entity))
     words = F.split(entity, " ")
-    titled = words[0].rlike(_in(t for ts in TITLES.values() for t in ts))
+    titled = words[0].rlike(_in(_ALL_TITLES))
 
     def word(w: Column, i: Column) -> Column:
-        of = F.when(titled & (i == 0), F.lit("keep"))
+        # Initials have few forms: they are drawn like given names, without a check that they are distinct.
+        of = F.when((titled & (i == 0)) | w.isin(*PARTICLES), F.lit("keep")).when(w.rlike(r"^\p{Lu}\.$"), F.lit("given-initial"))
         for (gender, script), names in GIVEN.items():
             of = of.when(w.isin(*names) & (i < F.size(words) - 1), F.lit(f"given-{gender}-{script}"))
         return F.struct(of.otherwise("surname").alias("kind"), F.lower(w).alias("canonical"), w.alias("form"))
@@ -227,23 +240,29 @@ def replace_entities(documents: DataFrame, *, key: str = KEY, id_col: str = "doc
     rows = documents.drop("n_entities")
     text = F.col(text_col)
     # Most texts have neither a sign nor a digit, and a name needs a word of the lists: cheap tests come first.
-    words = [*(t for ts in TITLES.values() for t in ts), *(n for ns in GIVEN.values() for n in ns)]
-    maybe = text.rlike("[@0-9]") | text.rlike(r"(?<!\p{L})(?=[\p{Lu}א-ת])(?:" + "|".join(words) + ")")
+    maybe = text.rlike("[@0-9]") | text.rlike(r"(?<!\p{L})(?:(?=[\p{Lu}א-ת])(?:" + "|".join((*_ALL_TITLES, *_ALL_GIVEN)) + ")|(?:" + "|".join(CUES) + r")[ \n])")
     some = F.coalesce(maybe & text.rlike(PATTERN), F.lit(False))
     plain = rows.where(~some).withColumn("n_entities", F.lit(0).cast("long"))
-    place = F.xxhash64(F.col(id_col), text)
-    held = rows.where(some).withColumn("__place", place).withColumn("__found", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(1)))
-    mentions = held.select("__place", F.explode(F.array_distinct("__found")).alias("entity")).distinct()
-    parts = mentions.select("__place", "entity", F.posexplode(_parts(F.col("entity"), _kind(F.col("entity")))).alias("at", "part")).select("__place", "entity", "at", "part.*")
+    # Equal texts of one id share a place: what is found there is the same.
+    place = F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), text), 256)
+    held = rows.where(some).select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), place.alias("place"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(1)).alias("found"))
+    mentions = held.select("place", F.explode(F.array_distinct("found")).alias("entity")).distinct()
+    parts = mentions.select("place", "entity", F.posexplode(_parts(F.col("entity"), _kind(F.col("entity")))).alias("nth", "part")).select("place", "entity", "nth", "part.*")
     parts = written(parts, "mentions")
     looked = parts.where("kind != 'keep'").select("kind", "canonical").distinct()
     table = written(draw_surrogates(written(looked, "entities"), key), "surrogates")
     formatted = _formatted(F.col("form"), F.col("kind"), F.col("surrogate"))
-    named = parts.join(table, ["kind", "canonical"], "left").select("__place", "entity", "at", F.coalesce(formatted, "form").alias("form"))
-    whole = named.groupBy("__place", "entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "form"))), lambda x: x["form"]), " ").alias("form"))
-    maps = written(whole.groupBy("__place").agg(F.map_from_entries(F.collect_list(F.struct("entity", "form"))).alias("__forms")), "forms")
-    gaps = F.split(text, PATTERN, -1)
-    filled = F.concat(F.transform("__found", lambda e: F.element_at("__forms", e)), F.array(F.lit("")))
+    # Surnames that may stand alone in the same text.
+    alone = (F.col("kind") == "surname") & (F.length("form") > 2)
+    named = parts.join(table.hint("merge"), ["kind", "canonical"], "left").select("place", "entity", "nth", F.coalesce(formatted, "form").alias("new"), F.when(alone, F.col("form")).alias("old"))
+    whole = named.groupBy("place", "entity").agg(F.array_sort(F.collect_list(F.struct("nth", "new", "old"))).alias("parts"))
+    new = F.array_join(F.transform("parts", lambda x: x["new"]), " ")
+    maps = whole.groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct(F.col("entity"), new.alias("new")))).alias("forms"), F.array_distinct(F.flatten(F.collect_list(F.transform(F.filter("parts", lambda x: x["old"].isNotNull()), lambda x: F.struct(x["old"].alias("old"), x["new"].alias("new")))))).alias("surnames"))
+    joined = held.join(written(maps, "forms").hint("merge"), "place")
+    whole_text = F.col("row").getField(text_col)
+    swapped = lambda gap: F.aggregate("surnames", gap, lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{L})"), x["old"], F.lit(r"(?!\p{L})")), x["new"]))
+    gaps = F.transform(F.split(whole_text, PATTERN, -1), swapped)
+    filled = F.concat(F.transform("found", lambda e: F.element_at("forms", e)), F.array(F.lit("")))
     out = F.array_join(F.flatten(F.zip_with(gaps, filled, lambda a, b: F.array(a, b))), "")
-    replaced = held.join(maps, "__place").select(*(out.alias(c) if c == text_col else F.col(c) for c in rows.columns), F.size("__found").cast("long").alias("n_entities"))
+    replaced = joined.select(*((out if c == text_col else F.col("row").getField(c)).alias(c) for c in rows.columns), F.size("found").cast("long").alias("n_entities"))
     return plain.unionAll(replaced)

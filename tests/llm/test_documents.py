@@ -362,3 +362,20 @@ def test_surrogates_of_filled_spaces(spark):
     names = [got[100 + k].split(" ")[1] for k in range(len(short))]
     assert len(set(names)) == len(short) and not set(names) & set(short) and all(n.istitle() for n in names)
     assert got[300] != "_@k.example"
+
+
+def test_surrogates_of_names_by_context(spark):
+    texts = {
+        1: "My name is Sanjay Gupta. Later Gupta said so, not Guptas.", 2: "Sincerely,\nZoë Müller-Lüdenscheidt", 3: "Mr O'Brien met Dr. J. Smith-Jones and John van der Berg", 4: "Gupta alone isn't found here",
+        5: "the file name is Short", 6: "Contact: Mrs Smith’s office; Smith will know",
+    }
+    docs = spark.createDataFrame([(i, t, "p", ["f"], 7) for i, t in texts.items()], "doc_id long, text string, place string, found array<string>, n_entities int")
+    got = {r["doc_id"]: r for r in pii_surrogates.replace_entities(docs, key="k").collect()}
+    assert all(r["place"] == "p" and r["found"] == ["f"] for r in got.values())
+    own = re.fullmatch(r"My name is (\w{6}) (\w{5})\. Later (\w{5}) said so, not Guptas\.", got[1]["text"])
+    assert own[1] != "Sanjay" and own[2] == own[3] != "Gupta" and own[2].istitle()
+    assert re.fullmatch(r"Sincerely,\n\w{3} \w{6}-\w{12}", got[2]["text"]) and "Zo" not in got[2]["text"] and "ller" not in got[2]["text"]
+    third = re.fullmatch(r"Mr (\w'\w{5}) met Dr\. [A-Z]\. (\w{5}-\w{5}) and (\w+) van der (\w{4})", got[3]["text"])
+    assert third and not {"O'Brien", "Smith-Jones", "John", "Berg"} & set(third.groups())
+    assert [got[i]["text"] == texts[i] and got[i]["n_entities"] == 0 for i in (4, 5)] == [True, True]
+    assert "Smith" not in got[6]["text"] and got[6]["n_entities"] == 1 and got[6]["text"].endswith("will know")
