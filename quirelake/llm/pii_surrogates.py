@@ -220,9 +220,9 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
         drawn = written(streams.select("kind", "canonical", surrogate(key, F.col("kind"), F.col("canonical"), F.col("own"), F.col("of_domain"), min(max(0, turn + 1 - SAME_FORM), EXTRA)).alias("surrogate")), "drawn")
         lists = F.col("kind").startswith("given-")
         first = drawn.where(~lists).groupBy("surrogate").agg(F.min(F.struct("kind", "canonical")).alias("first"))
-        checked = drawn.join(first, "surrogate", "left").join(real, "surrogate", "left")
+        checked = drawn.join(first.hint("merge"), "surrogate", "left").join(real.hint("merge"), "surrogate", "left")
         if done is not None:
-            checked = checked.join(done.select("surrogate", F.lit(True).alias("taken")).distinct(), "surrogate", "left")
+            checked = checked.join(done.select("surrogate", F.lit(True).alias("taken")).distinct().hint("merge"), "surrogate", "left")
         fine = lists | (F.col("real").isNull() & (F.col("first") == F.struct("kind", "canonical")))
         if done is not None:
             fine = lists | (fine & F.col("taken").isNull())
