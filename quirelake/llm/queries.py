@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_sliced_search, chat, decontamination, fill_in_middle, language_id, line_templates, near_duplicates, packing, pii_surrogates, secrets, token_files
+from . import bit_sliced_search, chat, decontamination, fill_in_middle, importance_resampling, language_id, learned_partitions, line_templates, near_duplicates, packing, pii_surrogates, secrets, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring_lines(documents)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_partitions.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.sample_digests(fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents")))
 
@@ -74,5 +82,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_top_k": bit_sliced_search.ORACLE_SQL,
         "op7_decontamination": decontamination.ORACLE_SQL,
         "op10_line_dedup": line_templates.ORACLE_SQL,
+        "op11_importance_resampling": importance_resampling.ORACLE_SQL,
         "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
     }
