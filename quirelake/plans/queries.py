@@ -636,4 +636,5 @@ def class_imbalance(spark, d):
 from quirelake.plans import files as _files  # noqa: E402, F401
 from quirelake.plans import items as _items  # noqa: E402, F401
 from quirelake.plans import names as _names  # noqa: E402, F401
+from quirelake.plans import resolution as _resolution  # noqa: E402, F401
 from quirelake.plans import texts as _texts  # noqa: E402, F401
