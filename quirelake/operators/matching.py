@@ -46,28 +46,39 @@ def _segments(text: Column, n: Column, parts: int) -> list[tuple[Column, Column]
     return out
 
 
-def within_distance(left: DataFrame, right: DataFrame, l_text: str, r_text: str, distance: int = 2) -> DataFrame:
-    """All pairs of rows whose texts are at most ``distance`` edits apart, with ``edits``.
+def _probes(text: Column, distance: int) -> Column:
+    """``array<struct<n, i, part>>``: for each length that a near text can have, the places where one of its parts may stand unchanged.
 
-    Of ``distance + 1`` parts of the left text one must occur unchanged in the
-    right text, shifted by ``distance`` at most: an equi-join on the part finds the
-    pairs, and the edit distance confirms them.  No pair is lost, none is crossed.
+    Part i (from 0) of ``distance + 1`` is the first that needs no edit of its own
+    only if at most i edits lie before it and ``distance - i`` behind it, which
+    bounds its shift from both ends.
     """
-    parts = distance + 1
-    n = F.length(l_text)
-    keys = F.array(*(F.struct(n.cast("int").alias("n"), F.lit(i).alias("i"), F.substring(F.col(l_text), (a + 1).cast("int"), b.cast("int")).alias("part")) for i, (a, b) in enumerate(_segments(F.col(l_text), n, parts))))
     probes = []
     for d in range(-distance, distance + 1):
-        m = F.length(r_text) + d
-        for i, (a, b) in enumerate(_segments(F.col(r_text), m, parts)):
-            for shift in range(-distance, distance + 1):
+        m = F.length(text) + d
+        for i, (a, b) in enumerate(_segments(text, m, distance + 1)):
+            for shift in range(max(-i, -d - (distance - i)), min(i, -d + (distance - i)) + 1):
                 start = a + shift
-                probes.append(F.when((m >= 0) & (start >= 0) & (start + b <= F.length(r_text)), F.struct(m.cast("int").alias("n"), F.lit(i).alias("i"), F.substring(F.col(r_text), (start + 1).cast("int"), b.cast("int")).alias("part"))))
-    lefts = left.where(F.col(l_text).isNotNull()).select(F.struct(*left.columns).alias("l"), F.explode(F.array_distinct(keys)).alias("k"))
-    rights = right.where(F.col(r_text).isNotNull()).select(F.struct(*right.columns).alias("r"), F.explode(F.array_distinct(F.array_compact(F.array(*probes)))).alias("k"))
-    pairs = lefts.join(rights, "k").select("l", "r").distinct()
-    edits = F.levenshtein(F.col(f"l.{l_text}"), F.col(f"r.{r_text}"), distance)
-    return pairs.withColumn("edits", edits).where("edits >= 0").select("l.*", "r.*", "edits")
+                probes.append(F.when((m >= 0) & (start >= 0) & (start + b <= F.length(text)), F.struct(m.cast("int").alias("n"), F.lit(i).alias("i"), F.substring(text, (start + 1).cast("int"), b.cast("int")).alias("part"))))
+    return F.array_distinct(F.array_compact(F.array(*probes)))
+
+
+def within_distance(left: DataFrame, right: DataFrame, l_text: str, r_text: str, distance: int = 2) -> DataFrame:
+    """All pairs of rows whose texts are at most ``distance`` edits apart, with ``edits``.
+
+    Of ``distance + 1`` parts of the left text one must occur unchanged in the
+    right text, a little shifted: an equi-join of distinct texts on the part finds
+    the pairs, the edit distance confirms them, and rows are joined back.  No pair
+    is lost, none is crossed.
+    """
+    a, b = F.col("__a"), F.col("__b")
+    lefts = left.select(F.col(l_text).alias("__a")).where("__a is not null").distinct()
+    rights = right.select(F.col(r_text).alias("__b")).where("__b is not null").distinct()
+    keys = F.array(*(F.struct(F.length(a).cast("int").alias("n"), F.lit(i).alias("i"), F.substring(a, (s + 1).cast("int"), w.cast("int")).alias("part")) for i, (s, w) in enumerate(_segments(a, F.length(a), distance + 1))))
+    met = lefts.select("__a", F.explode(F.array_distinct(keys)).alias("k")).join(rights.select("__b", F.explode(_probes(b, distance)).alias("k")), "k").select("__a", "__b").distinct()
+    near = met.withColumn("edits", F.levenshtein(a, b, distance)).where("edits >= 0")
+    whole = lambda df, text, key, name: df.select(F.col(text).alias(key), F.struct(*df.columns).alias(name))
+    return whole(left, l_text, "__a", "l").join(near, "__a").join(whole(right, r_text, "__b", "r"), "__b").select("l.*", "r.*", "edits")
 
 
 def similarity(a: Column, b: Column) -> Column:

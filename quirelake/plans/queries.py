@@ -633,6 +633,7 @@ def class_imbalance(spark, d):
 
 
 # These register their own queries here.
+from quirelake.plans import cascade as _cascade  # noqa: E402, F401
 from quirelake.plans import files as _files  # noqa: E402, F401
 from quirelake.plans import items as _items  # noqa: E402, F401
 from quirelake.plans import names as _names  # noqa: E402, F401
