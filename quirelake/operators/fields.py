@@ -80,6 +80,34 @@ def contents(value: Column) -> Column:
     return F.transform(parts, lambda p, i: F.struct(F.trim(F.regexp_replace(p, folio, "")).alias("title"), F.nullif(F.regexp_extract(p, folio, 1), F.lit("")).alias("folio_range"), (i + 1).cast("int").alias("sequence")))
 
 
+def numbered_contents(value: Column) -> Column:
+    """``array<struct<sequence, title, folio_range, folio_start, folio_end>>`` of a numbered table of contents.
+
+    Parts are ``N) דף [a]א-[b]ב: title``, with recto and verso letters and brackets
+    where known; א becomes r and ב v.  If no part has that form, each numbered part
+    is an item with the range it names, if any, and without its two ends.
+    """
+    whole = r"(?s)(\d+)\)\s*דף\s*\[?(\d+)\]?([אב]?)[-–]\[?(\d+)\]?([אב]?):\s*(.+?)(?=\d+\)|$)"
+    loose = r"(?s)(\d+)\)\s*(.+?)(?=\d+\)|$)"
+    every = lambda p, k: F.regexp_extract_all(value, F.lit(p), F.lit(k))
+    side = lambda c: F.translate(c, "אב", "rv")
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), r"\.+$", "")
+    ends = lambda n, s: F.zip_with(every(whole, n), every(whole, s), lambda a, b: F.concat(a, side(b)))
+    parts = F.arrays_zip(every(whole, 1).alias("n"), every(whole, 6).alias("t"), ends(2, 3).alias("a"), ends(4, 5).alias("b"))
+    exact = F.transform(parts, lambda p: F.struct(p["n"].cast("int").alias("sequence"), bare(p["t"]).alias("title"), F.concat_ws("-", p["a"], p["b"]).alias("folio_range"), p["a"].alias("folio_start"), p["b"].alias("folio_end")))
+    folio = r"דף\s*\[?(\d+[אב]?)\]?\s*[-–]\s*\[?(\d+[אב]?)\]?"
+    no = F.lit(None).cast("string")
+
+    def plain(p: Column) -> Column:
+        named = p["t"].rlike(folio)
+        range_ = F.when(named, side(F.concat_ws("-", F.regexp_extract(p["t"], folio, 1), F.regexp_extract(p["t"], folio, 2))))
+        title = F.when(p["t"].rlike(r":\s*."), F.regexp_replace(F.regexp_extract(p["t"], r":\s*(.+)", 1), r"(?U)^\s+|\s+$", "")).otherwise(F.regexp_replace(p["t"], r"(?U)^\s+|\s+$", ""))
+        return F.struct(p["n"].cast("int").alias("sequence"), F.regexp_replace(title, r"\.+$", "").alias("title"), range_.alias("folio_range"), no.alias("folio_start"), no.alias("folio_end"))
+
+    fallback = F.transform(F.arrays_zip(every(loose, 1).alias("n"), every(loose, 2).alias("t")), plain)
+    return F.when(F.size(exact) > 0, exact).otherwise(fallback)
+
+
 def canonical_references(note: Column, books: list[str]) -> Column:
     """``array<struct<book, chapter, verse>>`` of the books named with chapter and verse."""
     found = []

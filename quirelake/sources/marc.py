@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LONG = "control_number string, tag string, field_ord int, ind1 string, ind2 string, code string, sub_ord int, value string"
@@ -172,3 +172,38 @@ def flat_projection(long: DataFrame) -> DataFrame:
     got = long.groupBy("control_number").agg(of((tag == "245") & code.isin("a", "b")).alias("t"), of((tag == "500") & (code == "a")).alias("n"), of((tag == "655") & (code == "a")).alias("g"))
     joined = lambda c, mark: F.array_join(F.transform(c, lambda x: x["value"]), mark)
     return got.select("control_number", joined("t", " ").alias("title"), joined(F.slice("n", 1, 5), "|").alias("notes"), joined("g", "|").alias("genres"))
+
+
+def encoded_records(long: DataFrame) -> DataFrame:
+    """``control_number, value, error``: ISO 2709 records of long rows, without their terminators.
+
+    Lengths and offsets are counted in bytes of UTF-8.  A field longer than 9,999
+    bytes, or a record longer than 99,999, can't be written: it gives an error and
+    no value.
+    """
+    subfields = long.where("control_number is not null").groupBy("control_number", "field_ord", "tag").agg(F.array_sort(F.collect_list(F.struct("sub_ord", "code", "value"))).alias("subs"), F.min(F.struct("ind1", "ind2")).alias("ind"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    # What frames a record can't stand in it.
+    clean = lambda c: F.translate(text(c), "\x1d\x1e\x1f", "   ")
+    sub = F.array_join(F.transform("subs", lambda s: F.concat(F.lit("\x1f"), clean(s["code"]), clean(s["value"]))), "")
+    data = F.when(F.col("tag") < "010", clean(F.get("subs", 0)["value"])).otherwise(F.concat(F.rpad(clean(F.col("ind.ind1")), 1, " "), F.rpad(clean(F.col("ind.ind2")), 1, " "), sub))
+    fields = subfields.withColumn("data", F.concat(data, F.lit("\x1e"))).select("control_number", "field_ord", F.rpad("tag", 3, " ").alias("tag"), "data", F.octet_length("data").alias("size"))
+    # A record's fields are few: their running offsets are sums over one window of it.
+    before = F.sum("size").over(Window.partitionBy("control_number").orderBy("field_ord", "tag").rowsBetween(Window.unboundedPreceding, -1))
+    entry = F.concat("tag", F.lpad(F.col("size").cast("string"), 4, "0"), F.lpad(F.coalesce(before, F.lit(0)).cast("string"), 5, "0"))
+    placed = fields.withColumn("entry", entry)
+    parts = placed.groupBy("control_number").agg(F.array_sort(F.collect_list(F.struct("field_ord", "tag", "entry", "data"))).alias("f"), F.sum("size").alias("bytes"), F.max("size").alias("longest"), F.count("*").alias("n"))
+    base = 24 + 12 * F.col("n") + 1
+    total = base + F.col("bytes") + 1
+    number = lambda c: F.lpad(c.cast("string"), 5, "0")
+    join = lambda c: F.array_join(F.transform("f", lambda x: x[c]), "")
+    record = F.concat(number(total), F.lit("nam a22"), number(base), F.lit("   4500"), join("entry"), F.lit("\x1e"), join("data"))
+    error = F.when(F.col("longest") > 9999, "a field is longer than 9,999 bytes").when(total > 99_999, "the record is longer than 99,999 bytes")
+    return parts.select("control_number", F.when(error.isNull(), record).alias("value"), error.alias("error"))
+
+
+def write_marc(long: DataFrame, path: str) -> DataFrame:
+    """ISO 2709 files, one a task, each record ended by its terminator; returns the records that can't be written, with their errors."""
+    records = encoded_records(long)
+    records.where("value is not null").select("value").write.option("lineSep", RECORD_END.decode()).text(path)
+    return records.where("value is null").select("control_number", "error")
