@@ -37,6 +37,15 @@ def emit(df: DataFrame, subject: Column, *statements: Column, more: Iterable[Col
     return rows.where("s is not null and o is not null")
 
 
+def emit_each(df: DataFrame, subject: Column, *statements: Column) -> DataFrame:
+    """The same triples as one branch for each statement: a filter on ``p`` leaves out all other branches, and each reads only its own columns.
+
+    For tables that are cheap to scan again; ``emit`` passes over its rows once.
+    """
+    branches = (df.select(subject.alias("s"), x.alias("t")).select("s", "t.*").where("s is not null and o is not null") for x in statements)
+    return reduce(DataFrame.unionAll, branches)
+
+
 def merge(*graphs: DataFrame) -> DataFrame:
     """The set union of graphs."""
     return reduce(DataFrame.unionByName, graphs).dropDuplicates()
@@ -100,10 +109,11 @@ def node_tables(triples: DataFrame, priority: list[str]) -> tuple[DataFrame, Dat
     """
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, priority)), F.col("o")), F.lit(0)) if priority else F.lit(0)
     order = F.when(rank > 0, rank).otherwise(len(priority) + 1)
-    types = triples.where(F.col("p") == TYPE).groupBy("s").agg(F.min(F.struct(order.alias("r"), F.col("o").alias("t"))).alias("m")).select("s", F.col("m.t").alias("node_type"))
-    labels = triples.where(F.col("p") == LABEL).groupBy("s").agg(F.min("o").alias("label"))
-    subjects = triples.select("s").union(triples.where((F.col("o_kind") == "iri") & (F.col("p") != TYPE)).select("o")).distinct()
-    nodes = subjects.join(types, "s", "left").join(labels, "s", "left").select(F.col("s").alias("uri"), "label", F.coalesce("node_type", F.lit("Entity")).alias("node_type"))
+    # One grouping by node: what its own triples say, and that links lead to it.
+    own = triples.select(F.col("s").alias("uri"), F.when(F.col("p") == TYPE, F.struct(order.alias("r"), F.col("o").alias("t"))).alias("typed"), F.when(F.col("p") == LABEL, F.col("o")).alias("label"))
+    nothing = [F.lit(None).cast(dict(own.dtypes)[c]).alias(c) for c in ("typed", "label")]
+    met = triples.where((F.col("o_kind") == "iri") & (F.col("p") != TYPE)).select(F.col("o").alias("uri"), *nothing)
+    nodes = own.unionAll(met).groupBy("uri").agg(F.min("label").alias("label"), F.coalesce(F.min("typed")["t"], F.lit("Entity")).alias("node_type"))
     edges = triples.where((F.col("o_kind") == "iri") & (F.col("p") != TYPE)).select(F.col("s").alias("source"), F.col("o").alias("target"), F.col("p").alias("predicate"))
     properties = triples.where((F.col("o_kind") == "literal") & (F.col("p") != LABEL)).select(F.col("s").alias("node_uri"), F.col("p").alias("key"), F.col("o").alias("value"))
     return nodes, edges, properties

@@ -22,16 +22,16 @@ def star_graph(spark: SparkSession, d: str, orders: bool = True) -> DataFrame:
     t = lambda n: table(spark, d, n)
     named = lambda kind, name: (graph.link(graph.TYPE, F.lit(kind)), graph.literal(graph.LABEL, F.col(name)))
     parts = [
-        graph.emit(t("region"), graph.iri("region", F.col("r_regionkey")), *named("Region", "r_name")),
-        graph.emit(t("nation"), graph.iri("nation", F.col("n_nationkey")), *named("Nation", "n_name"), graph.link("in_region", graph.iri("region", F.col("n_regionkey")))),
-        graph.emit(t("customer"), graph.iri("customer", F.col("c_custkey")), *named("Customer", "c_name"), graph.link("in_nation", graph.iri("nation", F.col("c_nationkey"))), graph.literal("segment", F.col("c_mktsegment"))),
-        graph.emit(t("supplier"), graph.iri("supplier", F.col("s_suppkey")), *named("Supplier", "s_name"), graph.link("in_nation", graph.iri("nation", F.col("s_nationkey")))),
+        graph.emit_each(t("region"), graph.iri("region", F.col("r_regionkey")), *named("Region", "r_name")),
+        graph.emit_each(t("nation"), graph.iri("nation", F.col("n_nationkey")), *named("Nation", "n_name"), graph.link("in_region", graph.iri("region", F.col("n_regionkey")))),
+        graph.emit_each(t("customer"), graph.iri("customer", F.col("c_custkey")), *named("Customer", "c_name"), graph.link("in_nation", graph.iri("nation", F.col("c_nationkey"))), graph.literal("segment", F.col("c_mktsegment"))),
+        graph.emit_each(t("supplier"), graph.iri("supplier", F.col("s_suppkey")), *named("Supplier", "s_name"), graph.link("in_nation", graph.iri("nation", F.col("s_nationkey")))),
     ]
     if orders:
         o = t("orders")
         span = graph.iri("span", F.col("o_orderkey"))
-        parts.append(graph.emit(o, graph.iri("order", F.col("o_orderkey")), graph.link(graph.TYPE, F.lit("Order")), graph.link("placed_by", graph.iri("customer", F.col("o_custkey"))), graph.link("P4_has_time-span", span), graph.literal("status", F.col("o_orderstatus"))))
-        parts.append(graph.emit(o, span, graph.link(graph.TYPE, F.lit("TimeSpan")), graph.literal("earliest", F.year("o_orderdate"), "xsd:integer")))
+        parts.append(graph.emit_each(o, graph.iri("order", F.col("o_orderkey")), graph.link(graph.TYPE, F.lit("Order")), graph.link("placed_by", graph.iri("customer", F.col("o_custkey"))), graph.link("P4_has_time-span", span), graph.literal("status", F.col("o_orderstatus"))))
+        parts.append(graph.emit_each(o, span, graph.link(graph.TYPE, F.lit("TimeSpan")), graph.literal("earliest", F.year("o_orderdate"), "xsd:integer")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

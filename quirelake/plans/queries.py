@@ -36,7 +36,7 @@ def over_graph(sql: str) -> str:
 @query(over_graph("SELECT CAST(floor(CAST(y.o AS INT) / 100) * 100 AS BIGINT) AS century, count(*) AS n FROM triples t JOIN triples y ON y.s = t.o AND y.p = 'earliest' WHERE t.p = 'P4_has_time-span' GROUP BY 1"))
 def count_by_century(spark, d):
     spans = graph.bgp(star_graph(spark, d), [("?order", "P4_has_time-span", "?span"), ("?span", "earliest", "?year")])
-    return graph.counts_by(spans.select(graph.century(F.col("year").cast("int")).alias("century")), "century")
+    return graph.counts_by(spans.select(graph.century(F.col("year").try_cast("int")).alias("century")), "century")
 
 
 @query(over_graph("SELECT count(*) AS n FROM triples"))
@@ -81,7 +81,7 @@ def contains_filter(spark, d):
 
 @query(over_graph("SELECT s AS span, CAST(o AS INT) AS year FROM triples WHERE p = 'earliest' AND CAST(o AS INT) >= 1998 AND CAST(o AS INT) < 2000"))
 def range_filter(spark, d):
-    return graph.pattern(star_graph(spark, d), "?span", "earliest", "?year").withColumn("year", F.col("year").cast("int")).where("year >= 1998 and year < 2000")
+    return graph.pattern(star_graph(spark, d), "?span", "earliest", "?year").withColumn("year", F.col("year").try_cast("int")).where("year >= 1998 and year < 2000")
 
 
 @query("SELECT count(DISTINCT CASE WHEN k = 'customer' THEN n END) AS n_customer, count(DISTINCT CASE WHEN k = 'supplier' THEN n END) AS n_supplier FROM (SELECT 'customer' AS k, c_nationkey AS n FROM customer UNION ALL SELECT 'supplier', s_nationkey FROM supplier)")
@@ -640,3 +640,4 @@ from quirelake.plans import names as _names  # noqa: E402, F401
 from quirelake.plans import resolution as _resolution  # noqa: E402, F401
 from quirelake.plans import structures as _structures  # noqa: E402, F401
 from quirelake.plans import texts as _texts  # noqa: E402, F401
+from quirelake.plans import validation as _validation  # noqa: E402, F401
