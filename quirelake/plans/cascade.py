@@ -5,24 +5,13 @@ Inputs are written once, in SQL that Spark and DuckDB both read.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from quirelake.operators import biodata, cascade
+from quirelake.plans.graphs import plain, shared
 from quirelake.plans.queries import query, table
 
 
-def shared(spark, d, sql: str):
-    """A statement over tables in braces, by Spark."""
-    return spark.sql(sql, **{n: table(spark, d, n) for n in set(re.findall(r"{(\w+)}", sql))})
-
-
-def plain(sql: str) -> str:
-    """The same statement for DuckDB."""
-    return re.sub(r"{(\w+)}", r"\1", sql)
-
-
 _NAMED = "SELECT c_custkey AS k, p_name || ' ' || lower(c_mktsegment) AS name FROM {customer} JOIN {part} ON p_partkey = c_custkey % 97"
 MENTIONS = f"""
 SELECT k AS mention, CASE WHEN k % 29 = 0 THEN 'unknown' WHEN k % 31 = 0 THEN 'library of ' || name WHEN k % 37 = 0 THEN substr(name, 1, 3) ELSE name END AS name, CASE WHEN k % 4 = 0 THEN (1000 + k % 400) || '-' || (1050 + k % 400) END AS dates,

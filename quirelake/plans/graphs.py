@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession, d: str, sql: str) -> DataFrame:
+    """A statement over tables in braces, run by Spark; ``plain`` gives it to DuckDB."""
+    return spark.sql(sql, **{n: table(spark, d, n) for n in set(re.findall(r"{(\w+)}", sql))})
+
+
+def plain(sql: str) -> str:
+    return re.sub(r"{(\w+)}", r"\1", sql)
+
+
 def star_graph(spark: SparkSession, d: str, orders: bool = True) -> DataFrame:
     """Regions, nations, customers, suppliers and, if asked for, orders with their time spans.
 

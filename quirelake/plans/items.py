@@ -1,4 +1,4 @@
-"""Registered queries over items, statements and names; small records stand in both languages as literal rows."""
+"""Registered queries over items, statements and names; their inputs are written once, in SQL over the tables that Spark and DuckDB both read."""
 
 from __future__ import annotations
 
@@ -6,16 +6,23 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import dates
 from quirelake.operators import graph, items, quality
+from quirelake.plans.graphs import plain, shared
 from quirelake.plans.queries import query, table
 
-ITEMS = """(VALUES
- ('a', 'person', '', 'Winter', NULL), ('b', 'person', 'Q5', 'Maimonides, Moses', NULL), ('c', 'person', '', 'anonymous', NULL), ('d', 'manuscript', '', 'קובץ', NULL), ('e', 'person', '', 'Royal Library', 'Breslau Seminary'),
- ('f', 'manuscript', '', '  ', NULL), ('g', 'person', '', 'Isaac ben Jacob.', 'יצחק'), ('h', 'person', '', 'Luria, 1534-1572', NULL), ('i', 'place', '', NULL, NULL), ('j', 'person', 'Q9', 'דוד', 'דוד'), ('k', 'person', '', 'Smith, ', NULL)
-) AS items(local_id, entity_type, existing_qid, label, he_label)"""
-CLAIMS = """(VALUES
- ('b', 'P214', '1234567890', NULL), ('b', 'P1559', 'Moses', 'he'), ('b', 'P1559', 'משה', 'he'), ('d', 'P214', '77', NULL), ('g', 'P8189', '99123', NULL), ('g', 'P3959', '990001', NULL), ('h', 'P8189', '987012', NULL),
- ('j', 'P1559', 'David', 'en'), ('j', 'P1559', 'דוד', 'he'), ('c', 'P244', '', NULL), ('i', 'P31', 'Q515', NULL), ('b', 'P31', 'Q5', NULL)
-) AS claims(local_id, property, value, language)"""
+# Customers as items; what is wrong with an item goes by its key.
+_ITEMS = """
+SELECT 'i' || c_custkey AS local_id, CASE WHEN c_custkey % 7 < 4 THEN 'person' WHEN c_custkey % 7 = 4 THEN 'place' ELSE 'manuscript' END AS entity_type, CASE WHEN c_custkey % 4 = 0 THEN 'Q' || c_custkey ELSE '' END AS existing_qid,
+  CASE c_custkey % 13 WHEN 0 THEN n_name WHEN 1 THEN n_name || ', ' || c_mktsegment WHEN 2 THEN 'anonymous' WHEN 3 THEN 'קובץ' WHEN 4 THEN 'Library of ' || n_name WHEN 5 THEN '  ' WHEN 6 THEN c_name || '.' WHEN 7 THEN n_name || ', 1534-1572' WHEN 8 THEN NULL WHEN 9 THEN 'דוד' WHEN 10 THEN c_mktsegment || ', ' WHEN 11 THEN lower(c_mktsegment) ELSE c_name END AS label,
+  CASE WHEN c_custkey % 11 = 0 THEN c_name WHEN c_custkey % 11 = 1 THEN 'יצחק' END AS he_label FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey"""
+_CLAIMS = """
+SELECT 'i' || c_custkey AS local_id, 'P214' AS property, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE '1000' || c_custkey END AS value, CAST(NULL AS STRING) AS language FROM {customer} WHERE c_custkey % 5 = 0
+UNION ALL SELECT 'i' || c_custkey, 'P8189', CASE WHEN c_custkey % 2 = 0 THEN '9870' ELSE '99' END || c_custkey, NULL FROM {customer} WHERE c_custkey % 9 = 0
+UNION ALL SELECT 'i' || c_custkey, 'P3959', '9900' || c_custkey, NULL FROM {customer} WHERE c_custkey % 14 = 0
+UNION ALL SELECT 'i' || c_custkey, 'P1559', CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE 'משה' END, 'he' FROM {customer} WHERE c_custkey % 8 < 3
+UNION ALL SELECT 'i' || c_custkey, 'P1559', n_name, CASE WHEN c_custkey % 3 = 0 THEN 'he' ELSE 'en' END FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey WHERE c_custkey % 8 < 2
+UNION ALL SELECT 'i' || c_custkey, 'P31', 'Q' || c_nationkey, NULL FROM {customer} WHERE c_custkey % 3 = 0"""
+_duck = lambda sql: f"({plain(sql).replace('AS STRING', 'AS VARCHAR')})"
+ITEMS, CLAIMS = f"{_duck(_ITEMS)} AS items", f"{_duck(_CLAIMS)} AS claims"
 _WORDS = "|".join(items.INSTITUTION_WORDS)
 _quoted = lambda words: ", ".join(f"'{w}'" for w in words)
 _MESSAGES = ", ".join(f"('{severity}', '{code}', '{message.replace(chr(39), chr(39) * 2)}')" for severity, code, message in (
@@ -26,10 +33,6 @@ _MESSAGES = ", ".join(f"('{severity}', '{code}', '{message.replace(chr(39), chr(
 ))
 
 
-def rows(spark, values: str):
-    return spark.sql(f"SELECT * FROM {values}")
-
-
 @query(f"""WITH i AS (SELECT *, trim(coalesce(label, '')) AS l, entity_type = 'person' AS person FROM {ITEMS}), c AS (SELECT * FROM {CLAIMS} WHERE coalesce(value, '') <> ''),
 n AS (SELECT i.*, person AND existing_qid = '' AND NOT EXISTS (SELECT 1 FROM c WHERE c.local_id = i.local_id AND property IN ({_quoted(items.IDENTIFIERS)})) AS bare FROM i),
 has AS (SELECT local_id, property FROM c),
@@ -50,17 +53,19 @@ found AS (
   UNION ALL SELECT local_id, 'AMBIGUOUS_SINGLE_NAME' FROM n WHERE bare AND regexp_matches(l, '[A-Za-z]') AND NOT regexp_matches(l, '[א-ת ,]') AND length(l) < 15)
 SELECT severity, code, message, local_id AS ref FROM found JOIN (VALUES {_MESSAGES}) AS m(severity, code, message) USING (code)""")
 def item_rules(spark, d):
-    return items.lint_items(rows(spark, ITEMS), rows(spark, CLAIMS))
+    return items.lint_items(shared(spark, d, _ITEMS), shared(spark, d, _CLAIMS))
 
 
-GUARDED = """(VALUES
- ('Isaac', 'Isaac ben Jacob Alfasi', false, false), ('Isaac.', 'Isaac Luria', false, false), ('Isaac,', 'Isaac ben Jacob', true, false), ('Jacob', 'Jacob ben Asher, 1270-1340', false, true), ('Moses ben Maimon', 'Moses ben Maimon the Egyptian', false, false), ('David', NULL, false, false), ('  Joseph ; ', 'Joseph ben Ephraim Karo', false, false)
-) AS g(name, found, in_authority, has_dates)"""
+# A part's word met by the part's whole name, in several forms.
+_GUARDED = """
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN upper(p_brand) WHEN 1 THEN p_name WHEN 2 THEN p_brand || '.' WHEN 3 THEN '  ' || p_brand || ' ; ' ELSE p_brand || ',' END AS name, CASE p_partkey % 4 WHEN 0 THEN p_name || ' of ' || p_brand WHEN 1 THEN p_name WHEN 2 THEN p_brand || ', ' || p_name || ', ' || p_size END AS found,
+  p_partkey % 7 = 0 AS in_authority, p_partkey % 6 = 0 AS has_dates FROM {part}"""
+GUARDED = f"{_duck(_GUARDED)} AS g"
 
 
-@query(f"SELECT name, coalesce(len(list_filter(regexp_split_to_array(trim(regexp_replace(trim(name), '[,;:.]+$', '')), '[\\s,]+'), lambda t: t <> '')) = 1 AND len(list_filter(regexp_split_to_array(trim(regexp_replace(trim(found), '[,;:.]+$', '')), '[\\s,]+'), lambda t: t <> '')) > 2, false) AND NOT in_authority AND NOT has_dates AS homonym FROM {GUARDED}")
+@query(f"SELECT p_partkey, name, coalesce(len(list_filter(regexp_split_to_array(trim(regexp_replace(trim(name), '[,;:.]+$', '')), '[\\s,]+'), lambda t: t <> '')) = 1 AND len(list_filter(regexp_split_to_array(trim(regexp_replace(trim(found), '[,;:.]+$', '')), '[\\s,]+'), lambda t: t <> '')) > 2, false) AND NOT in_authority AND NOT has_dates AS homonym FROM {GUARDED}")
 def homonym_guard(spark, d):
-    return rows(spark, GUARDED).select("name", items.short_name_homonym(F.col("name"), F.col("found"), F.col("in_authority"), F.col("has_dates")).alias("homonym"))
+    return shared(spark, d, _GUARDED).select("p_partkey", "name", items.short_name_homonym(F.col("name"), F.col("found"), F.col("in_authority"), F.col("has_dates")).alias("homonym"))
 
 
 @query("SELECT n_nationkey, CASE WHEN a + b + c >= 2 THEN 'high' WHEN a + b + c = 1 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT n_nationkey, CAST(EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900) AS INT) AS a, CAST(EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal < 0) AS INT) AS b, CAST(n_regionkey < 1 AS INT) AS c FROM nation)")
@@ -73,22 +78,32 @@ def place_confidence(spark, d):
     return both.select("n_nationkey", items.place_confidence(held("a"), held("b"), F.col("n_regionkey") < 1).alias("confidence"))
 
 
-SNAKS = """(VALUES (1, 'P248', 'item', 'Q10', NULL), (2, 'P813', 'time', '+2024-01-01T00:00:00Z', NULL), (3, 'P577', 'time', '+1500-00-00T00:00:00Z', 9), (4, 'P854', 'url', 'https://a.example/"x"', NULL), (5, 'P1810', 'string', 'a name', NULL)) AS s(n, property, kind, value, prec)"""
+# An order's parts of a statement.
+_SNAKS = """
+SELECT o_orderkey AS n, CASE o_orderkey % 5 WHEN 0 THEN 'P248' WHEN 1 THEN 'P813' WHEN 2 THEN 'P577' WHEN 3 THEN 'P854' ELSE 'P1810' END AS property, CASE o_orderkey % 5 WHEN 0 THEN 'item' WHEN 1 THEN 'time' WHEN 2 THEN 'time' WHEN 3 THEN 'url' ELSE 'string' END AS kind,
+  CASE o_orderkey % 5 WHEN 0 THEN 'Q' || o_custkey WHEN 1 THEN '+' || year(o_orderdate) || '-01-01T00:00:00Z' WHEN 2 THEN '+' || year(o_orderdate) || '-00-00T00:00:00Z' WHEN 3 THEN 'https://a.example/"' || o_orderstatus || '"' ELSE o_orderpriority END AS value, CASE WHEN o_orderkey % 5 = 2 THEN 9 END AS prec FROM {orders}"""
+SNAKS = f"{_duck(_SNAKS)} AS s"
 _SNAK = "CASE kind WHEN 'item' THEN value WHEN 'time' THEN value || '/' || coalesce(prec, 11) ELSE '\"' || replace(value, '\"', chr(92) || '\"') || '\"' END"
 
 
 @query(f"SELECT n, property || chr(9) || {_SNAK} AS qualifier, replace(property, 'P', 'S') || chr(9) || {_SNAK} AS reference FROM {SNAKS}")
 def qualifiers_and_references(spark, d):
     own = F.col("property"), F.col("kind"), F.col("value"), F.col("prec")
-    return rows(spark, SNAKS).select("n", items.snak(*own).alias("qualifier"), items.snak(*own, reference=True).alias("reference"))
+    return shared(spark, d, _SNAKS).select("n", items.snak(*own).alias("qualifier"), items.snak(*own, reference=True).alias("reference"))
 
 
-TAGGED = """(VALUES ('w1', 'label', 'Song', 'literal', 'en'), ('w1', 'label', 'שיר', 'literal', 'he'), ('w2', 'label', 'Law', 'literal', 'en'), ('w1', 'subject', 's1', 'iri', NULL), ('w2', 'subject', 's1', 'iri', NULL), ('w3', 'subject', 's2', 'iri', NULL), ('s1', 'label', 'Poetry', 'literal', 'en'), ('s2', 'label', 'הלכה', 'literal', 'he')) AS t(s, p, o, o_kind, lang)"""
+# Parts as works, with their brands as subjects, which have labels in one or two languages.
+_TAGGED = """
+SELECT 'w' || p_partkey AS s, 'label' AS p, p_name AS o, 'literal' AS o_kind, CASE WHEN p_partkey % 2 = 0 THEN 'en' ELSE 'he' END AS lang FROM {part}
+UNION ALL SELECT 'w' || p_partkey, 'subject', 's' || p_brand, 'iri', NULL FROM {part}
+UNION ALL SELECT DISTINCT 's' || p_brand, 'label', p_brand, 'literal', 'en' FROM {part} WHERE p_brand NOT LIKE '%2'
+UNION ALL SELECT DISTINCT 's' || p_brand, 'label', 'נושא', 'literal', 'he' FROM {part}"""
+TAGGED = f"{_duck(_TAGGED)} AS t"
 
 
-@query(f"SELECT l.o AS subject, count(*) AS n FROM {TAGGED} JOIN (SELECT * FROM {TAGGED}) l ON l.s = t.o AND l.p = 'label' AND l.lang = 'en' WHERE t.p = 'subject' GROUP BY 1")
+@query(f"SELECT l.o AS subject, count(*) AS n FROM {TAGGED} JOIN (SELECT * FROM {TAGGED}) AS l ON l.s = t.o AND l.p = 'label' AND l.lang = 'en' WHERE t.p = 'subject' GROUP BY 1")
 def works_by_subject(spark, d):
-    t = rows(spark, TAGGED)
+    t = shared(spark, d, _TAGGED)
     labels = graph.in_language(t, "en").where("p = 'label'").select(F.col("s").alias("o"), F.col("o").alias("subject"))
     return graph.counts_by(t.where("p = 'subject'").select("s", "o").join(labels, "o"), "subject")
 
@@ -106,7 +121,7 @@ def last_binding(spark, d):
 
 @query(f"SELECT local_id, min(CASE WHEN property = 'P214' THEN value END) AS \"P214\", min(CASE WHEN property = 'P31' THEN value END) AS \"P31\" FROM {CLAIMS} WHERE property IN ('P214', 'P31') GROUP BY 1")
 def identity_claims(spark, d):
-    return items.claims_by_property(rows(spark, CLAIMS), "local_id", ["P214", "P31"])
+    return items.claims_by_property(shared(spark, d, _CLAIMS), "local_id", ["P214", "P31"])
 
 
 @query("SELECT doc_id, md5('42:' || doc_id) AS draw FROM documents ORDER BY 2, 1 LIMIT 10")
@@ -135,19 +150,24 @@ def record_slice(spark, d):
     return quality.page(table(spark, d, "orders").select("o_orderkey", "o_custkey"), 1, 100, F.col("o_orderkey"))
 
 
-SEVERE = """(VALUES ('a', 'Info'), ('a', 'Violation'), ('a', 'Warning'), ('b', 'Info'), ('b', 'Warning'), ('c', 'Info')) AS v(focus_node, severity)"""
+_SEVERE = "SELECT o_custkey AS focus_node, CASE WHEN o_orderkey % 17 = 0 THEN 'Violation' WHEN o_orderkey % 5 = 0 THEN 'Warning' ELSE 'Info' END AS severity FROM {orders}"
+SEVERE = f"{_duck(_SEVERE)} AS v"
 
 
 @query(f"SELECT focus_node, ['Info', 'Warning', 'Violation'][max(CASE severity WHEN 'Info' THEN 1 WHEN 'Warning' THEN 2 ELSE 3 END)] AS severity, count(*) AS n FROM {SEVERE} GROUP BY 1")
 def worst_of_several(spark, d):
-    return quality.worst_severity(rows(spark, SEVERE))
+    return quality.worst_severity(shared(spark, d, _SEVERE))
 
 
-DATES = """(VALUES ('1407'), ('ca. 1350'), ('14th century'), ('15th-16th century'), ('1400-1450'), ('1380-'), ('-1492'), ('1500?'), ('no date'), ('d. 1204 or 1205')) AS t(s)"""
+# Years of orders, written in ten ways.
+_DATES = """
+SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN '' || y WHEN 1 THEN 'ca. ' || y WHEN 2 THEN c || 'th century' WHEN 3 THEN c || 'th-' || (c + 1) || 'th century' WHEN 4 THEN y || '-' || (y + 50) WHEN 5 THEN y || '-' WHEN 6 THEN '-' || y WHEN 7 THEN y || '?' WHEN 8 THEN 'no date' ELSE 'd. ' || y || ' or ' || (y + 1) END AS s
+FROM (SELECT o_orderkey, 1000 + o_orderkey % 900 AS y, 10 + o_orderkey % 7 AS c FROM {orders})"""
+DATES = f"{_duck(_DATES)} AS t"
 
 
-@query(f"""SELECT s, CASE WHEN s LIKE 'ca.%' THEN CAST(substr(s, 5) AS INT) WHEN regexp_matches(s, '^\\d+th century') THEN (CAST(regexp_extract(s, '^(\\d+)', 1) AS INT) - 1) * 100 + 1 WHEN regexp_matches(s, 'th-\\d+th century') THEN (CAST(regexp_extract(s, '^(\\d+)', 1) AS INT) - 1) * 100 + 1 WHEN s LIKE '-%' OR NOT regexp_matches(s, '\\d') THEN NULL ELSE CAST(regexp_extract(s, '(\\d{{4}})', 1) AS INT) END AS year_start,
+@query(f"""SELECT o_orderkey, s, CASE WHEN s LIKE 'ca.%' THEN CAST(substr(s, 5) AS INT) WHEN regexp_matches(s, '^\\d+th century') THEN (CAST(regexp_extract(s, '^(\\d+)', 1) AS INT) - 1) * 100 + 1 WHEN regexp_matches(s, 'th-\\d+th century') THEN (CAST(regexp_extract(s, '^(\\d+)', 1) AS INT) - 1) * 100 + 1 WHEN s LIKE '-%' OR NOT regexp_matches(s, '\\d') THEN NULL ELSE CAST(regexp_extract(s, '(\\d{{4}})', 1) AS INT) END AS year_start,
 CASE WHEN s LIKE 'ca.%' THEN CAST(substr(s, 5) AS INT) WHEN regexp_matches(s, 'century') THEN CAST(regexp_extract(s, '(\\d+)th century', 1) AS INT) * 100 WHEN s LIKE '%-' OR NOT regexp_matches(s, '\\d') THEN NULL WHEN regexp_matches(s, '^\\d{{4}}-\\d{{4}}$') THEN CAST(right(s, 4) AS INT) WHEN s LIKE '-%' THEN CAST(substr(s, 2) AS INT) ELSE CAST(regexp_extract(s, '(\\d{{4}})', 1) AS INT) END AS year_end FROM {DATES}""")
 def date_forms(spark, d):
-    found = rows(spark, DATES).withColumn("r", dates.resolve(F.col("s")))
-    return found.select("s", F.col("r.start").alias("year_start"), F.col("r.end").alias("year_end"))
+    found = shared(spark, d, _DATES).withColumn("r", dates.resolve(F.col("s")))
+    return found.select("o_orderkey", "s", F.col("r.start").alias("year_start"), F.col("r.end").alias("year_end"))

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirelake.operators import labelling, verdicts
-from quirelake.plans.items import rows
+from quirelake.plans.graphs import plain, shared
 from quirelake.plans.queries import query, table
 
-# All combinations of eleven facts about a match, one bit each.
+# An order's key holds eleven facts about a match, one bit each.
 _FACTS = ("placeholder", "conflict", "homonym", "authority", "cluster", "item", "latin", "disagrees", "confirms", "merged", "clash")
 _BITS = ", ".join(f"(id & {1 << k}) <> 0 AS {name}" for k, name in enumerate(_FACTS))
 
 
-@query(f"""WITH f AS (SELECT id, {_BITS} FROM range({1 << len(_FACTS)}) r(id)), n AS (SELECT *, CAST(authority AS INT) + CAST(cluster AND NOT conflict AS INT) + CAST(item AS INT) AS n FROM f),
+@query(f"""WITH f AS (SELECT id, {_BITS} FROM (SELECT o_orderkey AS id FROM orders)), n AS (SELECT *, CAST(authority AS INT) + CAST(cluster AND NOT conflict AS INT) + CAST(item AS INT) AS n FROM f),
 b AS (SELECT *, CASE WHEN placeholder OR clash OR merged OR conflict OR homonym OR n = 0 THEN 'low' WHEN n >= 2 AND latin THEN 'high' ELSE 'medium' END AS base FROM n),
 c AS (SELECT *, CASE WHEN base = 'low' THEN 'low' WHEN disagrees AND base = 'high' THEN 'medium' WHEN disagrees THEN 'low' WHEN confirms THEN 'high' ELSE base END AS confidence FROM b)
 SELECT id, confidence, CAST(confidence = 'high' AS INT) AS matched, CASE WHEN authority AND NOT placeholder THEN 'a' END AS authority_id, CASE WHEN cluster AND NOT (placeholder OR conflict OR merged) THEN 'c' END AS cluster_uri,
@@ -26,7 +26,7 @@ def match_verdicts(spark, d):
         placeholder=bit["placeholder"], date_conflict=text("conflict", "too late"), homonym=bit["homonym"], authority_id=text("authority", "a"), cluster_uri=text("cluster", "c"), item=text("item", "i"),
         latin_form=text("latin", "l"), disagrees=bit["disagrees"], confirms=bit["confirms"], over_merged=bit["merged"], clash=bit["clash"],
     )
-    return spark.range(1 << len(_FACTS)).select("id", found.alias("v")).select("id", "v.confidence", "v.matched", "v.authority_id", "v.cluster_uri", "v.rejection", F.array_join("v.flags", ",").alias("flags"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).select("id", found.alias("v")).select("id", "v.confidence", "v.matched", "v.authority_id", "v.cluster_uri", "v.rejection", F.array_join("v.flags", ",").alias("flags"))
 
 
 _LATIN = "[A-Za-z''.-]+"
@@ -48,9 +48,13 @@ def rebased_offsets(spark, d):
 
 
 MARKERS = ["בן", "בר", "בת"]
-NAMED = """(VALUES (1, 'כתב משה בן יעקב הלוי בשנת', 4, 10), (2, 'משה בן  יעקב', 0, 6), (3, 'משה בן', 0, 6), (4, 'יצחק כתב ספר', 0, 4), (5, 'דוד בר Moses', 0, 6), (6, 'שרה בת רחל', 0, 6)) AS n(id, text, start, stop)"""
+_NAMED = """
+SELECT id, pre || name || post AS text, CAST(length(pre) AS INT) AS start, CAST(length(pre || name) AS INT) AS stop FROM (
+  SELECT o_orderkey AS id, CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'כתב ' ELSE o_orderpriority || ' ' END AS pre, CASE o_orderkey % 5 WHEN 0 THEN 'משה בן' WHEN 1 THEN 'דוד בר ' WHEN 2 THEN 'שרה בת' WHEN 3 THEN 'יצחק' ELSE 'בן' END AS name,
+    CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN ' יעקב הלוי בשנת' WHEN 2 THEN '  יעקב' WHEN 3 THEN ' ' || o_orderstatus WHEN 4 THEN ' רחל כתבה' WHEN 5 THEN 'יעקב' ELSE ' אברהם, כתב' END AS post FROM {orders})"""
+NAMED = f"({plain(_NAMED)}) AS n"
 
 
 @query(f"SELECT id, CASE WHEN regexp_matches(trim(substr(text, start + 1, stop - start)), '({'|'.join(MARKERS)})$') THEN stop + CAST(length(regexp_extract(substr(text, stop + 1, 50), '^\\s+[֐-׿]+(?:\\s+[֐-׿]+)?')) AS INT) ELSE stop END AS stop FROM {NAMED}")
 def completed_names(spark, d):
-    return rows(spark, NAMED).select("id", labelling.completed_end(F.col("text"), F.col("start"), F.col("stop"), MARKERS).alias("stop"))
+    return shared(spark, d, _NAMED).select("id", labelling.completed_end(F.col("text"), F.col("start"), F.col("stop"), MARKERS).alias("stop"))

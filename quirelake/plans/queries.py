@@ -271,10 +271,13 @@ def first_without_conflict(spark, d):
     return matching.first_without_conflict(candidates, existing, proposed)
 
 
-@query("WITH b AS (SELECT * FROM (VALUES (true), (false)) a(x)) SELECT c.x AS corroborated, e.x AS exact, d.x AS dated, k.x AS conflict, l.x AS low, CASE WHEN l.x OR k.x THEN 'low' WHEN c.x::INT + e.x::INT + d.x::INT >= 2 THEN 'high' WHEN c.x::INT + e.x::INT + d.x::INT = 1 THEN 'medium' ELSE 'low' END AS confidence FROM b c, b e, b d, b k, b l")
+_LADDER = ", ".join(f"(l_orderkey & {1 << k}) <> 0 AS {name}" for k, name in enumerate(("corroborated", "exact", "dated", "conflict", "low")))
+
+
+@query(f"SELECT *, CASE WHEN low OR conflict THEN 'low' WHEN corroborated::INT + exact::INT + dated::INT >= 2 THEN 'high' WHEN corroborated::INT + exact::INT + dated::INT = 1 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT l_orderkey, l_linenumber, {_LADDER} FROM lineitem)")
 def confidence_ladder(spark, d):
     names = ("corroborated", "exact", "dated", "conflict", "low")
-    rows = spark.range(32).select(*((F.col("id").bitwiseAND(1 << k) > 0).alias(n) for k, n in enumerate(names)))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *((F.col("l_orderkey").bitwiseAND(1 << k) > 0).alias(n) for k, n in enumerate(names)))
     return rows.withColumn("confidence", matching.confidence(*map(F.col, names)))
 
 
