@@ -45,8 +45,8 @@ def best_threshold(grid: DataFrame) -> DataFrame:
     return grid.agg(F.min(F.struct((-F.col("f1")).alias("f"), F.col("threshold").alias("t"))).alias("m")).select(F.col("m.t").alias("threshold"), (-F.col("m.f")).alias("f1"))
 
 
-def folds(df: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
-    """A stratified ``fold`` for each row, dealt in order of a checksum of the key.
+def numbered(df: DataFrame, label: str, key: str) -> DataFrame:
+    """Each row's ``place`` (from 0) in its label, in order of a checksum of the key, and the label's ``size``.
 
     Rows are numbered in groups of a label and the checksum's first two digits, so
     that a label isn't sorted in one task; counts of the groups before are added.
@@ -54,16 +54,30 @@ def folds(df: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
     salt = F.coalesce(F.substring(F.md5(F.col(key).cast("string")), 1, 2), F.lit(""))
     rows = df.withColumn("__salt", salt)
     counts = rows.groupBy(F.col(label).alias("__label"), F.col("__salt").alias("__group")).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy("__label").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1))
-    bases = counts.select("__label", "__group", F.coalesce(before, F.lit(0)).alias("__base"))
+    w = Window.partitionBy("__label")
+    before = F.sum("__n").over(w.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select("__label", "__group", F.coalesce(before, F.lit(0)).alias("__base"), F.sum("__n").over(w).alias("size"))
     place = F.row_number().over(Window.partitionBy(label, "__salt").orderBy(F.md5(F.col(key).cast("string")), key))
-    numbered = rows.withColumn("__place", place).join(bases, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__salt") == F.col("__group")))
-    return numbered.select(*df.columns, F.pmod(F.col("__base") + F.col("__place") - 1, F.lit(k)).cast("int").alias("fold"))
+    found = rows.withColumn("__place", place).join(bases, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__salt") == F.col("__group")))
+    return found.select(*df.columns, (F.col("__base") + F.col("__place") - 1).alias("place"), "size")
+
+
+def folds(df: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
+    """A stratified ``fold`` for each row, dealt in order of a checksum of the key."""
+    return numbered(df, label, key).select(*df.columns, F.pmod("place", F.lit(k)).cast("int").alias("fold"))
+
 
+def rebalance(df: DataFrame, label: str, key: str, size: int, replace: bool = False) -> DataFrame:
+    """At most ``size`` rows of each label, the first by a checksum of the key.
 
-def rebalance(df: DataFrame, label: str, key: str, size: int) -> DataFrame:
-    """At most ``size`` rows of each label, the first by a checksum of the key."""
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key))).where(F.col("__r") <= size).drop("__r")
+    With ``replace``, a label of fewer rows repeats them until it has ``size``: all
+    of them as often as they fit, and the first ones once more.
+    """
+    rows = numbered(df, label, key)
+    if not replace:
+        return rows.where(F.col("place") < size).select(df.columns)
+    copies = F.when(F.col("size") >= size, (F.col("place") < size).cast("long")).otherwise(F.floor(F.lit(size) / F.col("size")) + (F.col("place") < F.lit(size) % F.col("size")).cast("long"))
+    return rows.withColumn("__c", copies).where("__c > 0").select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("__c"))).alias("copy"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

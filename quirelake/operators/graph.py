@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.sources.tables import written
+
 TRIPLE = "s string, p string, o string, o_kind string, datatype string, lang string"
 TYPE, LABEL = "rdf:type", "rdfs:label"
 
@@ -151,13 +153,14 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """``uri, hop``: nodes within ``hops`` undirected steps of the seeds and their distance.
 
     A frontier join for each hop; nodes seen before are taken out by an anti join.
-    Frontiers are kept, since each is read by all later hops.
+    Frontiers are written, since each is read by all later hops.
     """
     both = edges.select(F.col("source").alias("uri"), F.col("target").alias("next")).union(edges.select("target", "source"))
-    seen = seeds.select("uri").distinct().withColumn("hop", F.lit(0))
-    frontier = seen
+    frontier = written(seeds.select("uri").distinct().withColumn("hop", F.lit(0)), "frontier")
+    seen = frontier
     for k in range(1, hops + 1):
-        frontier = frontier.join(both, "uri").select(F.col("next").alias("uri")).distinct().join(seen, "uri", "left_anti").withColumn("hop", F.lit(k)).persist()
+        near = frontier.join(both, "uri").select(F.col("next").alias("uri")).distinct()
+        frontier = written(near.join(seen, "uri", "left_anti").withColumn("hop", F.lit(k)), "frontier")
         seen = seen.unionAll(frontier)
     return seen
 
@@ -169,23 +172,20 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def closure(parents: DataFrame) -> DataFrame:
-    """``child, ancestor``: the transitive closure of ``child, parent``; each round doubles the reach, until nothing is new.
+    """``child, ancestor``: the transitive closure of ``child, parent``.
 
-    With a checkpoint folder each round cuts its lineage there.
+    Only a round's new pairs join on, with all known ones on either side, so that
+    the reach doubles each round and no pair is made twice from the same two; the
+    rounds end when none is new.  Each round is written.
     """
-    spark = parents.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    cut = lambda df: df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
-    known = cut(parents.select(F.col("child"), F.col("parent").alias("ancestor")).distinct())
-    n = known.count()
-    while True:
-        further = known.join(known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("far")), "ancestor").select("child", F.col("far").alias("ancestor"))
-        known = cut(known.union(further).distinct())
-        more = known.count()
-        if more == n:
-            return known
-        n = more
+    fresh = written(parents.select(F.col("child"), F.col("parent").alias("ancestor")).where("child is not null and ancestor is not null").distinct(), "closure")
+    known = fresh
+    step = lambda low, high: low.select("child", F.col("ancestor").alias("via")).join(high.select(F.col("child").alias("via"), "ancestor"), "via").select("child", "ancestor")
+    while not fresh.isEmpty():
+        further = step(fresh, known).unionAll(step(known, fresh)).distinct()
+        fresh = written(further.join(known, ["child", "ancestor"], "left_anti"), "closure")
+        known = known.unionAll(fresh)
+    return known
 
 
 def in_language(triples: DataFrame, language: str) -> DataFrame:

@@ -104,16 +104,35 @@ def years_overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column
     return unknown | ((s1 - tolerance <= e2) & (s2 - tolerance <= e1))
 
 
+#: Each level's buckets are so many times as wide as those of the level below.
+_WIDER = 8
+
+
 def interval_join(left: DataFrame, right: DataFrame, l: tuple[str, str], r: tuple[str, str], width: int) -> DataFrame:  # noqa: E741
-    """Pairs of rows whose closed intervals overlap, by an equi-join on buckets of ``width``.
+    """Pairs of rows whose closed intervals overlap, by an equi-join on buckets.
 
-    A pair is made in one bucket only: that of the later start.
+    Buckets have levels, of ``width`` at the lowest.  An interval belongs to the
+    level at which it is no longer than a bucket, so that it touches two at most,
+    however long it is; a pair meets at the higher of its two levels, in the bucket
+    of the later start, and nowhere else.
     """
-    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
-    a = left.withColumn("__b", F.explode(F.sequence(bucket(l[0]), bucket(l[1]))))
-    b = right.withColumn("__b", F.explode(F.sequence(bucket(r[0]), bucket(r[1]))))
-    pairs = a.join(b, "__b").where((F.col(l[0]) <= F.col(r[1])) & (F.col(r[0]) <= F.col(l[1])))
-    return pairs.where(F.col("__b") == bucket(l[0]) if l == r else F.col("__b") == F.greatest(bucket(l[0]), bucket(r[0]))).drop("__b")
+    size = lambda level: F.lit(width).cast("long") * F.pow(F.lit(_WIDER), level).cast("long")
+    level = lambda c: F.greatest(F.lit(0), F.ceil(F.log(F.greatest(F.col(c[1]) - F.col(c[0]), F.lit(width)) / width) / F.log(F.lit(float(_WIDER)))).cast("int"))
+    rows = lambda df, c, tag: df.where(F.col(c[0]) <= F.col(c[1])).select(F.struct(*df.columns).alias(tag), F.col(c[0]).alias(f"{tag}s"), F.col(c[1]).alias(f"{tag}e"), level(c).alias(f"{tag}l"))
+    a, b = rows(left, l, "a"), rows(right, r, "b")
+    # The few levels that occur on the other side.
+    present = {tag: sorted(x[0] for x in df.select(f"{tag}l").distinct().collect()) for tag, df in (("a", a), ("b", b))}
+
+    def placed(df: DataFrame, tag: str, others: list[int]) -> DataFrame:
+        own = F.col(f"{tag}l")
+        levels = F.array_union(F.array(own), F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x > own))
+        at = lambda c, x: F.floor(F.col(c) / size(x)).cast("long")
+        buckets = F.flatten(F.transform(levels, lambda x: F.transform(F.sequence(at(f"{tag}s", x), at(f"{tag}e", x)), lambda k: F.struct(x.alias("level"), k.alias("bucket")))))
+        return df.withColumn("__k", F.explode(buckets))
+
+    met = placed(a, "a", present["b"]).join(placed(b, "b", present["a"]), "__k")
+    here = (F.col("__k.level") == F.greatest("al", "bl")) & (F.col("__k.bucket") == F.floor(F.greatest("as", "bs") / size(F.col("__k.level"))).cast("long"))
+    return met.where((F.col("as") <= F.col("be")) & (F.col("bs") <= F.col("ae")) & here).select("a.*", "b.*")
 
 
 def name_tokens(name: Column, stopwords: tuple[str, ...] = ()) -> Column:
@@ -128,6 +147,29 @@ def token_overlap(a: Column, b: Column) -> Column:
     return (both >= 2) | ((both > 0) & (both == F.least(F.size(a), F.size(b))))
 
 
+def overlapping_names(left: DataFrame, right: DataFrame, stopwords: tuple[str, ...] = ()) -> DataFrame:
+    """``a, b``: names of both sides (``name``) that ``token_overlap`` holds alike.
+
+    Two names with two tokens in common share one that isn't the commonest of
+    either, so names meet on all but their commonest token; a name of one token
+    meets all names that hold it.  Only names travel until pairs are known.
+    """
+    sides = {}
+    for tag, df in (("a", left), ("b", right)):
+        own = df.select(F.col("name").alias(tag)).where(F.col(tag).isNotNull()).distinct()
+        sides[tag] = own.withColumn("w", name_tokens(F.col(tag), stopwords)).where(F.size("w") > 0)
+    each = {tag: df.select(tag, F.size("w").alias("n"), F.explode("w").alias("token")) for tag, df in sides.items()}
+    often = each["a"].select("token").unionAll(each["b"].select("token")).groupBy("token").agg(F.count("*").alias("often"))
+    last = lambda tag: F.row_number().over(Window.partitionBy(tag).orderBy(F.desc("often"), "token"))
+    ranked = {tag: df.join(often, "token").withColumn("r", last(tag)).select(tag, "n", "token", "r") for tag, df in each.items()}
+    rarer = {tag: df.where("n >= 2 and r > 1").select(tag, "token") for tag, df in ranked.items()}
+    alone = {tag: df.where("n = 1").select(tag, "token") for tag, df in each.items()}
+    every = {tag: df.select(tag, "token") for tag, df in each.items()}
+    met = rarer["a"].join(rarer["b"], "token").unionByName(alone["a"].join(every["b"], "token")).unionByName(every["a"].join(alone["b"], "token")).select("a", "b").distinct()
+    both = met.join(sides["a"].withColumnRenamed("w", "wa"), "a").join(sides["b"].withColumnRenamed("w", "wb"), "b")
+    return both.where(token_overlap(F.col("wa"), F.col("wb"))).select("a", "b")
+
+
 def first_without_conflict(candidates: DataFrame, existing: DataFrame, proposed: DataFrame) -> DataFrame:
     """The best-ranked candidate of each name whose existing identifiers don't contradict the proposed ones.
 

@@ -46,7 +46,8 @@ def validate(triples: DataFrame, shapes=SHAPES) -> DataFrame:
     """
     table = reduce(DataFrame.unionAll, (triples.sparkSession.range(1).select(F.lit(c).alias("o"), F.lit(p).alias("path"), F.lit(a).alias("least"), F.lit(b).cast("int").alias("most"), F.lit(s).alias("severity")) for c, p, a, b, s in shapes))
     focus = triples.where(F.col("p") == "rdf:type").select("s", "o").join(F.broadcast(table), "o")
-    n = triples.groupBy("s", F.col("p").alias("path")).agg(F.count_distinct("o").alias("n"))
+    # Only the shapes' own paths are counted.
+    n = triples.where(F.col("p").isin(*{p for _, p, *_ in shapes})).groupBy("s", F.col("p").alias("path")).agg(F.count_distinct("o").alias("n"))
     counted = focus.join(n, ["s", "path"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     bad = counted.where((F.col("n") < F.col("least")) | (F.col("n") > F.col("most")))
     return bad.select(F.col("s").alias("focus_node"), "path", "severity", F.concat_ws(" ", F.lit("values:"), F.col("n").cast("string")).alias("message"))

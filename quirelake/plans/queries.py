@@ -255,11 +255,8 @@ def years_overlap(spark, d):
 
 @query("WITH t AS (SELECT DISTINCT p_name AS name, string_split(p_name, ' ') AS w FROM part) SELECT a.name AS a, b.name AS b FROM t a, t b WHERE len(list_intersect(list_distinct(a.w), list_distinct(b.w))) >= 2 OR (len(list_intersect(list_distinct(a.w), list_distinct(b.w))) > 0 AND len(list_intersect(list_distinct(a.w), list_distinct(b.w))) = least(len(list_distinct(a.w)), len(list_distinct(b.w))))")
 def token_overlap(spark, d):
-    names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    tokens = names.withColumn("w", matching.name_tokens(F.col("name")))
-    # Names that share a token meet on it; the rule then looks at all tokens.
-    a, b = (tokens.select(F.col("name").alias(n), F.col("w").alias(f"w{n}"), F.explode("w").alias("token")) for n in ("a", "b"))
-    return a.join(b, "token").where(matching.token_overlap(F.col("wa"), F.col("wb"))).select("a", "b").distinct()
+    names = table(spark, d, "part").select(F.col("p_name").alias("name"))
+    return matching.overlapping_names(names, names)
 
 
 @query("WITH c AS (SELECT o_custkey AS name, o_orderkey AS qid, o_orderdate AS rank FROM orders), bad AS (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') SELECT name, qid FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rank, qid) AS r FROM c WHERE qid NOT IN (SELECT o_orderkey FROM bad)) WHERE r = 1")
@@ -518,6 +515,12 @@ def class_rebalance(spark, d):
     return evaluation.rebalance(table(spark, d, "labels").select("doc_id", "quality"), "quality", "doc_id", 50)
 
 
+@query("""WITH n AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS place, count(*) OVER (PARTITION BY quality) AS size FROM labels), c AS (SELECT *, CASE WHEN size >= 301 THEN CAST(place < 301 AS BIGINT) ELSE 301 // size + CAST(place < 301 % size AS BIGINT) END AS c FROM n)
+SELECT doc_id, quality, unnest(range(1, c + 1)) AS copy FROM c""")
+def class_oversample(spark, d):
+    return evaluation.rebalance(table(spark, d, "labels").select("doc_id", "quality"), "quality", "doc_id", 301, replace=True)
+
+
 @query("SELECT lang, round((t.total - count(*)) / greatest(count(*), 1), 6) AS weight FROM documents, (SELECT count(*) AS total FROM documents) t GROUP BY lang, t.total")
 def class_weights(spark, d):
     return evaluation.class_weights(table(spark, d, "documents"), "lang")

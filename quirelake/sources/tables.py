@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
 #: Used only where a local session names no folder, as in tests.
 LOCAL_ROOT = "/tmp/checkpoints"
 
@@ -17,7 +19,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if spark.conf.get("spark.master", "").split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         root = LOCAL_ROOT
-    return f"{root.rstrip('/')}/quirelake-{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/quirelake-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -25,3 +29,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    """What was written goes when the driver ends, through Hadoop's file system, whatever its scheme."""
+    for spark, path in _made:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session has already gone; its owner clears the folder
+            return

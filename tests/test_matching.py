@@ -83,3 +83,48 @@ def test_late_items_give_way(spark):
     assert (got[1]["qid"], got[1]["viaf_id"], got[1]["path"], got[1]["confidence"]) == ("Q7", "12345678", "strict", "high")
     assert (got[2]["source"], got[2]["confidence"], got[2]["qid"]) == ("marc_only", "low", None)
     assert (got[3]["authority_id"], got[3]["path"], got[3]["source"]) == ("a9", "near", "mazal")
+
+
+def test_interval_join(spark):
+    """Points, short and very long intervals, negative starts, on both sides."""
+    rng = random.Random(8)
+
+    def draw(n):
+        out = []
+        for k in range(n):
+            a = rng.randint(-300, 300)
+            out.append((k, a, a + rng.choice([0, 0, 1, 3, 7, 8, 9, 60, 500, 100_000])))
+        return out
+
+    left, right = [*draw(150), (900, 5, 4)], draw(150)
+    a, b = spark.createDataFrame(left, "i int, s long, e long"), spark.createDataFrame(right, "j int, t long, u long")
+    got = sorted((r["i"], r["j"]) for r in matching.interval_join(a, b, ("s", "e"), ("t", "u"), 8).collect())
+    assert got == sorted((i, j) for i, s, e in left for j, t, u in right if s <= u and t <= e and s <= e)
+    assert matching.interval_join(a, b.limit(0), ("s", "e"), ("t", "u"), 8).count() == 0
+
+
+def test_overlapping_names(spark):
+    rng = random.Random(9)
+    draw = lambda: [" ".join(rng.choice(["ben", "ben", "ben", "moses", "jacob", "of", "fez", "tunis"]) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    left, right = [*draw(), "", None], [*draw(), "x"]
+    got = sorted(map(tuple, matching.overlapping_names(*(spark.createDataFrame([(n,) for n in s], "name string") for s in (left, right))).collect()))
+
+    def alike(a, b):
+        x, y = ({w for w in (s or "").split() if len(w) >= 2} for s in (a, b))
+        return len(x & y) >= 2 or (bool(x & y) and len(x & y) == min(len(x), len(y)))
+
+    assert got == sorted({(a, b) for a in left for b in right if alike(a, b)})
+
+
+def test_closure_and_occurrences(spark):
+    from quirelake.operators import corpus, graph
+
+    edges = [(k, k + 1) for k in range(20)] + [(30, 31), (31, 30), (5, 30), (1, None)]
+    got = {tuple(r) for r in graph.closure(spark.createDataFrame(edges, "child long, parent long")).collect()}
+    reach = {(a, b) for a, b in edges if b is not None}
+    while more := {(a, d) for a, b in reach for c, d in reach if b == c} - reach:
+        reach |= more
+    assert got == reach
+    rows = [(1, r"a\E b a\E b", r"a\E"), (2, "aaa", "aa"), (3, "xyx", "x"), (4, None, "x"), (5, "x", None), (6, "x", ""), (7, "😀x😀x", "x")]
+    found = corpus.occurrences(spark.createDataFrame(rows, "k int, c string, n string"), "c", "n")
+    assert sorted((r["k"], r["start"], r["end"]) for r in found.collect()) == [(1, 0, 3), (1, 6, 9), (2, 0, 2), (3, 0, 1), (3, 2, 3), (7, 1, 2), (7, 3, 4)]
