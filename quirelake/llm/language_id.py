@@ -8,7 +8,7 @@ each switch, labels spans; the language that holds most letters is the
 prediction and its share of the letters is the score.
 
 The model is fitted on the text and label of labelled rows.  At most about
-``FIT_ROWS`` of them are used, chosen by a hash of their id; the model holds every
+``FIT_ROWS`` of them are used, chosen by a hash of id and text; the model holds every
 n-gram of theirs.  Texts that are null or have no letter are ``und`` with score 0;
 with nothing to learn from, every text is.  Ties go to the language whose name
 comes first.  Whole texts are read, however long; repeated rows get the same
@@ -85,6 +85,11 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), pa.array([kind] * len(counts)), pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], schema=_FIT)
 
 
+def _threshold(n: int, rows: int) -> int:
+    """Below it lie about ``rows`` of ``n`` evenly spread signed 64-bit numbers."""
+    return (rows << 64) // n - (1 << 63)
+
+
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> dict:
     """A model from rows that have a text and a label; the sample of ``rows`` rows bounds its size.
 
@@ -94,7 +99,8 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     n = known.count()
     if n > rows:
-        known = known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < int((1 << 20) * rows / n))
+        # A threshold on whole 64-bit digests, so that the sample has about ``rows`` rows however many there are.
+        known = known.where(F.xxhash64(F.col(id_col), F.col(text_col)) < F.lit(_threshold(n, rows)))
     counts = known.select(F.col(text_col), F.col(lang_col).cast("string")).mapInArrow(_counter, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts["lang"].to_pylist()))
     language = np.array([langs.index(x) for x in counts["lang"].to_pylist()], np.int64)

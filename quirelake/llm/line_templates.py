@@ -2,12 +2,17 @@
 
 A line's tokens are its runs without blanks and tabs; a token with a digit is a
 variable field and becomes ``<*>``.  The tree's path is fixed: the number of
-tokens, then the first ``LEAD`` tokens, then a leaf of distinct forms.  In a leaf
-the tokens after the leading ones are parted into quarters, and forms that share
-two quarters meet: the first of them (by document, then line) is their template,
-and a form belongs to it if ``SIMILAR`` percent of its tokens or more are equal,
-position by position.  The positions that differ are the template's variable
-fields.  Forms that differ in three or four quarters don't meet.
+tokens, then the first ``LEAD`` tokens, then a leaf of distinct forms.  Two forms of
+a leaf are alike if ``SIMILAR`` percent of their tokens or more are equal, position
+by position; a form's template is the first form (by document, then line) that it
+is alike to, and the positions that differ are the template's variable fields.
+
+Of n tokens d may differ, so that of d + 1 parts behind the leading tokens one is
+wholly equal: alike forms share a bucket of leaf and part, and none is lost.  In
+rounds, the first forms of each bucket (one, then eight times as many each round)
+meet those of its forms that have no earlier template yet; the rounds end when no
+bucket has an earlier form left that one of its forms hasn't met.  Members of one
+template so meet its first form only, never each other.
 
 A form recurs if it, or its template, occurs in two documents or more; one of
 fewer than ``LONG`` tokens takes no template and needs ``OFTEN`` occurrences
@@ -30,7 +35,7 @@ number and leading tokens; templates are compared token by token.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import mark, settled, written
@@ -54,16 +59,43 @@ def _keys(tokens: Column) -> tuple[Column, Column]:
     return F.xxhash64(n, F.slice(tokens, 1, LEAD)), F.xxhash64(n, tokens)
 
 
-def _quarters(tokens: Column) -> Column:
-    """Keys of the six pairs of quarters of the tokens after the leading ones."""
-    n = F.size(tokens)
-    cut = [F.lit(LEAD) + F.floor((n - LEAD) * k / 4).cast("int") for k in range(5)]
-    part = [F.slice(tokens, cut[k] + 1, cut[k + 1] - cut[k]) for k in range(4)]
-    return F.array(*(F.xxhash64(F.lit(10 * a + b), part[a], part[b]) for a in range(4) for b in range(a + 1, 4)))
+def _parts(words: Column, similar: int) -> Column:
+    """Keys of the parts of the tokens after the leading ones, one more than may differ."""
+    n = F.size(words)
+    rest = F.greatest(n - LEAD, F.lit(0))
+    differ = F.floor(n * (100 - similar) / 100).cast("int")
+    parts = F.when(differ < rest, differ + 1).otherwise(F.lit(0))  # where all may differ, a leaf is one bucket
+    cut = lambda k: F.lit(LEAD) + F.floor(rest * k / parts).cast("int")
+    return F.when(parts == 0, F.array(F.xxhash64(F.lit(-1)))).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.xxhash64(k, F.slice(words, cut(k) + 1, cut(k + 1) - cut(k)))))
+
+
+def _first_alike(own: DataFrame, similar: int) -> DataFrame:
+    """``form, found``: the place of the first earlier form that each form is alike to; ``own``: ``form, leaf, at, words``."""
+    bucket = Window.partitionBy("leaf", "key")
+    members = own.select("form", "at", "leaf", F.explode(_parts(F.col("words"), similar)).alias("key"))
+    several = members.groupBy("leaf", "key").agg(F.count("*").alias("k")).where("k > 1").select("leaf", "key")
+    ranked = written(members.join(several.hint("merge"), ["leaf", "key"]).withColumn("rank", F.row_number().over(bucket.orderBy("at"))), "members")
+    words = own.select("form", "words")
+    found, low, high = None, 0, 1
+    while True:
+        # A form is through with a bucket once its next form isn't earlier than the form itself, or than its template.
+        following = ranked.where(F.col("rank") == low + 1).select("leaf", "key", F.col("at").alias("next"))
+        open_ = ranked.where(F.col("rank") > low + 1).join(following.hint("merge"), ["leaf", "key"])
+        open_ = open_.withColumn("until", F.col("at")) if found is None else open_.join(found.hint("merge"), "form", "left").withColumn("until", F.least("at", "found")).drop("found")
+        open_ = written(open_.where(F.col("next") < F.col("until")).select("form", "leaf", "key", "until"), "open")
+        if open_.isEmpty():
+            return found
+        first = ranked.where((F.col("rank") > low) & (F.col("rank") <= high)).select("leaf", "key", F.col("form").alias("template"), F.col("at").alias("place"))
+        pairs = open_.join(first.hint("merge"), ["leaf", "key"]).where(F.col("place") < F.col("until")).select("form", "template", "place").distinct()
+        met = written(pairs, "template-pairs").join(words.hint("merge"), "form").join(words.select(F.col("form").alias("template"), F.col("words").alias("others")).hint("merge"), "template")
+        equal = F.aggregate(F.zip_with("words", "others", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+        alike = met.where((F.size("words") == F.size("others")) & (100 * equal >= similar * F.size("words"))).select("form", F.col("place").alias("found"))
+        found = written((alike if found is None else alike.unionAll(found)).groupBy("form").agg(F.min("found").alias("found")), "found")
+        low, high = high, 8 * high
 
 
 def _templates(documents: DataFrame, forms: DataFrame, long: int, similar: int) -> DataFrame:
-    """``form, template_doc``: the first document of each template that a long form belongs to, beside its own."""
+    """``form, template_doc``: the first document of the template that a long form belongs to."""
     leaves = forms.where(F.col("n") >= long).groupBy("leaf").agg(F.count("*").alias("k"), F.min("at.doc_id").alias("a"), F.max("last").alias("b")).where("k > 1 and a < b").select("leaf")
     # Only leaves of several forms have templates: their tokens are read again, one line a form.
     asked = written(forms.join(written(leaves, "leaves").hint("merge"), "leaf").where(F.col("n") >= long).select(F.col("at.doc_id").alias("doc_id"), F.struct("form", "leaf", F.col("at.line").alias("line")).alias("one")).groupBy("doc_id").agg(F.collect_list("one").alias("asked")), "asked")
@@ -71,14 +103,11 @@ def _templates(documents: DataFrame, forms: DataFrame, long: int, similar: int)
     tokens = lines.select("doc_id", "one.*", line_tokens(F.get("lines", F.col("one.line"))).alias("tokens"))
     # Rows that share an id may have other texts.
     again = tokens.where(_keys(F.col("tokens"))[1] == F.col("form")).select("form", "leaf", F.struct("doc_id", "line").alias("at"), "tokens").dropDuplicates(["form"])
-    own = written(again.select("form", "leaf", "at", _quarters(F.col("tokens")).alias("keys"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("words")), "form-tokens")
-    members = own.select("form", "at", F.explode("keys").alias("key"), "leaf")
-    heads = members.groupBy("leaf", "key").agg(F.min(F.struct("at", "form")).alias("head"), F.count("*").alias("k")).where("k > 1").select("leaf", "key", "head")
-    pairs = members.join(written(heads, "heads").hint("merge"), ["leaf", "key"]).where("form != head.form").select("form", F.col("head.form").alias("template"), F.col("head.at.doc_id").alias("template_doc")).distinct()
-    words = own.select("form", "words")
-    met = written(pairs, "template-pairs").join(words.hint("merge"), "form").join(words.select(F.col("form").alias("template"), F.col("words").alias("others")).hint("merge"), "template")
-    equal = F.aggregate(F.zip_with("words", "others", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
-    return met.where((F.size("words") == F.size("others")) & (100 * equal >= similar * F.size("words"))).groupBy("form").agg(F.min("template_doc").alias("template_doc"))
+    own = written(again.select("form", "leaf", "at", F.transform("tokens", lambda t: F.xxhash64(t)).alias("words")), "form-tokens")
+    found = _first_alike(own, similar)
+    if found is None:
+        return own.select("form", F.col("at.doc_id").alias("template_doc")).limit(0)
+    return found.select("form", F.col("found.doc_id").alias("template_doc"))
 
 
 def _lines_of_copies(keyed: DataFrame, lost: DataFrame, texts: DataFrame) -> DataFrame:
@@ -141,7 +170,7 @@ def drop_recurring_lines(documents: DataFrame, *, id_col: str = "doc_id", text_c
     return out.select(*((F.col("new.text") if c == text_col else F.col("row")[c]).alias(c) for c in rows.columns), "new.n_lines", "new.n_dropped")
 
 
-#: The same in DuckDB's SQL, over the table ``documents``: here all forms of a leaf are at hand as lists.
+#: The same in DuckDB's SQL, over the table ``documents``: all forms of a leaf are compared with each other.
 ORACLE_SQL = rf"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS words, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
@@ -151,15 +180,9 @@ tokens AS (
 forms AS (
   SELECT t, len(t) AS n, t[1:{LEAD}] AS lead, min(doc_id) AS opening, max(doc_id) AS last, count(*) AS times, min(struct_pack(d := doc_id, l := line)) AS place
   FROM tokens WHERE len(t) > 0 GROUP BY t),
-parts AS (
-  SELECT t, n, lead, opening, place, list_transform(range(5), lambda k: {LEAD} + (n - {LEAD}) * k // 4) AS cut FROM forms WHERE n >= {LONG}),
-quarters AS (SELECT t, n, lead, opening, place, list_transform(range(1, 5), lambda k: t[cut[k] + 1:cut[k + 1]]) AS q FROM parts),
-pairs(a, b) AS (VALUES (1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)),
-members AS (SELECT t, n, lead, opening, place, a, b, q[a] AS qa, q[b] AS qb FROM quarters, pairs),
-heads AS (SELECT n, lead, a, b, qa, qb, arg_min(t, place) AS head, arg_min(opening, place) AS template_doc FROM members GROUP BY n, lead, a, b, qa, qb HAVING count(*) > 1),
 templates AS (
-  SELECT t, min(template_doc) AS template_doc FROM members JOIN heads USING (n, lead, a, b, qa, qb)
-  WHERE t <> head AND 100 * len(list_filter(list_zip(t, head), lambda z: z[1] = z[2])) >= {SIMILAR} * n GROUP BY t),
+  SELECT a.t, min(b.opening) AS template_doc FROM forms a JOIN forms b ON a.n = b.n AND a.lead = b.lead AND a.t <> b.t
+  WHERE a.n >= {LONG} AND 100 * len(list_filter(list_zip(a.t, b.t), lambda z: z[1] = z[2])) >= {SIMILAR} * a.n GROUP BY a.t),
 recurring AS (
   SELECT t, keeper FROM (SELECT t, n, last, times, least(opening, coalesce(template_doc, opening)) AS keeper FROM forms LEFT JOIN templates USING (t))
   WHERE keeper < last AND (n >= {LONG} OR times >= {OFTEN})),
