@@ -165,3 +165,30 @@ def entity_grid(df: DataFrame, sources: list[str], kinds: list[str], roles: list
     """Rows of the chosen sources, kinds and roles; a blank role always passes."""
     role = F.coalesce(F.trim("role"), F.lit(""))
     return df.where(F.col("source").isin(sources) & F.col("entity_type").isin(kinds) & ((role == "") | role.isin(roles)))
+
+
+def _chosen(column: str, values: list[str]) -> Column:
+    """A grid's filter: nothing chosen shows all."""
+    return F.coalesce(F.col(column), F.lit("")).isin(values) if values else F.lit(True)
+
+
+def confidence_band(confidence: Column) -> Column:
+    return F.when(F.lower(confidence).isin("high", "medium", "low"), F.lower(confidence)).otherwise("none")
+
+
+def authority_grid(df: DataFrame, sources: list[str] = (), kinds: list[str] = (), bands: list[str] = ()) -> DataFrame:
+    """Matches of the chosen sources, kinds and bands of confidence."""
+    banded = df.withColumn("__band", confidence_band(F.col("confidence").cast("string")))
+    return banded.where(_chosen("source", list(sources)) & _chosen("match_type", list(kinds)) & _chosen("__band", list(bands))).drop("__band")
+
+
+def export_grid(df: DataFrame, kinds: list[str] = (), statuses: list[str] = ()) -> DataFrame:
+    """Items of the chosen kinds and states."""
+    return df.where(_chosen("entity_type", list(kinds)) & _chosen("status", list(statuses)))
+
+
+def type_definitions(entities: DataFrame, kind: str, score: str, metadata: DataFrame) -> DataFrame:
+    """``kind, description, source_fields, count, avg_validation_score``; a kind without metadata gets empty texts."""
+    counted = entities.groupBy(kind).agg(F.count("*").alias("count"), F.round(F.avg(score), 6).alias("avg_validation_score"))
+    known = metadata.select(kind, "description", "source_fields").dropDuplicates([kind])
+    return counted.join(known, kind, "left").fillna("", ["description", "source_fields"]).select(kind, "description", "source_fields", "count", "avg_validation_score")
