@@ -643,6 +643,7 @@ from quirelake.plans import cascade as _cascade  # noqa: E402, F401
 from quirelake.plans import files as _files  # noqa: E402, F401
 from quirelake.plans import items as _items  # noqa: E402, F401
 from quirelake.plans import names as _names  # noqa: E402, F401
+from quirelake.plans import records as _records  # noqa: E402, F401
 from quirelake.plans import resolution as _resolution  # noqa: E402, F401
 from quirelake.plans import scalars as _scalars  # noqa: E402, F401
 from quirelake.plans import structures as _structures  # noqa: E402, F401
