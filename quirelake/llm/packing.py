@@ -5,16 +5,20 @@
 2. Spark counts the pieces of each length: a histogram of ``capacity`` rows at
    most, whatever the corpus holds.
 3. The driver solves the configuration linear program on that histogram, as a
-   packing in whole copies.  A length's price is its size times a weight, which
-   falls exponentially as its packed share grows.  In each round a knapsack
-   dynamic program over the lengths that lag most prices every room, and the
-   configurations worth most around each of them are used, each by a step of its
-   width (the share ``STEP`` of its scarcest length), rounded down to whole copies, one at least.
-   By duality, the counts' worth at a round's prices over the best
-   configuration's worth is a lower bound on the sequences of any packing: the
-   largest one proves the gap that is left.
-4. What no configuration without an avoidable gap takes goes best fit, largest
-   pieces first.
+   packing in whole copies.  Dual feasible functions (the sizes, and step functions
+   of them) give first prices: no configuration is worth more than one, so the
+   counts' worth bounds the sequences of any packing, and the function of the
+   largest bound is where the multiplicative weights begin.  A length's weight
+   falls exponentially as its packed share grows.  In each round a knapsack dynamic
+   program over the lengths that lag most prices every room, and the configurations
+   worth most around each of them are used, each by a step of its width (the share
+   ``STEP`` of its scarcest length), rounded down to whole copies, one at least.  By
+   complementary slackness a configuration must be tight: worth at most ``SLACK``
+   less than the best one at the first prices.  The rounds end when no tight
+   configuration is left.  The counts' worth at a round's prices over the best
+   configuration's worth bounds the sequences as well; the largest bound proves the
+   gap that is left.
+4. What is left goes best fit, largest pieces first.
 5. The result is a list of configurations with a number of copies.  Spark ranks
    the pieces of each length (in salted groups, so that a length held by a third
    of all rows is no single task's) and gives rank r the r-th slot.
@@ -44,12 +48,16 @@ CAPACITY = 4096
 END_ID = 1
 #: The share of a length's pieces that a step of the program packs at most.
 STEP = 1 / 4
-#: The share of all tokens that the program packs; best fit needs some pieces of every size for the rest.
-COVER = 0.95
+#: So much less than the best configuration a tight one is worth, at most.
+SLACK = 0.01
+#: Step functions of the sizes that give first prices, by their number of steps.
+STEPS = 24
+#: The share of the sizes in the first prices, so that of equally tight configurations the fuller one is worth more.
+FULLER = 0.1
 #: How fast a length's price falls with its packed share.
 STEEP = 4.0
 #: So much more of the largest pieces than of the smallest is packed at any time: small ones fill what is left.
-AHEAD = 1.0
+AHEAD = 2.0
 #: The lengths that a round prices: those that lag most.  Each ``BOUND_EVERY``-th round prices all of them for the bound.
 POOL = 512
 #: The last pieces of a configuration are looked up where they are worth this share of the table's value.
@@ -139,8 +147,8 @@ class _Stock:
         return best, found
 
 
-def _around(k: int, pool: np.ndarray, prices: np.ndarray, value: np.ndarray, stock: _Stock, capacity: int) -> tuple[dict[int, int], int]:
-    """The configuration worth most, by the table, that holds length ``k`` and no more pieces than are left; and its gap.
+def _around(k: int, pool: np.ndarray, prices: np.ndarray, value: np.ndarray, stock: _Stock, capacity: int) -> dict[int, int]:
+    """The configuration worth most, by the table, that holds length ``k`` and no more pieces than are left.
 
     The table's value may count on more pieces of a length than there are, so the
     last one or two pieces are looked up where that is worth as much, or where the
@@ -170,53 +178,52 @@ def _around(k: int, pool: np.ndarray, prices: np.ndarray, value: np.ndarray, sto
     for j in taken:
         stock.take(j, -1)
     if room and spare:
-        taken, room = taken[: spare[0]] + spare[1], 0
-    return {j: taken.count(j) for j in taken}, room
+        taken = taken[: spare[0]] + spare[1]
+    return {j: taken.count(j) for j in taken}
 
 
-def _gap(last: np.ndarray, sizes: np.ndarray, capacity: int) -> int:
-    """The gap of a table's best configuration."""
-    room, gap = capacity, 0
-    while room > 0:
-        used = int(sizes[last[room]]) if last[room] >= 0 else 1
-        gap += last[room] < 0
-        room -= used
-    return int(gap)
+def dual_functions(lengths: np.ndarray, capacity: int, steps: int = STEPS) -> Iterator[np.ndarray]:
+    """Prices at which no configuration is worth more than one: the sizes, and for each k the steps of k + 1 parts of the capacity.
+
+    Of pieces that fill more than j of k + 1 parts each, parts add up to k at most,
+    unless they fill the capacity exactly; those that do so count by their size.
+    """
+    yield lengths / capacity
+    for k in range(1, steps + 1):
+        parts = (k + 1) * lengths
+        yield np.where(parts % capacity == 0, lengths / capacity, parts // capacity / k)
 
 
 def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Program:
-    """Multiplicative weights with knapsack pricing, in whole copies, until no configuration without an avoidable gap is left."""
+    """Multiplicative weights with knapsack pricing, in whole copies, until no tight configuration is left."""
     stock, found = _Stock(lengths, counts, capacity), {}
-    # Prices in proportion to the sizes, and those that count pieces beyond half the capacity, give first bounds.
-    bound = max(float((lengths * counts).sum()) / capacity, float(counts[2 * lengths > capacity].sum()))
+    first = max(dual_functions(lengths, capacity), key=lambda f: float((f * counts).sum()))
+    bound = float((first * counts).sum())
+    base = (1 - FULLER) * first + FULLER * lengths / capacity
+    tight = (1 - SLACK) * float(knapsack(lengths, first, capacity)[0][capacity])
     turn, width_of_pool = 0, POOL
-    rest = (1 - COVER) * float((lengths * counts).sum())
-    while float(lengths @ stock.left) > rest:
+    while stock.left.any():
         share = 1 - stock.left / counts - AHEAD * lengths / capacity
         least = share.min()
-        prices = lengths * np.exp(-STEEP * (share - least))
+        prices = base * np.exp(-STEEP * (share - least))
         if turn % BOUND_EVERY == 0:
             bound = max(bound, float((prices * counts).sum() / knapsack(lengths, prices, capacity)[0][capacity]))
         open_ = int((stock.left > 0).sum())
         lagging = np.argsort(np.where(stock.left > 0, share, np.inf), kind="stable")[: min(width_of_pool, open_)]
         pool = np.sort(lagging)
-        value, last = knapsack(lengths[pool], prices[pool], capacity)
-        if turn == 0:
-            gap = _gap(last, lengths[pool], capacity)  # even the best configuration has it: it can't be avoided
+        value, _ = knapsack(lengths[pool], prices[pool], capacity)
         placed = 0
         for k in lagging.tolist():
-            if float(lengths @ stock.left) <= rest:
-                break
             if not stock.left[k]:
                 continue
-            config, empty = _around(k, pool, prices, value, stock, capacity)
-            if empty > gap:
+            config = _around(k, pool, prices, value, stock, capacity)
+            if sum(first[j] * n for j, n in config.items()) < tight:
                 continue
             width = min(counts[j] / n for j, n in config.items())
             copies = min(max(1, int(STEP * width)), *(int(stock.left[j]) // n for j, n in config.items()))
             for j, n in config.items():
                 stock.take(j, n * copies)
-                prices[j] = lengths[j] * math.exp(-STEEP * (1 - stock.left[j] / counts[j] - AHEAD * lengths[j] / capacity - least))
+                prices[j] = base[j] * math.exp(-STEEP * (1 - stock.left[j] / counts[j] - AHEAD * lengths[j] / capacity - least))
             key = tuple(sorted(config.items()))
             found[key] = found.get(key, 0) + copies
             placed += copies
