@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirelake.operators import fields, graph
-from quirelake.plans.graphs import STAR_SQL, star_graph, table
+from quirelake.plans.graphs import STAR_SQL, plain, shared, star_graph, table
 from quirelake.plans.queries import query
-from quirelake.sources import marc, turtle
+from quirelake.sources import marc, store, turtle
 from quirelake.sources.tables import shared_path
 
 XSD = turtle.XSD
@@ -78,3 +78,36 @@ def numbered_contents(spark, d):
     titled = lines.withColumn("title", F.trim(F.regexp_replace("line", "[0-9):.]+", " "))).where("title <> ''")
     parts = titled.withColumn("form", F.expr(_FORM)).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "form"))), lambda x: x["form"]), "\n").alias("value"))
     return parts.select("doc_id", F.explode(fields.numbered_contents(F.col("value"))).alias("i")).select("doc_id", "i.*")
+
+
+# A table of orders that takes changes made of events; some keys are new.
+_BASE = "SELECT o_orderkey AS id, CAST(0 AS BIGINT) AS seq, o_orderstatus AS status, o_totalprice AS price FROM {orders}"
+_CHANGES = "SELECT user_id * 37 AS id, event_id + 1 AS seq, event_type AS status, value AS price FROM {events}"
+
+
+def _store(spark, d):
+    made = store.create(shared(spark, d, _BASE), shared_path(spark, "store"), "id", buckets=16)
+    changes = shared(spark, d, _CHANGES)
+    made.merge(changes.where("seq % 2 = 0"), "seq")
+    made.merge(changes.where("seq % 2 = 1"), "seq")
+    return made
+
+
+@query(f"WITH w AS ({plain(_BASE)} UNION ALL {plain(_CHANGES)}) SELECT id, seq, status, price FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1")
+def store_upsert(spark, d):
+    return _store(spark, d).read()
+
+
+@query(f"WITH w AS ({plain(_BASE)} UNION ALL {plain(_CHANGES)}), l AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) SELECT id, seq, status, price FROM l WHERE id IN (SELECT p_partkey * 111 FROM part)")
+def store_lookup(spark, d):
+    return _store(spark, d).lookup(table(spark, d, "part").select((F.col("p_partkey") * 111).alias("id")))
+
+
+@query("SELECT s_suppkey % 20 AS id, s_name AS name FROM supplier UNION ALL SELECT c_custkey % 30, c_name FROM customer UNION ALL SELECT c_custkey % 30, c_name FROM customer")
+def name_variants(spark, d):
+    """Name variants appended to a table, with no uniqueness."""
+    variants = table(spark, d, "customer").select((F.col("c_custkey") % 30).alias("id"), F.col("c_name").alias("name"))
+    made = store.create(table(spark, d, "supplier").select((F.col("s_suppkey") % 20).alias("id"), F.col("s_name").alias("name")), shared_path(spark, "variants"), "id", buckets=8)
+    made.append(variants)
+    made.append(variants)
+    return made.read()
