@@ -38,7 +38,7 @@ from .shared import mark, settled, slices, written
 WINDOW = 10
 SEGMENT_WORDS = 1_000_000
 #: Words of the benchmark items searched at once: they bound what is broadcast.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 100_000
 #: How far a term may stand from its place in a proximity match of the registered query.
 SLOP = 2
 
