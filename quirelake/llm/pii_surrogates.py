@@ -140,16 +140,30 @@ def _domain(address: Column) -> Column:
     return F.substring_index(address, "@", -1)
 
 
-def surrogate(key: str, kind: Column, canonical: Column, own: Column, of_domain: Column, extra: int = 0) -> Column:
-    """The surrogate of a canonical form from its drawn digits: longer by ``extra``, and of its kind."""
+def _mod97(text: Column) -> Column:
+    """The remainder by 97 of digits and letters (A is 10) read as one number."""
+    def add(a: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (a * 10 + c.try_cast("int")) % 97).when(c.rlike("[A-Z]"), (a * 100 + F.ascii(c) - 55) % 97).otherwise(a)
+
+    return F.aggregate(F.split(text, ""), F.lit(0), add)
+
+
+def surrogate(key: str, kind: Column, canonical: Column, own: Column, domain: Column, extra: int = 0) -> Column:
+    """The surrogate of a canonical form from its drawn digits: longer by ``extra``, and of its kind.
+
+    ``domain`` is the surrogate of an address's domain.  Card and account numbers
+    with a right check digit get a right one.
+    """
     given, valid = canonical, _luhn(canonical) % 10 == 0
-    local, domain = F.concat(F.substring_index(canonical, "@", 1), F.lit("k" * extra)), _domain(canonical)
+    turned = lambda s: F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 2))
+    valid_iban = _mod97(F.concat(turned(canonical), F.substring(canonical, 3, 2))) == 1
+    local = F.concat(F.substring_index(canonical, "@", 1), F.lit("k" * extra))
+    own_host, top = F.concat(F.regexp_extract(canonical, r"^(.*)\.[^.]*$", 1), F.lit("k" * extra)), F.substring_index(canonical, ".", -1)
     if extra:
         # More of the last character's alphabet; quads don't grow.
         canonical = F.when(kind == "ip", canonical).otherwise(F.concat(canonical, F.repeat(F.substring(canonical, F.lit(-1), F.lit(1)), F.lit(extra))))
     redrawn = _redrawn(canonical, own)
-    host, top = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.substring_index(domain, ".", -1)
-    email = F.concat(_redrawn(local, own), F.lit("@"), _redrawn(host, of_domain), F.lit("."), top)
+    email = F.concat(_redrawn(local, own), F.lit("@"), domain)
     wide = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: _draw(own, i).cast("string"))
     octets = wide if extra else F.transform(F.split(canonical, r"\."), lambda o, i: F.when(F.length(o) == 1, _draw(own, i) % 10).when(F.length(o) == 2, _draw(own, i) % 90 + 10).otherwise(_draw(own, i) % 156 + 100).cast("string"))
     body = F.concat(F.substring(canonical, 1, 1), F.substring(redrawn, F.lit(2), F.length(canonical) - 2))
@@ -158,8 +172,10 @@ def surrogate(key: str, kind: Column, canonical: Column, own: Column, of_domain:
     # The country code (or the first digit) stays.
     code = F.greatest(F.length(F.regexp_extract(canonical, CODE, 0)), F.lit(1))
     phone = F.concat(F.substring(canonical, F.lit(1), code), F.substring(redrawn, code + 1, F.length(canonical)))
-    iban = F.concat(F.substring(canonical, 1, 2), F.substring(redrawn, F.lit(3), F.length(canonical)))
-    out = F.when(kind == "email", email).when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", iban)
+    body_iban = F.substring(redrawn, F.lit(5), F.length(canonical))
+    digits = F.lpad((98 - _mod97(F.concat(body_iban, F.substring(canonical, 1, 2), F.lit("00")))).cast("string"), 2, "0")
+    iban = F.concat(F.substring(canonical, 1, 2), F.when(valid_iban, digits).otherwise(F.substring(redrawn, 3, 2)), body_iban)
+    out = F.when(kind == "email", email).when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "domain", F.concat(_redrawn(own_host, own), F.lit("."), top))
     for (gender, script), names in GIVEN.items():
         turned = F.array(*map(F.lit, names))
         by = F.conv(F.substring(F.sha2(F.lit(f"{key}|{gender}|{script}"), 256), 1, 6), 16, 10).cast("int") % (len(names) - 1) + 1
@@ -211,13 +227,26 @@ def _formatted(form: Column, kind: Column, found: Column) -> Column:
 
 
 def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """``kind, canonical, surrogate`` for distinct ``kind, canonical``: all distinct, none a real entity."""
+    """``kind, canonical, surrogate`` for distinct ``kind, canonical``: all distinct, none a real entity.
+
+    Domains are entities of their own: they are drawn first, and an address takes
+    its domain's surrogate.
+    """
+    emails = entities.where("kind = 'email'").select("canonical", _domain(F.col("canonical")).alias("own_domain"))
+    domains = written(emails.select(F.lit("domain").alias("kind"), F.col("own_domain").alias("canonical")).distinct(), "domains")
+    drawn = _drawn_distinct(domains.withColumn("domain", F.lit(None).cast("string")), key)
+    of_domain = drawn.select(F.col("canonical").alias("own_domain"), F.col("surrogate").alias("domain"))
+    with_domain = emails.join(of_domain.hint("merge"), "own_domain").select(F.lit("email").alias("kind"), "canonical", "domain")
+    return _drawn_distinct(written(entities.where("kind != 'email'").select("kind", "canonical", F.lit(None).cast("string").alias("domain")).unionAll(with_domain), "with-domains"), key)
+
+
+def _drawn_distinct(entities: DataFrame, key: str) -> DataFrame:
     real = entities.select(F.col("canonical").alias("surrogate"), F.lit(True).alias("real")).distinct()
     left, done, turn = entities, None, 0
     while True:
         # The drawn digits are written first: inside the lambdas they would be drawn anew for each character.
-        streams = written(left.select("kind", "canonical", _stream(key, F.col("kind"), F.col("canonical"), F.lit(turn)).alias("own"), _stream(key, F.lit("domain"), _domain(F.col("canonical")), F.lit(0)).alias("of_domain")), "streams")
-        drawn = written(streams.select("kind", "canonical", surrogate(key, F.col("kind"), F.col("canonical"), F.col("own"), F.col("of_domain"), min(max(0, turn + 1 - SAME_FORM), EXTRA)).alias("surrogate")), "drawn")
+        streams = written(left.select("kind", "canonical", "domain", _stream(key, F.col("kind"), F.col("canonical"), F.lit(turn)).alias("own")), "streams")
+        drawn = written(streams.select("kind", "canonical", "domain", surrogate(key, F.col("kind"), F.col("canonical"), F.col("own"), F.col("domain"), min(max(0, turn + 1 - SAME_FORM), EXTRA)).alias("surrogate")), "drawn")
         lists = F.col("kind").startswith("given-")
         first = drawn.where(~lists).groupBy("surrogate").agg(F.min(F.struct("kind", "canonical")).alias("first"))
         checked = drawn.join(first.hint("merge"), "surrogate", "left").join(real.hint("merge"), "surrogate", "left")
@@ -226,10 +255,10 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
         fine = lists | (F.col("real").isNull() & (F.col("first") == F.struct("kind", "canonical")))
         if done is not None:
             fine = lists | (fine & F.col("taken").isNull())
-        checked = written(checked.select("kind", "canonical", "surrogate", fine.alias("fine")), "checked")
-        good = checked.where("fine").drop("fine")
+        checked = written(checked.select("kind", "canonical", "domain", "surrogate", fine.alias("fine")), "checked")
+        good = checked.where("fine").select("kind", "canonical", "surrogate")
         done = good if done is None else done.unionAll(good)
-        left = checked.where("not fine").select("kind", "canonical")
+        left = checked.where("not fine").select("kind", "canonical", "domain")
         turn += 1
         if left.isEmpty():
             return done
