@@ -1,5 +1,7 @@
 """Every registered query with SQL, against DuckDB on the smallest tables."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import duckdb
 import pandas as pd
 import pytest
@@ -19,6 +21,15 @@ def duck():
     return c
 
 
+@pytest.fixture(scope="module")
+def results(spark, request):
+    """The chosen queries' results, several at a time."""
+    names = [i.callspec.params["name"] for i in request.session.items if i.fspath == request.fspath and hasattr(i, "callspec")]
+    pool = ThreadPoolExecutor(6)
+    yield {name: pool.submit(lambda name=name: queries.QUERIES[name](spark, DATA).toPandas()) for name in names}
+    pool.shutdown(cancel_futures=True)
+
+
 def rows(df: pd.DataFrame) -> list:
     def plain(v):
         if isinstance(v, bool) or str(type(v)) == "<class 'numpy.bool'>":
@@ -30,8 +41,8 @@ def rows(df: pd.DataFrame) -> list:
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
-def test_query_matches_sql(spark, duck, name):
-    got = queries.QUERIES[name](spark, DATA).toPandas()
+def test_query_matches_sql(results, duck, name):
+    got = results[name].result()
     wanted = duck.execute(queries.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(wanted.columns)
     assert rows(got) == rows(wanted)
