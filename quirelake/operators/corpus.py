@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType
 
 from quirelake.functions import text
 
@@ -72,7 +73,7 @@ def validated(entities: DataFrame, contexts: DataFrame, key: str, context: str)
     return both.withColumn("found", F.coalesce(F.contains(F.lower(context), F.lower("entity")), F.lit(False))).drop(context)
 
 
-@pandas_udf("array<int>")
+@pandas_udf(ArrayType(IntegerType()))
 def _starts(context: pd.Series, needle: pd.Series) -> pd.Series:
     def places(text: str, part: str) -> list[int]:
         out, at = [], text.find(part)
