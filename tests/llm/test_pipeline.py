@@ -1,4 +1,4 @@
-"""The documents that each stage of the pipeline keeps, against plain Python."""
+"""The documents that each stage keeps, against plain Python."""
 
 import re
 
@@ -20,20 +20,16 @@ def plain_lines(texts):
         for k, f in enumerate(own):
             if f:
                 places.setdefault(f, []).append((i, k))
-    groups: dict = {}
+    leaves: dict = {}
     for f in places:
         if len(f) >= L:
-            cut = [lead + (len(f) - lead) * k // 4 for k in range(5)]
-            q = [f[cut[k] : cut[k + 1]] for k in range(4)]
-            for a in range(4):
-                for b in range(a + 1, 4):
-                    groups.setdefault((len(f), f[:lead], a, b, q[a], q[b]), []).append(f)
+            leaves.setdefault((len(f), f[:lead]), []).append(f)
     keeper = {f: min(p)[0] for f, p in places.items()}
-    for own in groups.values():
-        head = min(own, key=lambda f: min(places[f]))
+    for own in leaves.values():
         for f in own:
-            if 100 * sum(x == y for x, y in zip(f, head, strict=True)) >= line_templates.SIMILAR * len(f):
-                keeper[f] = min(keeper[f], min(places[head])[0])
+            for g in own:
+                if 100 * sum(x == y for x, y in zip(f, g, strict=True)) >= line_templates.SIMILAR * len(f):
+                    keeper[f] = min(keeper[f], min(places[g])[0])
     recurring = {f: keeper[f] for f, p in places.items() if keeper[f] < max(p)[0] and (len(f) >= L or len(p) >= line_templates.OFTEN)}
     first: dict = {}
     for i in sorted(texts):

@@ -1,4 +1,4 @@
-"""Conversations, vectors and the pipeline against brute force."""
+"""Conversations, vectors and the chain of stages against brute force."""
 
 import hashlib
 
