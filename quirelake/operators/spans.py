@@ -155,17 +155,19 @@ def training_samples(df: DataFrame, key: str, text: str, chosen: DataFrame) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k, content, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = [(m.start(), m.end()) for m in re.finditer(r"\S+", content)]
-                starts, tags = [a for a, _ in tokens], ["O"] * len(tokens)
-                for s in spans:
-                    first, last = bisect_right(starts, s["start"]) - 1, bisect_right(starts, s["end"] - 1) - 1
-                    if first >= 0 and s["start"] < tokens[first][1] and s["end"] - 1 < tokens[last][1]:
-                        tags[first : last + 1] = [f"B-{s['label']}", *[f"I-{s['label']}"] * (last - first)]
-                out.append((k, [content[a:b] for a, b in tokens], tags))
-            columns = list(zip(*out, strict=True)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.list_(pa.string())), pa.array(columns[2], pa.list_(pa.string()))], names=["key", "tokens", "tags"])
+            # A batch may hold thousands of texts: their tokens are made, and sent, a few texts at a time.
+            for at in range(0, batch.num_rows, 64):
+                out = []
+                for k, content, spans in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                    tokens = [(m.start(), m.end()) for m in re.finditer(r"\S+", content)]
+                    starts, tags = [a for a, _ in tokens], ["O"] * len(tokens)
+                    for s in spans:
+                        first, last = bisect_right(starts, s["start"]) - 1, bisect_right(starts, s["end"] - 1) - 1
+                        if first >= 0 and s["start"] < tokens[first][1] and s["end"] - 1 < tokens[last][1]:
+                            tags[first : last + 1] = [f"B-{s['label']}", *[f"I-{s['label']}"] * (last - first)]
+                    out.append((k, [content[a:b] for a, b in tokens], tags))
+                columns = list(zip(*out, strict=True)) if out else [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.list_(pa.string())), pa.array(columns[2], pa.list_(pa.string()))], names=["key", "tokens", "tags"])
 
     from bisect import bisect_right
 

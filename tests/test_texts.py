@@ -267,3 +267,27 @@ def test_turtle_round_trip(spark, tmp_path):
         turtle.write_turtle(triples, str(tmp_path / str(n)), prefixes)
         got = turtle.read_turtle(spark, str(tmp_path / str(n)), scoped=False)
         assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_training_samples_leave_in_small_batches(spark):
+    """The texts of a large batch aren't tokenised all at once."""
+    texts = spark.range(500).selectExpr("id AS key", "'Ann Lee of x' AS text").coalesce(1)
+    chosen = spark.range(500).selectExpr("id AS key", "0L AS start", "7L AS end", "'P' AS label").coalesce(1)
+    seen = []
+
+    class Rows:
+        def __init__(self, df):
+            self.df = df
+
+        def mapInArrow(self, run, schema):
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_pylist([r.asDict(recursive=True) for r in self.df.collect()])
+            seen.extend(b.num_rows for b in run(iter([batch])))
+            return self.df
+
+    from unittest import mock
+
+    with mock.patch("pyspark.sql.classic.dataframe.DataFrame.mapInArrow", lambda df, run, schema: Rows(df).mapInArrow(run, schema)):
+        spans.training_samples(texts, "key", "text", chosen)
+    assert sum(seen) == 500 and max(seen) <= 64
