@@ -42,3 +42,10 @@ def test_predicates_counted_inside_records(spark):
 
 def test_no_key_is_the_predicate_of_a_link():
     assert not {f"has_{kind}" for _, kind, *_ in records.WANTED} & {key for *_, key, _ in records.WANTED}
+
+
+@pytest.mark.parametrize("name", ["record_facts", "manuscript_labels", "manuscript_claims"])
+def test_records_are_dealt_to_all_tasks(spark, name):
+    """A stated number of partitions: adaptive execution would join those of few bytes, though each record costs a millisecond."""
+    plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
