@@ -67,9 +67,8 @@ def of_authority(*, heb: Column, lat: Column, variants: Column, dates: Column, b
 _TEXT = "array<struct<text:string>>"
 
 
-def _many(json: Column, path: str) -> Column:
-    """What a path holds, one object or several, as a JSON array."""
-    held = F.get_json_object(json, path)
+def _many(held: Column) -> Column:
+    """What a path held, one object or several, as a JSON array."""
     return F.when(held.startswith("["), held).otherwise(F.concat(F.lit("["), held, F.lit("]")))
 
 
@@ -77,14 +76,26 @@ def of_cluster(json: Column) -> Column:
     """From a cluster's JSON, where a list of one may stand as its element, or under one outer key."""
     inner = F.coalesce(F.get_json_object(json, "$.viafCluster"), F.get_json_object(json, "$.*"), json)
     body = F.when(F.get_json_object(json, "$.viafID").isNotNull() | F.get_json_object(json, "$.mainHeadings").isNotNull(), json).otherwise(inner)
-    texts = lambda path: F.transform(F.from_json(_many(body, path), _TEXT), lambda h: h["text"])
-    subfields = F.from_json(_many(body, "$.x400s.x400"), "array<struct<datafield:struct<subfield:string>>>")
-    other = F.flatten(F.transform(subfields, lambda x: F.transform(F.from_json(F.when(x["datafield"]["subfield"].startswith("["), x["datafield"]["subfield"]).otherwise(F.concat(F.lit("["), x["datafield"]["subfield"], F.lit("]"))), "array<struct<`#text`:string>>"), lambda t: t["#text"])))
-    date = lambda path: F.when(~F.get_json_object(body, path).isin("0", "00000000", ""), F.get_json_object(body, path))
+    # Bound by lambdas, the body is found once for all its paths, and what a path holds is found once too.
+    held = F.transform(F.array(body), lambda b: F.struct(*(F.get_json_object(b, path).alias(name) for name, path in _PATHS.items())))
+    return F.get(F.transform(held, _of_body), 0)
+
+
+#: What a cluster's body holds.
+_PATHS = {
+    "country": "$.nationalityOfEntity.data", "headings": "$.mainHeadings.data", "others": "$.x400s.x400", "occupation": "$.occupation.data", "activity": "$.fieldOfActivity.data", "birth": "$.birthDate", "death": "$.deathDate", "id": "$.viafID",
+}
+
+
+def _of_body(held: Column) -> Column:
+    texts = lambda name: F.transform(F.from_json(_many(held[name]), _TEXT), lambda h: h["text"])
+    subfields = F.from_json(_many(held["others"]), "array<struct<datafield:struct<subfield:string>>>")
+    other = F.flatten(F.transform(subfields, lambda x: F.transform(F.from_json(_many(x["datafield"]["subfield"]), "array<struct<`#text`:string>>"), lambda t: t["#text"])))
+    date = lambda name: F.when(~held[name].isin("0", "00000000", ""), held[name])
     none = F.array().cast(LIST)
     return snapshot(
-        dates={"birth": date("$.birthDate"), "death": date("$.deathDate")}, places={"country": _list(texts("$.nationalityOfEntity.data"))}, names=F.concat(F.coalesce(texts("$.mainHeadings.data"), none), F.coalesce(other, none)),
-        occupations=F.coalesce(texts("$.occupation.data"), none), notes=[("VIAF: ", F.get_json_object(body, "$.viafID"))], more_notes=F.transform(F.coalesce(texts("$.fieldOfActivity.data"), none), lambda t: F.concat(F.lit("field: "), t)),
+        dates={"birth": date("birth"), "death": date("death")}, places={"country": _list(texts("country"))}, names=F.concat(F.coalesce(texts("headings"), none), F.coalesce(other, none)),
+        occupations=F.coalesce(texts("occupation"), none), notes=[("VIAF: ", held["id"])], more_notes=F.transform(F.coalesce(texts("activity"), none), lambda t: F.concat(F.lit("field: "), t)),
     )
 
 

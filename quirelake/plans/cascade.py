@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quirelake.operators import biodata, cascade
 from quirelake.plans.graphs import plain, shared
 from quirelake.plans.queries import query, table
+from quirelake.sources.tables import dealt
 
 
 _NAMED = "SELECT c_custkey AS k, p_name || ' ' || lower(c_mktsegment) AS name FROM {customer} JOIN {part} ON p_partkey = c_custkey % 97"
@@ -130,7 +131,7 @@ def authority_biodata(spark, d):
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN CAST(1000 + c_custkey % 500 AS VARCHAR) END AS birth, CAST(NULL AS VARCHAR) AS death, CAST(NULL AS VARCHAR) AS date_range, CASE WHEN c_custkey % 2 = 0 THEN 'דוד' ELSE '' END AS he, c_name || CASE WHEN c_custkey % 2 = 0 THEN '|' || c_mktsegment ELSE '' END AS lat,
 'country=' || n_name AS places, lower(c_mktsegment) AS occupations, 'VIAF: ' || c_custkey || '|field: ' || c_mktsegment AS notes FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def cluster_biodata(spark, d):
-    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = dealt(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "c_custkey").join(F.broadcast(table(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
     even = F.col("c_custkey") % 2 == 0
     one = F.concat(F.lit('{"text":"'), "c_name", F.lit('"}'))
     head = F.when(even, F.concat(F.lit("["), one, F.lit(',{"text":"דוד"}]'))).otherwise(one)
