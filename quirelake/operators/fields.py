@@ -87,25 +87,29 @@ def numbered_contents(value: Column) -> Column:
     where known; א becomes r and ב v.  If no part has that form, each numbered part
     is an item with the range it names, if any, and without its two ends.
     """
-    whole = r"(?s)(\d+)\)\s*דף\s*\[?(\d+)\]?([אב]?)[-–]\[?(\d+)\]?([אב]?):\s*(.+?)(?=\d+\)|$)"
-    loose = r"(?s)(\d+)\)\s*(.+?)(?=\d+\)|$)"
-    every = lambda p, k: F.regexp_extract_all(value, F.lit(p), F.lit(k))
+    head = r"(\d+)\)\s*דף\s*\[?(\d+)\]?([אב]?)[-–]\[?(\d+)\]?([אב]?):"
+    until = r"(.+?)(?=\d+\)|$)"
+    every = lambda p: F.regexp_extract_all(value, F.lit(p), F.lit(0))
     side = lambda c: F.translate(c, "אב", "rv")
-    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), r"\.+$", "")
-    ends = lambda n, s: F.zip_with(every(whole, n), every(whole, s), lambda a, b: F.concat(a, side(b)))
-    parts = F.arrays_zip(every(whole, 1).alias("n"), every(whole, 6).alias("t"), ends(2, 3).alias("a"), ends(4, 5).alias("b"))
-    exact = F.transform(parts, lambda p: F.struct(p["n"].cast("int").alias("sequence"), bare(p["t"]).alias("title"), F.concat_ws("-", p["a"], p["b"]).alias("folio_range"), p["a"].alias("folio_start"), p["b"].alias("folio_end")))
+    trimmed = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     folio = r"דף\s*\[?(\d+[אב]?)\]?\s*[-–]\s*\[?(\d+[אב]?)\]?"
     no = F.lit(None).cast("string")
 
+    # The text is searched once for each form; groups are taken from the parts, which end where the search ended.
+    def exact(p: Column) -> Column:
+        group = lambda k: F.regexp_extract(p, f"^{head}", k)
+        first, last = F.concat(group(2), side(group(3))), F.concat(group(4), side(group(5)))
+        title = F.regexp_replace(trimmed(F.regexp_extract(p, rf"(?s)^{head}\s*(.+)\z", 6)), r"\.+$", "")
+        return F.struct(group(1).cast("int").alias("sequence"), title.alias("title"), F.concat_ws("-", first, last).alias("folio_range"), first.alias("folio_start"), last.alias("folio_end"))
+
     def plain(p: Column) -> Column:
-        named = p["t"].rlike(folio)
-        range_ = F.when(named, side(F.concat_ws("-", F.regexp_extract(p["t"], folio, 1), F.regexp_extract(p["t"], folio, 2))))
-        title = F.when(p["t"].rlike(r":\s*."), F.regexp_replace(F.regexp_extract(p["t"], r":\s*(.+)", 1), r"(?U)^\s+|\s+$", "")).otherwise(F.regexp_replace(p["t"], r"(?U)^\s+|\s+$", ""))
-        return F.struct(p["n"].cast("int").alias("sequence"), F.regexp_replace(title, r"\.+$", "").alias("title"), range_.alias("folio_range"), no.alias("folio_start"), no.alias("folio_end"))
+        n, t = F.regexp_extract(p, r"^(\d+)\)", 1), F.regexp_extract(p, r"(?s)^\d+\)\s*(.+)\z", 1)
+        range_ = F.when(t.rlike(folio), side(F.concat_ws("-", F.regexp_extract(t, folio, 1), F.regexp_extract(t, folio, 2))))
+        title = trimmed(F.when(t.rlike(r":\s*."), F.regexp_extract(t, r":\s*(.+)", 1)).otherwise(t))
+        return F.struct(n.cast("int").alias("sequence"), F.regexp_replace(title, r"\.+$", "").alias("title"), range_.alias("folio_range"), no.alias("folio_start"), no.alias("folio_end"))
 
-    fallback = F.transform(F.arrays_zip(every(loose, 1).alias("n"), every(loose, 2).alias("t")), plain)
-    return F.when(F.size(exact) > 0, exact).otherwise(fallback)
+    found = F.array(every(rf"(?s){head}\s*{until}"))
+    return F.flatten(F.transform(found, lambda parts: F.when(F.size(parts) > 0, F.transform(parts, exact)).otherwise(F.transform(every(rf"(?s)(\d+)\)\s*{until}"), plain))))
 
 
 def canonical_references(note: Column, books: list[str]) -> Column:

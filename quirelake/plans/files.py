@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quirelake.operators import fields, graph
@@ -74,9 +76,11 @@ _FORM = "CASE WHEN doc_id % 3 = 2 THEN n || ') ' || title || CASE WHEN n % 2 = 0
 SELECT doc_id, CAST(n AS INT) AS sequence, CASE WHEN doc_id % 3 = 2 AND n % 2 = 0 THEN title || ' דף [' || n || 'א] - ' || (n + 1) ELSE title END AS title, CASE WHEN doc_id % 3 <> 2 THEN n || 'r-' || (n + 3) || CASE WHEN n % 2 = 0 THEN 'v' ELSE '' END WHEN n % 2 = 0 THEN n || 'r-' || (n + 1) END AS folio_range,
   CASE WHEN doc_id % 3 <> 2 THEN n || 'r' END AS folio_start, CASE WHEN doc_id % 3 <> 2 THEN (n + 3) || CASE WHEN n % 2 = 0 THEN 'v' ELSE '' END END AS folio_end FROM t""")
 def numbered_contents(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("n", F.col("at") + 1)
-    titled = lines.withColumn("title", F.trim(F.regexp_replace("line", "[0-9):.]+", " "))).where("title <> ''")
-    parts = titled.withColumn("form", F.expr(_FORM)).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "form"))), lambda x: x["form"]), "\n").alias("value"))
+    # Lines stay in their text's row: no shuffle brings them together again.
+    lines = F.transform(F.split("text", "\n"), lambda line, at: F.struct((at + 1).alias("n"), F.trim(F.regexp_replace(line, "[0-9):.]+", " ")).alias("title")))
+    titled = table(spark, d, "documents").select("doc_id", F.filter(lines, lambda x: x["title"] != "").alias("titled"))
+    form = re.sub(r"\b(n|title)\b", r"x.\1", _FORM)
+    parts = titled.select("doc_id", F.expr(f"array_join(transform(titled, x -> {form}), '\n')").alias("value"))
     return parts.select("doc_id", F.explode(fields.numbered_contents(F.col("value"))).alias("i")).select("doc_id", "i.*")
 
 

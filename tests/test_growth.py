@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quirelake.operators import biodata
+from quirelake.operators import biodata, fields
 from quirelake.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -23,3 +23,18 @@ def test_cluster_body_is_found_once(spark):
 
 def test_clusters_are_dealt_to_all_tasks(spark):
     assert "REPARTITION_BY_NUM" in plan(queries.QUERIES["cluster_biodata"](spark, DATA))
+
+
+def test_numbered_contents_shuffle_nothing(spark):
+    assert "Exchange" not in plan(queries.QUERIES["numbered_contents"](spark, DATA))
+
+
+def test_numbered_contents_search_a_text_once_for_each_form(spark):
+    rows = spark.createDataFrame([("1) דף [2]א-[4]ב: one.\n\n2) דף 5-6:\n7) x",), ("1) a: b..\n2) דף 3א-4 c\n",), ("1)",), ("",), (None,)], "v string")
+    found = rows.select(fields.numbered_contents(F.col("v")).alias("c"))
+    assert plan(found).count("regexp_extract_all") == 2
+    assert [r["c"] and [tuple(x) for x in r["c"]] for r in found.collect()] == [
+        [(1, "one", "2r-4v", "2r", "4v"), (2, "7) x", "5-6", "5", "6")],
+        [(1, "b", None, None, None), (2, "דף 3א-4 c", "3r-4", None, None)],
+        [], [], None,
+    ]
