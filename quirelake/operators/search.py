@@ -24,6 +24,10 @@ BOUNDARIES = frozenset(" \t\n.,;:\"|()[]")
 LEAST_NAME, LEAST_WORD, NEAR = 3, 3, 30
 #: Words of the longest window.
 MOST_WORDS = 9
+#: Words of the texts that are searched side by side, about.
+BLOCK_WORDS = 8_000
+#: Letters after which starts that can't reach the best score any more are left out.
+CHECK_STEPS = 8
 
 
 class NameSearch:
@@ -123,31 +127,121 @@ def record_matches(df: DataFrame, key: str, text: str, names: str) -> DataFrame:
     return rows.mapInArrow(run, f"key {kind}, name string, start long, end long, exact boolean")
 
 
-def _common_lengths(name: np.ndarray, text: np.ndarray, starts: np.ndarray, steps: int) -> Iterator[np.ndarray]:
-    """After each step, the longest common subsequence of a name and of the text from each start on.
-
-    One bit for each letter of the name, in words of 64; a cleared bit is a letter matched.
+class _Wanted:
+    """A name and a text as numbers, with the text's words and the letters' places in the name, one bit each in words of 64."""
+
+    def __init__(self, name: str, context: str, threshold: float, most_words: int):
+        name_ = np.array([ord(c) for c in name.lower().strip()], np.int64)
+        self.words = [m.span() for m in re.finditer(r"\S+", context)]
+        self.length = len(name_) if self.words else 0
+        if not self.length:
+            return
+        lowered = [context[a:b].lower() for a, b in self.words]
+        text = np.array([ord(c) for c in " ".join(lowered)], np.int64)
+        sizes = np.array([len(w) for w in lowered])
+        self.starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        self.ends = self.starts + sizes
+        # 2 * common / (both lengths) >= threshold bounds a window's length, since common is at most the name's length.
+        longest = int(self.length * (2 - threshold) / threshold + 1e-9) if threshold > 0 else len(text)
+        order = np.arange(len(self.words))
+        self.last = np.minimum(np.searchsorted(self.ends, self.starts + longest, side="right"), np.minimum(order + most_words, len(order)))  # windows end before word `last`
+        self.steps = int((np.where(self.last > order, self.ends[np.maximum(self.last - 1, 0)], self.starts) - self.starts).max(initial=0))
+        letters, places = np.unique(name_, return_inverse=True)
+        masks = np.zeros((-(-self.length // 64), len(letters) + 1), np.uint64)
+        for at, letter in enumerate(places.tolist()):
+            masks[at // 64, letter] |= np.uint64(1 << (at % 64))
+        at = np.minimum(np.searchsorted(letters, text), len(letters) - 1)
+        self.held = masks[:, np.where(letters[at] == text, at, len(letters))]
+
+
+def _best_of(block: list[_Wanted], threshold: float) -> list[tuple[float, int, int]]:
+    """For each text ``score, first word, last word`` of its best window (-1: none), all starts of all texts a letter further each step.
+
+    A cleared bit of a row is a letter of the name that is matched.
     """
-    words = -(-len(name) // 64)
-    letters, places = np.unique(name, return_inverse=True)
-    masks = np.zeros((len(letters) + 1, words), np.uint64)
-    for at, letter in enumerate(places.tolist()):
-        masks[letter, at // 64] |= np.uint64(1 << (at % 64))
-    at = np.minimum(np.searchsorted(letters, text), len(letters) - 1)
-    number = np.append(np.where(letters[at] == text, at, len(letters)), len(letters))  # beyond the text nothing matches
-    rows = np.full((words, len(starts)), ~np.uint64(0))
-    full = [np.uint64((1 << min(64, len(name) - 64 * w)) - 1) for w in range(words)]
-    for step in range(steps):
-        own = masks[number[np.minimum(starts + step, len(text))]]
-        carry = np.zeros(len(starts), np.uint64)
-        for w in range(words):
-            hit = rows[w] & own[:, w]
+    steps, size = max(x.steps for x in block), max(len(x.held) for x in block)
+    pad = steps + 2  # beyond a text nothing matches and no word ends
+    lengths = [x.held.shape[1] + pad for x in block]
+    held, word_end = np.zeros((size, sum(lengths)), np.uint64), np.full(sum(lengths), -1)
+    at, own, last, doc = [], [], [], []
+    offset = 0
+    for k, (x, length) in enumerate(zip(block, lengths, strict=True)):
+        held[: len(x.held), offset : offset + x.held.shape[1]] = x.held
+        word_end[offset + x.ends] = np.arange(len(x.words))
+        at.append(x.starts + offset)
+        own.append(np.arange(len(x.words)))
+        last.append(x.last)
+        doc.append(np.full(len(x.words), k))
+        offset += length
+    at, own, last, doc = (np.concatenate(c) for c in (at, own, last, doc))
+    named = np.array([x.length for x in block])
+    full = np.array([[(1 << min(64, max(0, x.length - 64 * w))) - 1 for x in block] for w in range(size)], np.uint64)
+    rows = [np.full(len(at), ~np.uint64(0)) for _ in range(size)]
+    common = lambda some: sum(np.bitwise_count(~r[some] & f[doc[some]]).astype(np.int64) for r, f in zip(rows, full, strict=True))
+    best, least = [(0.0, -1, -1)] * len(block), np.full(len(block), float(threshold))
+    for step in range(1, steps + 1):
+        carry = None
+        for w in range(size):
+            hit = held[w].take(at)
+            hit &= rows[w]
             total = rows[w] + hit
-            over = total < rows[w]
-            total = total + carry
-            carry = (over | (total < carry)).astype(np.uint64)
-            rows[w] = total | (rows[w] & ~own[:, w])
-        yield sum(np.bitwise_count(~rows[w] & full[w]).astype(np.int64) for w in range(words))
+            if size > 1:
+                over = total < hit
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                carry = over.astype(np.uint64)
+            hit ^= rows[w]
+            total |= hit
+            rows[w] = total
+        at += 1
+        closing = word_end.take(at)
+        some = np.flatnonzero((closing >= 0) & (closing < last))
+        score = 2 * common(some) / (named[doc[some]] + step)
+        good = np.flatnonzero(score >= least[doc[some]])
+        if len(good):
+            some, score = some[good], score[good]
+            order = np.lexsort((own[some], -score, doc[some]))  # a text's highest score, then its first start
+            for i in order[np.unique(doc[some][order], return_index=True)[1]].tolist():
+                k, found = int(doc[some[i]]), (float(score[i]), int(own[some[i]]), int(closing[some[i]]))
+                if found[0] > best[k][0] or found[1:] < best[k][1:]:
+                    best[k], least[k] = found, max(threshold, found[0])
+        if step % CHECK_STEPS == 0 and threshold > 0:
+            # What a start left unmatched stays so; a score of `least` bounds how much that may be, were all other letters matched.
+            most = 2 * named * (1 - least) / least + 1e-6
+            kept = np.flatnonzero(step - common(slice(None)) <= most[doc])
+            if len(kept) < 0.8 * len(at):
+                rows, at, own, last, doc = [r[kept] for r in rows], at[kept], own[kept], last[kept], doc[kept]
+                if not len(kept):
+                    break
+    return best
+
+
+def best_of_each(pairs: list[tuple[str | None, str | None]], threshold: float = 0.6, most_words: int = MOST_WORDS) -> list[tuple[float, int, int] | None]:
+    """``best_window`` of each name and context: texts are searched side by side, so that a short one costs no steps of its own."""
+    found: list[tuple[float, int, int] | None] = [None] * len(pairs)
+    block: list[tuple[int, _Wanted]] = []
+
+    def end() -> None:
+        for (k, x), (score, first, last) in zip(block, _best_of([x for _, x in block], threshold) if block else [], strict=True):
+            found[k] = (score, x.words[first][0], x.words[last][1]) if first >= 0 else None
+        block.clear()
+
+    for k, (name, context) in enumerate(pairs):
+        if not name or not context:
+            continue
+        lowered = context.lower()
+        at = lowered.find(name.lower())
+        if at >= 0 and len(lowered) == len(context):
+            found[k] = 1.0, at, at + len(name)
+            continue
+        x = _Wanted(name, context, threshold, most_words)
+        if x.length:
+            block.append((k, x))
+        if sum(len(x.words) for _, x in block) >= BLOCK_WORDS:
+            end()
+    end()
+    return found
 
 
 def best_window(name: str, context: str, threshold: float = 0.6, most_words: int = MOST_WORDS) -> tuple[float, int, int] | None:
@@ -158,41 +252,7 @@ def best_window(name: str, context: str, threshold: float = 0.6, most_words: int
     both lengths; of equal scores the first start, then the shortest, wins.  Runs of
     blanks in the context count as one; offsets are those of the context itself.
     """
-    if not name or not context:
-        return None
-    at = context.lower().find(name.lower())
-    if at >= 0 and len(context.lower()) == len(context):
-        return 1.0, at, at + len(name)
-    wanted = np.array([ord(c) for c in name.lower().strip()], np.int64)
-    words = [m.span() for m in re.finditer(r"\S+", context)]
-    if not words or not len(wanted):
-        return None
-    lowered = [context[a:b].lower() for a, b in words]
-    text = np.array([ord(c) for c in " ".join(lowered)], np.int64)
-    sizes = np.array([len(w) for w in lowered])
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    ends = starts + sizes
-    # 2 * common / (both lengths) >= threshold bounds a window's length, since common is at most the name's length.
-    longest = int(len(wanted) * (2 - threshold) / threshold + 1e-9) if threshold > 0 else len(text)
-    last = np.minimum(np.searchsorted(ends, starts + longest, side="right"), np.minimum(np.arange(len(words)) + most_words, len(words)))  # windows end before word `last`
-    steps = int((np.where(last > np.arange(len(words)), ends[np.maximum(last - 1, 0)], starts) - starts).max(initial=0))
-    word_end = np.full(len(text) + 1, -1)
-    word_end[ends] = np.arange(len(words))
-    best: tuple[float, int, int] = (0.0, -1, -1)
-    for step, common in enumerate(_common_lengths(wanted, text, starts, steps), 1):
-        stops = np.minimum(starts + step, len(text))
-        closing = word_end[stops]
-        some = np.flatnonzero((closing >= 0) & (closing < last) & (starts + step <= len(text)))
-        if not len(some):
-            continue
-        score = 2 * common[some] / (len(wanted) + step)
-        top = score.max()
-        if top >= threshold and top >= best[0]:
-            word = int(some[np.flatnonzero(score == top)[0]])
-            found = (float(top), word, int(closing[word]))
-            if top > best[0] or found[1:] < best[1:]:
-                best = found
-    return (best[0], words[best[1]][0], words[best[2]][1]) if best[1] >= 0 else None
+    return best_of_each([(name, context)], threshold, most_words)[0]
 
 
 def best_windows(pairs: DataFrame, key: str, name: str, context: str, threshold: float = 0.6) -> DataFrame:
@@ -204,7 +264,8 @@ def best_windows(pairs: DataFrame, key: str, name: str, context: str, threshold:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                found = [(k, n, hit[0], *hit[1:]) for k, n, c in zip(*(x.to_pylist() for x in part.columns), strict=True) if (hit := best_window(n, c, threshold))]
+                keys, own, contexts = (x.to_pylist() for x in part.columns)
+                found = [(k, n, *hit) for k, n, hit in zip(keys, own, best_of_each(list(zip(own, contexts, strict=True)), threshold), strict=True) if hit]
                 columns = list(zip(*found, strict=True)) if found else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, pa.string(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=names)
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quirelake.operators import biodata, fields
+from quirelake.operators import biodata, fields, search
 from quirelake.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -38,3 +38,10 @@ def test_numbered_contents_search_a_text_once_for_each_form(spark):
         [(1, "b", None, None, None), (2, "דף 3א-4 c", "3r-4", None, None)],
         [], [], None,
     ]
+
+
+def test_windows_of_texts_side_by_side():
+    """Many short texts in one block: each as if searched alone, and in steps shared by all."""
+    pairs = [("rvr bank", f"{'x ' * (k % 5)}the river bank {k}") for k in range(200)] + [("", "a"), ("abc", None), ("longer name " * 8, "some longr name " * 9), ("zz", "no such"), ("Bank", "a bank")]
+    alone = [search.best_window(*p) if all(p) else None for p in pairs]
+    assert search.best_of_each(pairs) == alone and alone[0] == (round(16 / 18, 16), 4, 14) and alone[-2:] == [None, (1.0, 2, 6)]
