@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quirelake.operators import biodata, fields, search
+from quirelake.operators import biodata, fields, graph, search
 from quirelake.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -45,3 +45,10 @@ def test_windows_of_texts_side_by_side():
     pairs = [("rvr bank", f"{'x ' * (k % 5)}the river bank {k}") for k in range(200)] + [("", "a"), ("abc", None), ("longer name " * 8, "some longr name " * 9), ("zz", "no such"), ("Bank", "a bank")]
     alone = [search.best_window(*p) if all(p) else None for p in pairs]
     assert search.best_of_each(pairs) == alone and alone[0] == (round(16 / 18, 16), 4, 14) and alone[-2:] == [None, (1.0, 2, 6)]
+
+
+def test_degrees_hold_no_whole_edges(spark):
+    edges = spark.createDataFrame([("a", "b", "p"), ("a", "b", "p"), ("a", "a", "p"), ("c", "a", "q"), ("x", "y", "p")], "source string, target string, predicate string")
+    found = graph.degrees(spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "uri string"), edges)
+    assert "predicate" not in plan(found).split("Scan")[0] and "hashpartitioning(source" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == [("a", 4), ("b", 2), ("c", 1), ("d", 0)]
