@@ -6,7 +6,8 @@ the segment holds the ascending positions of its postings (as steps), a row of a
 written table.  A benchmark item is searched as windows of consecutive words: the
 window's rarest term (by counts over the whole corpus) gives the candidate
 positions, and the postings of its other terms, shifted by their offsets, are
-intersected with these, rarest first: an exact phrase match.
+intersected with these, rarest first: an exact phrase match.  Windows whose rarest
+terms stand alike, as neighbours in an item do, share these intersections.
 
 A proximity match needs each of the window's terms within ``slop`` words of its
 place, counted from an occurrence of the rarest term (the first of its rank in
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,50 +59,62 @@ def words(text: str | bytes | None) -> list[bytes]:
     return (text.encode() if isinstance(text, str) else text).translate(_FOLD).split()
 
 
-class _Numbers(dict):
-    """Terms numbered as they come."""
-
-    def __missing__(self, term: bytes) -> int:
-        value = self[term] = len(self)
-        return value
+def _words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts, one after the other, and the number of each text's: ``words`` without Python objects."""
+    texts = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_binary()), b"")])
+    _, offsets, data = texts.buffers()
+    # A byte becomes a byte, so that the texts keep their places.
+    folded = (data.to_pybytes() if data else b"").translate(_FOLD)
+    parts = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, pa.py_buffer(folded)], offset=texts.offset))
+    found, sizes = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.greater(pc.binary_length(found), 0)  # blanks at a text's ends leave empty parts
+    counts = np.bincount(np.repeat(np.arange(len(texts)), sizes)[full.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    return found.filter(full).cast(pa.large_binary()), counts
 
 
 def _indexer(gap: int, segment_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _Numbers()
-        terms: list[np.ndarray] = []
+        held: list[pa.Array] = []
         docs: list = []
-        counts: list[int] = []
+        counts: list[np.ndarray] = []
         n = 0
 
         def segment() -> Iterator[pa.RecordBatch]:
             name = uuid.uuid4().hex
-            stream = np.concatenate([*terms, np.zeros(0, np.int32)])
-            at = np.flatnonzero(stream >= 0)
-            order = at[np.argsort(stream[at], kind="stable")].astype("<u4")
-            sizes = np.bincount(stream[at], minlength=len(number))
-            ends = np.concatenate([[0], 4 * np.cumsum(sizes)])
+            own_counts = np.concatenate(counts)
+            encoded = pa.concat_arrays(held).dictionary_encode()
+            terms, stream = encoded.dictionary.cast(pa.binary()), encoded.indices.to_numpy()
+            places = np.arange(len(stream)) + gap * np.repeat(np.arange(len(docs)), own_counts)
+            order = places[np.argsort(stream, kind="stable")]
+            sizes = np.bincount(stream, minlength=len(terms))
+            ends = np.concatenate([[0], np.cumsum(sizes)])
             # Each term's positions as steps, which compress better.
-            steps = np.diff(order.astype(np.int64), prepend=0)
-            steps[(ends[:-1] // 4)[sizes > 0]] = order[(ends[:-1] // 4)[sizes > 0]]
-            postings = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(steps.astype("<u4"))]).cast(pa.binary())
-            own = [pa.array([name] * len(sizes)), pa.array(list(number), pa.binary()), pa.array(sizes, pa.int64()), postings, pa.nulls(len(sizes), pa.list_(pa.string()))]
+            steps = np.diff(order, prepend=0)
+            steps[ends[:-1]] = order[ends[:-1]]
+            postings = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer((4 * ends).astype(np.int64)), pa.py_buffer(steps.astype("<u4"))]).cast(pa.binary())
+            own = [pa.array([name] * len(sizes)), terms, pa.array(sizes, pa.int64()), postings, pa.nulls(len(sizes), pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(own, schema=_INDEX)
-            head = ([name], [None], [len(docs)], [np.asarray(counts, "<u4").tobytes()], [docs])
+            head = ([name], [None], [len(docs)], [own_counts.astype("<u4").tobytes()], [docs])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(head, _INDEX, strict=True)], schema=_INDEX)
 
         for batch in slices(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                own = words(text)
-                ids = np.full(len(own) + gap, -1, np.int32)
-                ids[: len(own)] = np.fromiter(map(number.__getitem__, own), np.int32, len(own))
-                terms.append(ids)
-                docs.append(None if doc is None else str(doc))  # as text, a null among numbers stays exact in pandas
-                counts.append(len(own))
-                n += len(ids)
+            found, sizes = _words_of(batch.column(1))
+            ids = [None if doc is None else str(doc) for doc in batch.column(0).to_pylist()]  # as text, a null among numbers stays exact in pandas
+            ends = np.cumsum(sizes)
+            filled = np.cumsum(sizes + gap)
+            at = 0
+            while at < len(ids):
+                # Up to the document that fills the segment.
+                end = min(len(ids), int(np.searchsorted(filled, (filled[at - 1] if at else 0) + segment_words - n)) + 1)
+                first = int(ends[at - 1]) if at else 0
+                held.append(found.slice(first, int(ends[end - 1]) - first))
+                docs += ids[at:end]
+                counts.append(sizes[at:end])
+                n += int(filled[end - 1] - (filled[at - 1] if at else 0))
+                at = end
                 if n >= segment_words:
                     yield from segment()
-                    number, terms, docs, counts, n = _Numbers(), [], [], [], 0
+                    held, docs, counts, n = [], [], [], 0
         if docs:
             yield from segment()
 
@@ -123,48 +137,126 @@ def item_windows(items: list[tuple[str, str]], window: int = WINDOW) -> dict[tup
     return {w: sorted(i) for w, i in found.items()}
 
 
-def _matcher(anchored: dict[bytes, list], gap: int, slop: int):
+def window_tree(windows: dict[tuple[bytes, ...], list[str]], counts: dict[bytes, int]) -> tuple[dict[bytes, int], list[tuple[list[str], list]]]:
+    """The windows as paths of terms, rarest first: roots by the rarest term, and nodes ``items, [(term, offset, node)]``.
+
+    Offsets count from the rarest term (the first of its rank in the window).
+    Windows whose rarest terms stand alike, as neighbours in an item do, share
+    nodes, so that these terms are intersected once for all of them.
+    """
+    roots: dict[bytes, int] = {}
+    nodes: list[tuple[list[str], list]] = []
+    known: dict[tuple, int] = {}
+
+    def fresh() -> int:
+        nodes.append(([], []))
+        return len(nodes) - 1
+
+    for own_terms, items in windows.items():
+        if not all(t in counts for t in own_terms):
+            continue
+        (rarest, at), *others = sorted(((t, k) for k, t in enumerate(own_terms)), key=lambda x: (counts[x[0]], x[1]))
+        if rarest not in roots:
+            roots[rarest] = fresh()
+        node = roots[rarest]
+        for term, k in others:
+            step = (node, term, k - at)
+            if step not in known:
+                known[step] = fresh()
+                nodes[node][1].append((term, k - at, known[step]))
+            node = known[step]
+        nodes[node][0].extend(items)
+    return roots, nodes
+
+
+def _matcher(roots: dict[bytes, int], nodes: list[tuple[list[str], list]], window: int, gap: int, slop: int):
+    far = np.iinfo(np.int64).max
+
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         head = rows[rows["term"].isnull()].iloc[0]
         counts = np.frombuffer(head["postings"], "<u4").astype(np.int64)
         starts = np.cumsum(counts + gap) - counts - gap
-        postings = {bytes(t): np.cumsum(np.frombuffer(p, "<u4"), dtype=np.int64) for t, p in zip(rows["term"], rows["postings"], strict=True) if t is not None and not isinstance(t, float)}
+        stored = {bytes(t): p for t, p in zip(rows["term"], rows["postings"], strict=True) if t is not None and not isinstance(t, float)}
+        read: dict[bytes, np.ndarray] = {}
         n = len(counts)
-
-        def found(reach: int) -> tuple[list, list]:
+        of = lambda at: starts.searchsorted(at, side="right") - 1
+
+        def postings(term: bytes) -> np.ndarray:
+            """A term's positions, read when first asked for; a last one that none reaches ends them."""
+            if term not in read:
+                steps = np.frombuffer(stored[term], "<u4")
+                read[term] = held = np.empty(len(steps) + 1, np.int64)
+                np.cumsum(steps, out=held[:-1])
+                held[-1] = far
+            return read[term]
+
+        def bounds(at: np.ndarray, place: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+            """The first and the last position where a term may stand, inside the document."""
+            if gap >= window + reach:  # no position of another document is as near
+                return place - reach, place + reach
+            doc = of(at)
+            return np.maximum(place - reach, starts[doc]), np.minimum(place + reach, starts[doc] + counts[doc] - 1)
+
+        def fits(term: bytes, at: np.ndarray, offset: int, reach: int) -> np.ndarray:
+            lo, hi = bounds(at, at + offset, reach)
+            held = postings(term)
+            return held[held.searchsorted(lo)] <= hi
+
+        class Found:
             """The words of all matches and the items that match, for each document."""
-            covered = np.zeros(int((counts + gap).sum()) + 2, np.int8)
-            items: dict[int, set] = {}
-            for term, windows in anchored.items():
-                if term not in postings:
-                    continue
-                anchors = postings[term]
-                of = np.searchsorted(starts, anchors, side="right") - 1
-                for steps, own in windows:
-                    at, doc = anchors - steps[0][1], of
-                    for other, offset in steps[1:]:
-                        if not len(at) or other not in postings:
-                            at, doc = at[:0], doc[:0]
-                            break
-                        lo, hi = np.maximum(at + offset - reach, starts[doc]), np.minimum(at + offset + reach, starts[doc] + counts[doc] - 1)
-                        fits = np.searchsorted(postings[other], hi, side="right") > np.searchsorted(postings[other], lo, side="left")
-                        at, doc = at[fits], doc[fits]
-                    if not len(at):
-                        continue
-                    covered[at + steps[0][1]] = 1
-                    for other, offset in steps[1:]:
-                        lo, hi = np.maximum(at + offset - reach, starts[doc]), np.minimum(at + offset + reach, starts[doc] + counts[doc] - 1)
-                        a, b = np.searchsorted(postings[other], lo, side="left"), np.searchsorted(postings[other], hi, side="right")
-                        for k in range(int((b - a).max())):  # 2 * reach + 1 at most
-                            covered[postings[other][(a + k)[a + k < b]]] = 1
-                    for d in np.unique(doc).tolist():
-                        items.setdefault(d, set()).update(own)
-            hit = np.flatnonzero(covered)
-            lo, hi = np.searchsorted(hit, starts), np.searchsorted(hit, starts + counts)
-            return [(hit[a:b] - s).astype(np.int32) for a, b, s in zip(lo, hi, starts, strict=True)], [sorted(items.get(d, ())) for d in range(n)]
-
-        hits, items = found(0)
-        near_hits, near_items = found(slop) if slop else (hits, items)
+
+            def __init__(self, reach: int):
+                self.reach, self.items = reach, {}
+                self.anchors: list[np.ndarray] = [np.zeros(0, np.int64)]
+                self.places: dict[bytes, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+            def add(self, path: tuple, at: np.ndarray, items: list[str]) -> None:
+                self.anchors.append(at)
+                for term, offset in path:
+                    self.places.setdefault(term, []).append((at, at + offset))
+                for d in set(of(at).tolist()):
+                    self.items.setdefault(d, set()).update(items)
+
+            def hits(self) -> np.ndarray:
+                covered = np.zeros(int((counts + gap).sum()) + 2, np.int8)
+                covered[np.concatenate(self.anchors)] = 1
+                for term, found in self.places.items():
+                    lo, hi = bounds(*map(np.concatenate, zip(*found, strict=True)), self.reach)
+                    held = postings(term)
+                    k = held.searchsorted(lo)
+                    for _ in range(2 * self.reach + 1):
+                        inside = held[k] <= hi
+                        k, hi = k[inside], hi[inside]
+                        covered[held[k]] = 1
+                        k = k + 1
+                return np.flatnonzero(covered)
+
+            def columns(self) -> tuple[list, list]:
+                hit = self.hits()
+                lo, hi = np.searchsorted(hit, starts), np.searchsorted(hit, starts + counts)
+                return [(hit[a:b] - s).astype(np.int32) for a, b, s in zip(lo, hi, starts, strict=True)], [sorted(self.items.get(d, ())) for d in range(n)]
+
+        exact, near = Found(0), Found(slop)
+        for anchor, root in roots.items():
+            if anchor not in stored:
+                continue
+            # A phrase is a proximity match too, so phrases are sought among these.
+            start = postings(anchor)[:-1]
+            todo = [(root, (), start, start if slop else start[:0])]
+            while todo:
+                node, path, at, phrase = todo.pop()
+                items, below = nodes[node]
+                if items:
+                    near.add(path, at, items)
+                    if len(phrase):
+                        exact.add(path, phrase, items)
+                for term, offset, child in below:
+                    if term in stored:
+                        close = at[fits(term, at, offset, slop)]
+                        if len(close):
+                            todo.append((child, (*path, (term, offset)), close, phrase[fits(term, phrase, offset, 0)] if len(phrase) else phrase))
+        near_hits, near_items = near.columns()
+        hits, items = exact.columns() if slop else (near_hits, near_items)
         ids = pd.array([None if x is None else int(x) for x in head["doc_ids"]], dtype="Int64")
         return pd.DataFrame({"segment": [head["segment"]] * n, "place": np.arange(n), "doc_id": ids, "n_words": counts, "hits": hits, "items": items, "near_hits": near_hits, "near_items": near_items})
 
@@ -177,12 +269,8 @@ def search_windows(index: DataFrame, items: list[tuple[str, str]], *, window: in
     terms = index.sparkSession.createDataFrame([(bytearray(t),) for t in sorted({t for w in windows for t in w})], "term binary")
     asked = index.join(F.broadcast(terms), "term")  # one block's terms
     counts = {bytes(r["term"]): r["n"] for r in asked.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    anchored: dict[bytes, list] = {}
-    for own_terms, own in windows.items():
-        if all(t in counts for t in own_terms):
-            steps = sorted(((t, k) for k, t in enumerate(own_terms)), key=lambda x: (counts[x[0]], x[1]))
-            anchored.setdefault(steps[0][0], []).append((steps, own))
-    return asked.unionByName(index.where(F.col("term").isNull())).groupBy("segment").applyInPandas(_matcher(anchored, gap, slop), HITS)
+    roots, nodes = window_tree(windows, counts)
+    return asked.unionByName(index.where(F.col("term").isNull())).groupBy("segment").applyInPandas(_matcher(roots, nodes, window, gap, slop), HITS)
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS, segment_words: int = SEGMENT_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
