@@ -11,10 +11,13 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.sources.tables import dealt
+
 
 class Pattern(NamedTuple):
     """Every match of an expression."""
@@ -102,49 +105,82 @@ def labelled(df: DataFrame, key: str, text: str, rules: tuple = HEBREW_RULES, na
     return rows.mapInArrow(run, f"key {kind}, ord long, start long, end long, label string, source string, weight double")
 
 
-def islands(spans: DataFrame) -> DataFrame:
-    """Spans with their ``island``: a run of spans that touch none of another run (a text's spans in order of their starts)."""
-    w = Window.partitionBy("key").orderBy("start", "end", "ord")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = spans.withColumn("__open", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0))
-    return opened.withColumn("island", F.sum("__open").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__open")
-
-
-def _overlaps(a: Column, b: Column, share: float) -> Column:
-    both = F.least(a["end"], b["end"]) - F.greatest(a["start"], b["start"])
-    shorter = F.least(a["end"] - a["start"], b["end"] - b["start"])
-    return (both > 0) & (both >= share * shorter)
+def _elected(island: list[tuple], share: float) -> list[tuple]:
+    """The elected span of each group of an island's spans ``ord, start, end, label, source, weight``.
 
-
-def grouped(spans: DataFrame, share: float = 0.5) -> DataFrame:
-    """Spans with their ``island`` and ``grp``: in proposed order, each joins the first group with a member that it overlaps by ``share`` of the shorter one.
-
-    Spans of different islands never overlap, so each island is folded on its own.
+    In proposed order, a span joins the first group with a member that it overlaps
+    by ``share`` of the shorter one.
     """
-    rows = islands(spans)
-    members = rows.groupBy("key", "island").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end", "label", "source", "weight"))).alias("own"))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,grp:int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        first = F.array_min(F.transform(F.filter(acc, lambda a: _overlaps(a, x, share)), lambda a: a["grp"]))
-        fresh = F.coalesce(F.array_max(F.transform(acc, lambda a: a["grp"])) + 1, F.lit(0))
-        return F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), F.coalesce(first, fresh).cast("int").alias("grp"))))
-
-    held = members.withColumn("__g", F.transform(F.aggregate("own", empty, step), lambda a: a["grp"]))
-    return held.select("key", "island", F.explode(F.arrays_zip("own", F.col("__g").alias("grp"))).alias("x")).select("key", "island", "x.grp", "x.own.*")
+    groups: list[dict[tuple, list]] = []  # of each distinct span its first vote, its weight and its votes
+    for ord_, start, end, label, source, weight in sorted(island):
+        for own in groups:
+            if any(min(e, end) - max(s, start) > 0 and min(e, end) - max(s, start) >= share * min(e - s, end - start) for s, e in own):
+                break
+        else:
+            groups.append(own := {})
+        held = own.setdefault((start, end), [(ord_, label, source), 0.0, 0])
+        held[1] += weight
+        held[2] += 1
+    out = []
+    for own in groups:
+        ranked = min((-round(w, 9), first, span) for span, (first, w, _) in own.items())
+        out.append((*ranked[2], *ranked[1][1:], -ranked[0], sum(round(w, 9) for _, w, _ in own.values()), sum(n for _, _, n in own.values())))
+    return out
 
 
 def voted(spans: DataFrame, share: float = 0.5) -> DataFrame:
     """For each group of overlapping spans the span of the largest summed weight (ties: first proposed).
 
     ``key, start, end, label, source`` (of that span's first vote), ``confidence``
-    (its share of the group's weight), ``num_votes``.
+    (its share of the group's weight), ``num_votes``.  Spans without a place take no
+    part.  Groups lie within islands, runs of spans that touch none of another run:
+    one shuffle brings a text's spans together in order, and a task holds a batch of
+    them and the island that goes on behind it.
     """
-    votes = grouped(spans, share).groupBy("key", "island", "grp", "start", "end")
-    by_span = votes.agg(F.round(F.sum("weight"), 9).alias("w"), F.count("*").alias("n"), F.min(F.struct("ord", "label", "source")).alias("first"))
-    best = F.min(F.struct((-F.col("w")).alias("w"), "first", "start", "end")).alias("b")
-    groups = by_span.groupBy("key", "island", "grp").agg(best, F.sum("w").alias("total"), F.sum("n").alias("num_votes"))
-    return groups.select("key", "b.start", "b.end", "b.first.label", "b.first.source", F.round(-F.col("b.w") / F.col("total"), 6).alias("confidence"), "num_votes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "start", "end", "label", "source", "w", "total", "num_votes"]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+        rest: pa.Table | None = None  # the last island, which the next batch may go on with
+
+        def chosen(rows: pa.Table, begun: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Islands of one span as they are, the others elected one by one."""
+            sizes = np.diff(np.append(begun, rows.num_rows))
+            alone = rows.take(begun[sizes == 1])
+            held = pa.Table.from_arrays([*(alone[c] for c in ("key", "start", "end", "label", "source", "weight", "weight")), pa.array(np.ones(alone.num_rows, np.int64))], names=names)
+            yield from held.to_batches()
+            several = rows.take(np.flatnonzero(np.repeat(sizes > 1, sizes)))
+            spans = list(zip(*(several[c].to_pylist() for c in several.column_names[1:]), strict=True))
+            ends = np.cumsum(sizes[sizes > 1]).tolist()
+            found = [_elected(spans[i:j], share) for i, j in zip([0, *ends], ends, strict=False)]
+            if found:
+                owners = several["key"].take(np.repeat([0, *ends[:-1]], [len(x) for x in found])).combine_chunks()
+                columns = zip(*(x for each in found for x in each), strict=True)
+                yield pa.RecordBatch.from_arrays([owners, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]).combine_chunks() if rest is not None else rows
+            if not rows.num_rows:
+                continue
+            codes = rows["key"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            fresh = np.append(True, codes[1:] != codes[:-1])
+            start, end = (rows[c].to_numpy() for c in ("start", "end"))
+            # Each text's ends are lifted above those of the text before, so that one running maximum serves all.
+            lift = np.cumsum(fresh) * (int(end.max()) - int(end.min()) + 1)
+            reach = np.maximum.accumulate(end + lift)[:-1] - lift[1:]
+            begun = np.flatnonzero(fresh | np.append(True, start[1:] >= reach))
+            rest = rows.slice(begun[-1])
+            yield from chosen(rows.slice(0, begun[-1]), begun[:-1])
+        if rest is not None:
+            yield from chosen(rest, np.zeros(1, np.int64))
+
+    placed = spans.where("start is not null and end is not null").select("key", *(F.col(c).cast("long").alias(c) for c in ("ord", "start", "end")), "label", "source", F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"))
+    kind = dict(spans.dtypes)["key"]
+    # Dealt by number: small rows that cost much would be left to a few tasks.
+    together = dealt(placed, "key").sortWithinPartitions("key", "start", "end", "ord")
+    chosen = together.mapInArrow(run, f"key {kind}, start long, end long, label string, source string, w double, total double, num_votes long")
+    return chosen.select("key", "start", "end", "label", "source", F.round(F.try_divide("w", "total"), 6).alias("confidence"), "num_votes")
 
 
 def training_samples(df: DataFrame, key: str, text: str, chosen: DataFrame) -> DataFrame:
