@@ -104,13 +104,23 @@ def century(year: Column) -> Column:
     return (F.floor(year / 100) * 100).cast("long")
 
 
+def _rank(priority: list[str]) -> Column:
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, priority)), F.col("o")), F.lit(0)) if priority else F.lit(0)
+    return F.when(rank > 0, rank).otherwise(len(priority) + 1)
+
+
+def node_types(triples: DataFrame, priority: list[str]) -> DataFrame:
+    """``uri, node_type`` of the typed nodes alone, as ``node_tables`` has them: neither labels nor links are grouped."""
+    typed = triples.where(F.col("p") == TYPE).select(F.col("s").alias("uri"), F.struct(_rank(priority).alias("r"), F.col("o").alias("t")).alias("typed"))
+    return typed.groupBy("uri").agg(F.min("typed")["t"].alias("node_type"))
+
+
 def node_tables(triples: DataFrame, priority: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``nodes(uri, label, node_type)``, ``edges(source, target, predicate)`` and ``properties(node_uri, key, value)``.
 
     Of several types of a node the first in ``priority`` counts, then the smallest.
     """
-    rank = F.coalesce(F.array_position(F.array(*map(F.lit, priority)), F.col("o")), F.lit(0)) if priority else F.lit(0)
-    order = F.when(rank > 0, rank).otherwise(len(priority) + 1)
+    order = _rank(priority)
     # One grouping by node: what its own triples say, and that links lead to it.
     own = triples.select(F.col("s").alias("uri"), F.when(F.col("p") == TYPE, F.struct(order.alias("r"), F.col("o").alias("t"))).alias("typed"), F.when(F.col("p") == LABEL, F.col("o")).alias("label"))
     nothing = [F.lit(None).cast(dict(own.dtypes)[c]).alias(c) for c in ("typed", "label")]
@@ -121,10 +131,10 @@ def node_tables(triples: DataFrame, priority: list[str]) -> tuple[DataFrame, Dat
     return nodes, edges, properties
 
 
-def edge_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges counted by the types of their ends, where these differ."""
-    types = nodes.select("uri", "node_type")
-    typed = edges.join(types.select(F.col("uri").alias("source"), F.col("node_type").alias("source_type")), "source").join(types.select(F.col("uri").alias("target"), F.col("node_type").alias("target_type")), "target")
+def edge_summary(types: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges counted by the types of their ends, where these differ; an end without a type is an ``Entity``."""
+    of = lambda end: types.select(F.col("uri").alias(end), F.col("node_type").alias(f"{end}_type"))
+    typed = edges.join(of("source"), "source", "left").join(of("target"), "target", "left").select(*(F.coalesce(f"{end}_type", F.lit("Entity")).alias(f"{end}_type") for end in ("source", "target")))
     return counts_by(typed.where("source_type != target_type"), "source_type", "target_type")
 
 

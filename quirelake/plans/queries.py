@@ -113,8 +113,8 @@ def node_totals(spark, d):
 
 @query(over_graph(", t1 AS MATERIALIZED (SELECT node_type AS source_type, target FROM edges JOIN nodes ON uri = source), t2 AS MATERIALIZED (SELECT source_type, node_type AS target_type, count(*) AS n FROM t1 JOIN nodes ON uri = target GROUP BY ALL) SELECT source_type, target_type, n FROM t2 WHERE source_type <> target_type"))
 def edge_summary(spark, d):
-    n, e, _ = _tables(spark, d)
-    return graph.edge_summary(n, e)
+    g = star_graph(spark, d)
+    return graph.edge_summary(graph.node_types(g, PRIORITY), graph.node_tables(g, PRIORITY)[1])
 
 
 @query(over_graph("SELECT uri, count(x.u) AS degree FROM nodes LEFT JOIN (SELECT source AS u FROM edges UNION ALL SELECT target FROM edges WHERE source <> target) x ON x.u = uri GROUP BY uri"))
