@@ -75,7 +75,7 @@ def framed_orders(spark, d):
 
 @query(over_graph("""SELECT s, p, o, o_kind FROM triples WHERE s LIKE 'order/%' OR s LIKE 'span/%' OR s IN (SELECT 'customer/' || o_custkey FROM orders) OR s IN (SELECT 'nation/' || c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey) OR s IN (SELECT 'region/' || n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey)"""))
 def unframed_orders(spark, d):
-    return framing.unframed(framing.framed(star_graph(spark, d), ORDER), ORDER).select("s", "p", "o", "o_kind")
+    return framing.unframed(framing.framed(star_graph(spark, d), ORDER), ORDER, unique=True).select("s", "p", "o", "o_kind")
 
 
 @query("""SELECT 'order/' || o_orderkey AS local_id, 'P31' AS property, 'Q87167' AS value FROM orders UNION ALL SELECT 'order/' || o_orderkey, 'P571', CAST(year(o_orderdate) AS VARCHAR) FROM orders UNION ALL SELECT 'order/' || o_orderkey, 'P127', 'customer/' || o_custkey FROM orders UNION ALL SELECT 'order/' || o_orderkey, 'P276', n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""")
